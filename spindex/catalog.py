@@ -263,3 +263,136 @@ def search_documents(spark, sf_dir):
     c = documents_corpus(spark, sf_dir)
     terms, postings = ix.build_index(c)
     return se.search(benchmark_queries(spark, sf_dir), c, terms, postings, k=20)
+
+
+# --- responses, parsing, outlinks -------------------------------------------------
+
+def responses(spark, sf_dir) -> DataFrame:
+    from spindex.sources.responses import captured_responses
+    return captured_responses(tb.read_pages(spark, sf_dir))
+
+
+@register("response_filter")
+def response_filter(spark, sf_dir):
+    """S3, F1, F2: responses that arrived and pass the header rules."""
+    from spindex.operators.responses import good_responses
+    return good_responses(responses(spark, sf_dir)).select("url", "status")
+
+
+@register("page_text")
+def page_text(spark, sf_dir):
+    """Visible text of every page with non-empty text."""
+    return lk.page_text(pages_parsed(spark, sf_dir)).select("page_id", "url", "text")
+
+
+@register("outlinks_raw")
+def outlinks_raw(spark, sf_dir):
+    """Every href in document order, duplicates kept."""
+    r = lk.raw_outlinks(pages_parsed(spark, sf_dir))
+    return r.select("page_id", F.col("pos").cast("bigint").alias("pos"), "href")
+
+
+@register("outlinks_resolved")
+def outlinks_resolved(spark, sf_dir):
+    """Kept outlinks, fragment cut, resolved against the page URL."""
+    r = lk.resolved_outlinks(pages_parsed(spark, sf_dir))
+    return r.select("page_id", F.col("pos").cast("bigint").alias("pos"), "outlink")
+
+
+# --- ingest: upsert, stubs, edges --------------------------------------------------
+
+def ingested(spark, sf_dir):
+    """Two ingest batches: every page, then re-crawls (with a stale duplicate
+    in the same batch).  Each batch's state is checkpointed."""
+    from spindex.plans.ingest import empty_graph, ingest, materialize
+    from spindex.sources.responses import captured_responses, recrawl_responses
+    pages = tb.read_pages(spark, sf_dir)
+    g1, c1 = ingest(empty_graph(spark), captured_responses(pages))
+    g1 = materialize(g1)
+    c1 = c1.withColumn("batch", F.lit(1))
+    g2, c2 = ingest(g1, recrawl_responses(pages))
+    g2 = materialize(g2)
+    return g2, c1.unionByName(c2.withColumn("batch", F.lit(2)))
+
+
+@register("pages_upserted")
+def pages_upserted(spark, sf_dir):
+    """Stored pages with content after both batches (last wins)."""
+    g, _ = ingested(spark, sf_dir)
+    return g.pages.where(F.col("page_content").isNotNull()).select("page_url", "page_content")
+
+
+@register("pages_with_stubs")
+def pages_with_stubs(spark, sf_dir):
+    """Every stored URL, stub or not."""
+    g, _ = ingested(spark, sf_dir)
+    return g.pages.select("page_url", F.col("page_content").isNotNull().alias("has_content"))
+
+
+@register("link_edges")
+def link_edges(spark, sf_dir):
+    """Distinct edges, add-only over both batches, as URLs."""
+    g, _ = ingested(spark, sf_dir)
+    n = lk.neighbours_out(g.edges, g.pages)
+    return n.select(F.col("page_url").alias("source_url"), F.col("neighbour_url").alias("target_url"))
+
+
+@register("neighbours_out")
+def neighbours_out(spark, sf_dir):
+    """Out-neighbours of every page."""
+    g, _ = ingested(spark, sf_dir)
+    return lk.neighbours_out(g.edges, g.pages).select("page_url", "neighbour_url")
+
+
+@register("neighbours_in")
+def neighbours_in(spark, sf_dir):
+    """In-neighbours of every page (fetched pages and stubs)."""
+    g, _ = ingested(spark, sf_dir)
+    return lk.neighbours_in(g.edges, g.pages).select("page_url", "neighbour_url")
+
+
+@register("ingest_counts")
+def ingest_counts(spark, sf_dir):
+    """Pages stored, stubs and edges added per batch."""
+    _, counts = ingested(spark, sf_dir)
+    return counts.select(F.col("batch").cast("bigint").alias("batch"), "pages_stored",
+                         "stubs_added", "edges_added")
+
+
+# --- URLs and domains ---------------------------------------------------------------
+
+@register("canonical_urls")
+def canonical_urls(spark, sf_dir):
+    """URLs without tracking parameters."""
+    from spindex.functions.urls import canonical_url
+    p = tb.read_pages(spark, sf_dir)
+    return p.select("page_id", "url", canonical_url("url").alias("canonical_url"))
+
+
+@register("url_domains")
+def url_domains(spark, sf_dir):
+    """Host key, registrable domain and validity per URL."""
+    from spindex.functions.urls import host_key, registrable_domain, url_host
+    p = tb.read_pages(spark, sf_dir)
+    hk = host_key("url")
+    return p.select("page_id", "url", url_host("url").alias("host"), hk.alias("host_key"),
+                    registrable_domain("url").alias("domain"),
+                    (~hk.isin("http://", "https://")).alias("valid"))
+
+
+@register("domain_sizes")
+def domain_sizes(spark, sf_dir):
+    """Distinct URLs per registrable domain, ranked by size."""
+    from spindex.operators.frontier import domain_sizes as sizes
+    p = tb.read_pages(spark, sf_dir)
+    return sizes(p.select("url")).select("domain", "n_urls", "domain_rank")
+
+
+@register("seed_urls")
+def seed_urls(spark, sf_dir):
+    """Seed lines (page URLs in page order) stripped, blanks
+    dropped, grouped into batches of 3."""
+    from spindex.sources.seeds import seed_batches
+    p = tb.read_pages(spark, sf_dir)
+    lines = p.select(F.col("page_id").alias("line_no"), F.col("url").alias("value"))
+    return seed_batches(lines).select("batch_id", "slot", "url")

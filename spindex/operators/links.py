@@ -7,7 +7,7 @@ stub pages, insert edges.  Page ids of new URLs are ``xxhash64(url)``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindex.functions.html import parse_html
@@ -19,10 +19,13 @@ def url_id(col="page_url"):
 
 
 def parse_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(page_id, url, text, hrefs)`` for captured pages ``(page_id, url, html)``."""
-    parsed = pages.select("page_id", url_col, parse_html(html_col).alias("p"))
-    return parsed.select("page_id", F.col(url_col).alias("url"),
-                         F.col("p.text").alias("text"), F.col("p.hrefs").alias("hrefs"))
+    """Captured pages with ``html`` replaced by ``text`` and ``hrefs``; other
+    columns pass through, the URL column is named ``url``."""
+    keep = [F.col(c).alias("url") if c == url_col else F.col(c)
+            for c in pages.columns if c != html_col]
+    parsed = pages.select(*keep, parse_html(html_col).alias("_p"))
+    return parsed.select(*[c for c in parsed.columns if c != "_p"],
+                         F.col("_p.text").alias("text"), F.col("_p.hrefs").alias("hrefs"))
 
 
 def page_text(parsed: DataFrame) -> DataFrame:
@@ -81,13 +84,15 @@ def last_per_url(records: DataFrame, seq_col: str = "seq") -> DataFrame:
     return best.select("url", *[F.col(f"r.{c}").alias(c) for c in cols])
 
 
-def upsert_pages(pages: DataFrame, batch: DataFrame) -> DataFrame:
+def upsert_pages(pages: DataFrame, batch: DataFrame, dedupe: bool = True) -> DataFrame:
     """Insert or overwrite content by URL.
 
-    ``batch(url, text, seq)``: last record per URL wins; a URL already stored
-    keeps its id and gets the new content; a new URL gets ``xxhash64(url)``.
+    ``batch(url, text, seq)``: last record per URL wins (``dedupe=False`` when
+    the batch is already one row per URL); a URL already stored keeps its id
+    and gets the new content; a new URL gets ``xxhash64(url)``.
     """
-    b = last_per_url(batch.select("url", "text", "seq"))
+    b = batch.select("url", "text", "seq")
+    b = last_per_url(b) if dedupe else b
     joined = pages.join(b.withColumnRenamed("url", "page_url"), "page_url", "full_outer")
     return joined.select(
         F.coalesce(F.col("page_id"), url_id("page_url")).alias("page_id"),
@@ -122,19 +127,19 @@ def insert_edges(edges: DataFrame, new_edges: DataFrame) -> DataFrame:
     return edges.unionByName(fresh)
 
 
-def neighbours_out(edges: DataFrame, pages: DataFrame) -> DataFrame:
-    """``(page_id, page_url, neighbour_id, neighbour_url)`` along outlinks."""
+def _neighbours(edges: DataFrame, pages: DataFrame, me: str, other: str) -> DataFrame:
+    e = edges.select(F.col(me).alias("page_id"), F.col(other).alias("neighbour_id"))
     p = pages.select("page_id", "page_url")
     n = pages.select(F.col("page_id").alias("neighbour_id"), F.col("page_url").alias("neighbour_url"))
-    return (edges.join(p, edges.source_page_id == p.page_id)
-            .join(n, edges.outgoing_page_id == n.neighbour_id)
-            .select("page_id", "page_url", "neighbour_id", "neighbour_url"))
+    return e.join(p, "page_id").join(n, "neighbour_id") \
+        .select("page_id", "page_url", "neighbour_id", "neighbour_url")
+
+
+def neighbours_out(edges: DataFrame, pages: DataFrame) -> DataFrame:
+    """``(page_id, page_url, neighbour_id, neighbour_url)`` along outlinks."""
+    return _neighbours(edges, pages, "source_page_id", "outgoing_page_id")
 
 
 def neighbours_in(edges: DataFrame, pages: DataFrame) -> DataFrame:
     """``(page_id, page_url, neighbour_id, neighbour_url)`` along inlinks."""
-    p = pages.select("page_id", "page_url")
-    n = pages.select(F.col("page_id").alias("neighbour_id"), F.col("page_url").alias("neighbour_url"))
-    return (edges.join(p, edges.outgoing_page_id == p.page_id)
-            .join(n, edges.source_page_id == n.neighbour_id)
-            .select("page_id", "page_url", "neighbour_id", "neighbour_url"))
+    return _neighbours(edges, pages, "outgoing_page_id", "source_page_id")

@@ -8,7 +8,8 @@ plans, from the documented semantics, as the correctness oracle.
 
 from __future__ import annotations
 
-from spindex.functions.constants import PUNCTUATION, PUNCTUATION_SPACES, TERM_PATTERN
+from spindex.functions.constants import PUNCTUATION, PUNCTUATION_SPACES, TERM_PATTERN, TRACKING_PARAMS
+from spindex.functions.urls import suffix_alternation
 from spindex.sources.stopwords import stopword_set
 
 
@@ -215,5 +216,180 @@ SQL["search_documents"] = f"""WITH {DOCS}, {index_ctes('docs')}, {BENCH_Q},
 {_top_k(20)}"""
 
 
+
+# --- responses, parsing, outlinks, ingest -------------------------------------------
+
+def text_twin(expr: str) -> str:
+    return f"""replace(trim(regexp_replace(
+    replace(replace(replace(replace(replace(
+      regexp_replace(regexp_replace({expr},
+        '(?s)<head[^>]*>.*?</head>|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<title[^>]*>.*?</title>|<!--.*?-->',
+        ' ', 'g'), '<[^>]*>', ' ', 'g'),
+      '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&amp;', '&'),
+    '\\s+', ' ', 'g')), chr(0), '')"""
+
+
+def fixture(src: str) -> str:
+    """Response fixture over ``src(page_id, url, html, seq)``."""
+    return f"""SELECT page_id, url, seq, html,
+  CASE WHEN page_id % 17 = 0 THEN 429 WHEN page_id % 13 = 0 THEN 404 ELSE 200 END AS status,
+  page_id % 19 <> 0 AS received,
+  CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'application/pdf' WHEN 2 THEN 'TEXT/HTML'
+       ELSE 'text/html; charset=utf-8' END AS ct,
+  CASE page_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'fr' WHEN 2 THEN '' ELSE 'en-US' END AS lang,
+  CASE page_id % 11 WHEN 0 THEN '3145728' WHEN 1 THEN '3145729' WHEN 2 THEN 'abc'
+       ELSE CAST(length(html) AS VARCHAR) END AS cl,
+  CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '120' WHEN 2 THEN 'Wed, 21 Oct 2026 07:28:00 GMT'
+       ELSE 'soon' END AS retry_after,
+  TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id) AS fetched_at
+FROM {src}"""
+
+
+GOOD = ("received AND (cl IS NULL OR coalesce(TRY_CAST(trim(cl) AS BIGINT) <= 3145728, false)) "
+        "AND (ct IS NULL OR ct = '' OR contains(ct, 'text/html')) "
+        "AND (lang IS NULL OR lang = '' OR contains(lang, 'en'))")
+
+_SUFFIXES = " OR ".join(f"ends_with(link, '{x}')" for x in
+                        (".jpg", ".png", ".pdf", ".css", ".js", ".zip", ".exe"))
+_MARKERS = " OR ".join(f"contains(link, '{x}')" for x in ("mailto@", "mailto:", "tel:"))
+
+
+def hrefs(src: str, key: str = "page_id") -> str:
+    """``({key}, url, pos, href)`` of every anchor of ``src({key}, url, html)``."""
+    return f"""SELECT {key}, url, CAST(i - 1 AS BIGINT) AS pos, href FROM (
+  SELECT {key}, url, unnest(h) AS href, generate_subscripts(h, 1) AS i
+  FROM (SELECT {key}, url, regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1) AS h FROM {src}))"""
+
+
+def outlinks(src: str, key: str = "page_id") -> str:
+    """``({key}, url, pos, outlink)``: kept and resolved anchors."""
+    return f"""SELECT {key}, url, pos,
+  CASE WHEN contains(cut, 'https://') THEN cut WHEN cut = '' THEN url
+       ELSE regexp_extract(url, '^(https?://[^/?#]*)', 1) || cut END AS outlink
+FROM (SELECT *, split_part(link, '#', 1) AS cut FROM (
+  SELECT *, regexp_replace(href, '/+$', '') AS link FROM ({hrefs(src, key)})))
+WHERE href IS NOT NULL AND href <> '' AND length(link) < 750
+  AND NOT ({_SUFFIXES}) AND NOT ({_MARKERS})"""
+
+
+PTEXT = f"ptext AS (SELECT page_id, url, html, {text_twin('html')} AS text FROM pages)"
+
+SQL["response_filter"] = f"""WITH b AS (SELECT page_id, url, html, page_id AS seq FROM pages),
+f AS ({fixture('b')})
+SELECT url, status FROM f WHERE {GOOD}"""
+
+SQL["page_text"] = f"""WITH {PTEXT}
+SELECT page_id, url, text FROM ptext WHERE length(text) > 0"""
+
+SQL["outlinks_raw"] = f"""WITH {PTEXT}, nonempty AS (SELECT * FROM ptext WHERE length(text) > 0)
+SELECT page_id, pos, href FROM ({hrefs('nonempty')})"""
+
+SQL["outlinks_resolved"] = f"""WITH {PTEXT}, nonempty AS (SELECT * FROM ptext WHERE length(text) > 0)
+SELECT page_id, pos, outlink FROM ({outlinks('nonempty')})"""
+
+INGEST = f"""b1src AS (SELECT page_id, url, html, page_id AS seq FROM pages),
+b2src AS (
+  SELECT page_id, url, replace(regexp_replace(html, '(?s)<nav>.*?</nav>', '', 'g'), '</article>',
+         '<p>Second visit.</p></article>') AS html, page_id + 1000000 AS seq
+  FROM pages WHERE contains(url, '?')
+  UNION ALL
+  SELECT page_id, url, html, page_id + 500000 AS seq FROM pages WHERE contains(url, '?')),
+f1 AS ({fixture('b1src')}),
+f2 AS ({fixture('b2src')}),
+r1 AS (SELECT * FROM (SELECT url, seq, html, {text_twin('html')} AS text FROM f1 WHERE {GOOD})
+       WHERE length(text) > 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq DESC) = 1),
+r2 AS (SELECT * FROM (SELECT url, seq, html, {text_twin('html')} AS text FROM f2 WHERE {GOOD})
+       WHERE length(text) > 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq DESC) = 1),
+l1 AS (SELECT DISTINCT url, outlink FROM ({outlinks('r1', 'seq')})),
+l2 AS (SELECT DISTINCT url, outlink FROM ({outlinks('r2', 'seq')})),
+fetched AS (SELECT url FROM r1 UNION SELECT url FROM r2),
+stubs AS (SELECT outlink AS url FROM l1 UNION SELECT outlink FROM l2 EXCEPT SELECT url FROM fetched),
+stored AS (
+  SELECT f.url AS page_url, coalesce(r2.text, r1.text) AS page_content
+  FROM fetched f LEFT JOIN r1 USING (url) LEFT JOIN r2 USING (url)
+  UNION ALL SELECT url, NULL FROM stubs),
+edges AS (SELECT url AS source_url, outlink AS target_url FROM l1
+          UNION SELECT url, outlink FROM l2)"""
+
+SQL["pages_upserted"] = f"""WITH {INGEST}
+SELECT page_url, page_content FROM stored WHERE page_content IS NOT NULL"""
+
+SQL["pages_with_stubs"] = f"""WITH {INGEST}
+SELECT page_url, page_content IS NOT NULL AS has_content FROM stored"""
+
+SQL["link_edges"] = f"""WITH {INGEST}
+SELECT source_url, target_url FROM edges"""
+
+SQL["neighbours_out"] = f"""WITH {INGEST}
+SELECT source_url AS page_url, target_url AS neighbour_url FROM edges"""
+
+SQL["neighbours_in"] = f"""WITH {INGEST}
+SELECT target_url AS page_url, source_url AS neighbour_url FROM edges"""
+
+SQL["ingest_counts"] = f"""WITH {INGEST},
+s1 AS (SELECT DISTINCT outlink FROM l1 WHERE outlink NOT IN (SELECT url FROM r1))
+SELECT CAST(1 AS BIGINT) AS batch, (SELECT count(*) FROM r1) AS pages_stored,
+       (SELECT count(*) FROM s1) AS stubs_added, (SELECT count(*) FROM l1) AS edges_added
+UNION ALL
+SELECT CAST(2 AS BIGINT), (SELECT count(*) FROM r2),
+       (SELECT count(*) FROM (SELECT DISTINCT outlink FROM l2 WHERE outlink NOT IN (SELECT url FROM r1)
+                              AND outlink NOT IN (SELECT outlink FROM s1)
+                              AND outlink NOT IN (SELECT url FROM r2))),
+       (SELECT count(*) FROM (SELECT url, outlink FROM l2 EXCEPT SELECT url, outlink FROM l1))"""
+
+# --- URLs and domains ------------------------------------------------------------------
+
+_BLOCKED = "(" + ", ".join(_s(x) for x in TRACKING_PARAMS) + ")"
+
+SQL["canonical_urls"] = f"""WITH u AS (
+  SELECT page_id, url, split_part(url, '#', 1) AS pre,
+         CASE WHEN contains(url, '#') THEN substr(url, strpos(url, '#') + 1) END AS frag FROM pages),
+v AS (SELECT *, split_part(pre, '?', 1) AS base,
+             CASE WHEN contains(pre, '?') THEN substr(pre, strpos(pre, '?') + 1) ELSE '' END AS q FROM u),
+pairs AS (SELECT page_id, unnest(string_split(q, '&')) AS p, generate_subscripts(string_split(q, '&'), 1) AS i
+          FROM v),
+kept AS (SELECT page_id, string_agg(p, '&' ORDER BY i) AS nq FROM pairs
+         WHERE strpos(p, '=') > 0 AND substr(p, strpos(p, '=') + 1) <> ''
+           AND lower(split_part(p, '=', 1)) NOT IN {_BLOCKED}
+         GROUP BY page_id)
+SELECT v.page_id, v.url, v.base || CASE WHEN coalesce(nq, '') <> '' THEN '?' || nq ELSE '' END
+       || CASE WHEN coalesce(frag, '') <> '' THEN '#' || frag ELSE '' END AS canonical_url
+FROM v LEFT JOIN kept USING (page_id)"""
+
+_ALTS = suffix_alternation()
+
+
+def host_sql(u: str) -> str:
+    rest = f"regexp_replace({u}, '^(?i)(?:[a-z][a-z0-9+.\\-]*:)?//', '')"
+    netloc = f"regexp_extract({rest}, '^([^/?#]*)', 1)"
+    return (f"lower(regexp_replace(regexp_replace(regexp_replace({netloc}, '^.*@', ''), "
+            f"':[0-9]*$', ''), '\\.+$', ''))")
+
+
+def domain_sql(host: str) -> str:
+    return (f"CASE WHEN regexp_full_match({host}, '(?:{_ALTS})') THEN '' "
+            f"ELSE regexp_extract({host}, '([^.]+\\.(?:{_ALTS}))$', 1) END")
+
+
+def host_key_sql(u: str, host: str, domain: str) -> str:
+    return (f"(CASE WHEN contains({u}, 'https') THEN 'https://' ELSE 'http://' END || "
+            f"CASE WHEN {domain} <> '' THEN {host} ELSE '' END)")
+
+
+SQL["url_domains"] = f"""WITH h AS (SELECT page_id, url, {host_sql('url')} AS host FROM pages),
+d AS (SELECT *, {domain_sql('host')} AS domain FROM h),
+k AS (SELECT *, {host_key_sql('url', 'host', 'domain')} AS host_key FROM d)
+SELECT page_id, url, host, host_key, domain, host_key NOT IN ('http://', 'https://') AS valid FROM k"""
+
+SQL["domain_sizes"] = f"""WITH h AS (SELECT url, {host_sql('url')} AS host FROM pages),
+d AS (SELECT {domain_sql('host')} AS domain, count(DISTINCT url) AS n_urls FROM h GROUP BY 1)
+SELECT domain, n_urls, CAST(row_number() OVER (ORDER BY n_urls DESC, domain) AS BIGINT) AS domain_rank
+FROM d"""
+
+SQL["seed_urls"] = """SELECT CAST(floor(pos / 3) AS BIGINT) AS batch_id, CAST(pos % 3 AS BIGINT) AS slot, url
+FROM (SELECT trim(url) AS url, row_number() OVER (ORDER BY page_id) - 1 AS pos FROM pages
+      WHERE trim(url) <> '')"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
