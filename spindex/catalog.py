@@ -396,3 +396,156 @@ def seed_urls(spark, sf_dir):
     p = tb.read_pages(spark, sf_dir)
     lines = p.select(F.col("page_id").alias("line_no"), F.col("url").alias("value"))
     return seed_batches(lines).select("batch_id", "slot", "url")
+
+
+# --- politeness -------------------------------------------------------------------------
+
+AS_OF = "2024-01-01 00:03:20"
+
+
+def robots_table(spark, sf_dir):
+    from spindex.operators.politeness import robots_rules as rr
+    from spindex.sources.robots import robots_responses
+    return rr(robots_responses(tb.read_pages(spark, sf_dir).select("url")))
+
+
+def waits_table(spark, sf_dir):
+    from spindex.operators.politeness import next_allowed as na
+    from spindex.operators.responses import good_responses
+    return na(good_responses(responses(spark, sf_dir)), robots_table(spark, sf_dir))
+
+
+@register("robots_rules")
+def robots_rules(spark, sf_dir):
+    """Parsed robots.txt per host (first fetch kept)."""
+    r = robots_table(spark, sf_dir)
+    text = F.array_join(F.transform(F.col("robots.rules"), lambda x: F.concat(
+        F.when(x["allow"], F.lit("A:")).otherwise(F.lit("D:")), x["path"])), "|")
+    return r.select("host_key", F.col("robots").isNotNull().alias("has_rules"),
+                    F.col("robots.rate_limit").alias("rate_limit"), text.alias("rules_text"))
+
+
+@register("robots_allowed")
+def robots_allowed(spark, sf_dir):
+    """Robots verdict for every page URL (agent ``*``)."""
+    from spindex.operators.politeness import robots_allowed as ra
+    p = tb.read_pages(spark, sf_dir).select("page_id", "url")
+    return ra(p, robots_table(spark, sf_dir)).select("page_id", "url", "host_key", "allowed")
+
+
+@register("next_allowed")
+def next_allowed(spark, sf_dir):
+    """Next allowed fetch time per host."""
+    w = waits_table(spark, sf_dir)
+    return w.select("host_key", F.col("next_allowed_at").cast("timestamp_ntz").alias("next_allowed_at"))
+
+
+@register("sleep_times")
+def sleep_times(spark, sf_dir):
+    """Seconds to wait per host at a fixed time."""
+    from spindex.operators.politeness import sleep_times as st
+    s = st(waits_table(spark, sf_dir), AS_OF)
+    return s.select("host_key", F.round("sleep_seconds", 9).alias("sleep_seconds"))
+
+
+def _deferral(spark, sf_dir):
+    from spindex.operators.politeness import defer_by_politeness
+    p = tb.read_pages(spark, sf_dir).select("url")
+    return defer_by_politeness(p, waits_table(spark, sf_dir), AS_OF)
+
+
+@register("deferred_urls")
+def deferred_urls(spark, sf_dir):
+    """per URL, its host's URL count, sleep and whether it is deferred."""
+    d = _deferral(spark, sf_dir)
+    return d.select("url", "host_key", "n_urls", F.round("sleep_seconds", 9).alias("sleep_seconds"),
+                    "deferred")
+
+
+@register("batch_wait")
+def batch_wait(spark, sf_dir):
+    """Wait before the batch (largest sleep among kept hosts)."""
+    from spindex.operators.politeness import batch_wait as bw
+    return bw(_deferral(spark, sf_dir)).select(F.round("wait_seconds", 9).alias("wait_seconds"))
+
+
+@register("politeness_metrics")
+def politeness_metrics(spark, sf_dir):
+    """A10: robots cache hit rate and blocked rate over the seed batches."""
+    from spindex.functions.urls import host_key
+    from spindex.operators.frontier import valid_domain
+    from spindex.operators.politeness import politeness_metrics as pm
+    from spindex.sources.seeds import seed_batches
+    p = tb.read_pages(spark, sf_dir)
+    seeds = seed_batches(p.select(F.col("page_id").alias("line_no"), F.col("url").alias("value")))
+    lookups = valid_domain(seeds).select("batch_id", host_key("url").alias("host_key"))
+    return pm(lookups, robots_table(spark, sf_dir))
+
+
+# --- frontier -------------------------------------------------------------------------------
+
+def _candidates(spark, sf_dir):
+    """Outlinks of every page, and as 'seen' the outlinks of English pages."""
+    links = lk.resolved_outlinks(pages_parsed(spark, sf_dir))
+    urls = links.select(F.col("outlink").alias("url"))
+    seen = links.where(F.col("url").contains("/en/")).select(F.col("outlink").alias("url"))
+    return urls, seen
+
+
+@register("unseen_urls")
+def unseen_urls(spark, sf_dir):
+    """Candidate URLs minus seen URLs, distinct."""
+    from spindex.operators.frontier import unseen_urls as uu
+    urls, seen = _candidates(spark, sf_dir)
+    return uu(urls, seen)
+
+
+@register("frontier_batches")
+def frontier_batches(spark, sf_dir):
+    """The next fetch batches."""
+    from spindex.plans.frontier import prepare_frontier
+    urls, seen = _candidates(spark, sf_dir)
+    f = prepare_frontier(urls, seen, waits_table(spark, sf_dir), robots_table(spark, sf_dir), AS_OF)
+    return f.batches
+
+
+@register("crawl_budget")
+def crawl_budget(spark, sf_dir):
+    """F16: pages past a budget of 100 fetches emit no outlinks."""
+    from spindex.plans.frontier import crawl_budget as cb
+    parsed = pages_parsed(spark, sf_dir)
+    order = cb(parsed.select("url", F.col("page_id").alias("seq")), 100)
+    links = lk.resolved_outlinks(parsed.join(order.select("url", "emits_links"), "url"),
+                                 F.col("emits_links"))
+    n = links.groupBy("url").agg(F.count(F.lit(1)).alias("n_outlinks"))
+    return (order.join(n, "url", "left")
+            .select("url", "fetch_rank", "emits_links",
+                    F.coalesce("n_outlinks", F.lit(0)).cast("bigint").alias("n_outlinks")))
+
+
+@register("integrity_report")
+def integrity_report(spark, sf_dir):
+    """Uniqueness, key and reference rules over pages, graph and index."""
+    from spindex.operators import quality as qa
+    raw = tb.read_pages(spark, sf_dir)
+    g, _ = ingested(spark, sf_dir)
+    docs = documents_corpus(spark, sf_dir)
+    terms, postings = ix.build_index(docs)
+    df_check = (terms.join(postings.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "term", "left")
+                .agg(F.count_if(F.coalesce("n", F.lit(0)) != F.col("total_pages")).alias("violations"),
+                     F.count(F.lit(1)).alias("checked")))
+    return qa.integrity_report({
+        "pages_unique_page_id": qa.duplicates(raw, ["page_id"]),
+        "pages_unique_url": qa.duplicates(raw, ["url"]),
+        "pages_html_not_null": qa.nulls(raw, "html"),
+        "graph_unique_url": qa.duplicates(g.pages, ["page_url"]),
+        "graph_edge_source_fk": qa.orphans(g.edges, "source_page_id", g.pages, "page_id"),
+        "graph_edge_target_fk": qa.orphans(g.edges, "outgoing_page_id", g.pages, "page_id"),
+        "graph_edge_pk": qa.duplicates(g.edges, ["source_page_id", "outgoing_page_id"]),
+        "index_unique_term": qa.duplicates(terms, ["term"]),
+        "index_term_id_unique": qa.duplicates(terms, ["term_id"]),
+        "index_posting_pk": qa.duplicates(postings, ["term", "page_id"]),
+        "index_posting_page_fk": qa.orphans(postings, "page_id", docs, "page_id"),
+        "index_total_pages_not_null": qa.nulls(terms, "total_pages"),
+        "index_total_pages_matches": df_check,
+    })

@@ -391,5 +391,158 @@ FROM (SELECT trim(url) AS url, row_number() OVER (ORDER BY page_id) - 1 AS pos F
       WHERE trim(url) <> '')"""
 
 
+
+# --- politeness ---------------------------------------------------------------------
+# Robots fixture, parsed by hand from the five literal files (category =
+# length(host) % 5): 0 failed fetch, 1 empty file, 2 first-match rules with
+# crawl-delay 2 and request-rate 1/5 (5 s), 3 rules with delay 0, 4 rules of
+# the catch-all group while another agent has its own delay.
+AS_OF = "TIMESTAMP '2024-01-01 00:03:20'"
+
+HOSTS = f"""hosts AS (
+  SELECT DISTINCT {host_key_sql('url', 'host', 'domain')} AS host_key, host, length(host) % 5 AS cat
+  FROM (SELECT url, host, {domain_sql('host')} AS domain FROM (SELECT url, {host_sql('url')} AS host FROM pages))
+  WHERE domain <> ''),
+rob AS (SELECT host_key, cat,
+  cat <> 0 AS has_rules,
+  CASE cat WHEN 0 THEN NULL WHEN 2 THEN CAST(5.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS rate_limit,
+  CASE cat WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'D:/private|A:/private/ok'
+           WHEN 3 THEN 'D:/fr/|D:/es|A:/' ELSE 'A:/en/|D:/' END AS rules_text
+  FROM hosts)"""
+
+
+def allowed_sql(cat: str, path: str) -> str:
+    return f"""CASE WHEN {cat} IS NULL OR {cat} IN (0, 1) THEN true
+     WHEN {cat} = 2 THEN NOT starts_with({path}, '/private')
+     WHEN {cat} = 3 THEN NOT (starts_with({path}, '/fr/') OR starts_with({path}, '/es'))
+     ELSE starts_with({path}, '/en/') END"""
+
+
+def req_path(u: str) -> str:
+    return (f"coalesce(nullif(replace(replace(replace(replace(regexp_extract({u}, "
+            f"'^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*(.*)$', 1), '?', '%3F'), '=', '%3D'), '&', '%26'), "
+            f"'#', '%23'), ''), '/')")
+
+
+WAITS = f"""b AS (SELECT page_id, url, html, page_id AS seq FROM pages),
+f AS ({fixture('b')}),
+good AS (SELECT * FROM f WHERE {GOOD}),
+gk AS (SELECT g.*, {host_key_sql('url', 'host', 'domain')} AS host_key
+       FROM (SELECT good.*, {domain_sql('host')} AS domain
+             FROM (SELECT good.*, {host_sql('url')} AS host FROM good) good) g),
+gw AS (SELECT gk.host_key, gk.fetched_at,
+  coalesce(
+    CASE WHEN gk.status IN (403, 429, 503) THEN
+      CASE WHEN retry_after IS NULL OR retry_after = '' THEN gk.fetched_at + INTERVAL 15 SECOND
+           WHEN regexp_full_match(retry_after, '[0-9]+') THEN gk.fetched_at + to_seconds(CAST(retry_after AS BIGINT))
+           WHEN retry_after = 'Wed, 21 Oct 2026 07:28:00 GMT' THEN TIMESTAMP '2026-10-21 07:28:00'
+           ELSE gk.fetched_at + INTERVAL 15 SECOND END END,
+    CASE WHEN rob.cat IS NULL OR rob.cat = 0 THEN NULL
+         ELSE gk.fetched_at + to_milliseconds(CAST(floor(greatest(coalesce(rob.rate_limit, 0), 0.2) * 1000) AS BIGINT)) END,
+    gk.fetched_at + INTERVAL 1 SECOND) AS t
+  FROM gk LEFT JOIN rob USING (host_key)),
+waits AS (SELECT host_key, arg_max(t, fetched_at) AS next_allowed_at FROM gw GROUP BY host_key),
+sleeps AS (SELECT host_key, CASE WHEN s > 0.05 THEN s ELSE CAST(0 AS DOUBLE) END AS sleep_seconds
+           FROM (SELECT host_key, (epoch_us(next_allowed_at) - epoch_us({AS_OF})) / 1000000.0 AS s FROM waits))"""
+
+PAGE_HOSTS = f"""ph AS (SELECT url, {host_key_sql('url', 'host', 'domain')} AS host_key
+       FROM (SELECT url, host, {domain_sql('host')} AS domain FROM (SELECT url, {host_sql('url')} AS host FROM pages)))"""
+
+DEFER = f"""{PAGE_HOSTS},
+hc AS (SELECT host_key, count(DISTINCT url) AS n_urls FROM ph GROUP BY host_key),
+hd AS (SELECT hc.host_key, n_urls, coalesce(sleeps.sleep_seconds, CAST(0 AS DOUBLE)) AS sleep_seconds
+       FROM hc LEFT JOIN sleeps USING (host_key)),
+defer AS (SELECT ph.url, hd.*, NOT (hd.sleep_seconds * hd.n_urls < 3) AS deferred
+          FROM ph JOIN hd USING (host_key))"""
+
+SQL["robots_rules"] = f"""WITH {HOSTS}
+SELECT host_key, has_rules, rate_limit, rules_text FROM rob"""
+
+SQL["robots_allowed"] = f"""WITH {HOSTS}, {PAGE_HOSTS}
+SELECT p.page_id, p.url, ph.host_key, {allowed_sql('rob.cat', req_path('p.url'))} AS allowed
+FROM pages p JOIN ph USING (url) LEFT JOIN rob USING (host_key)"""
+
+SQL["next_allowed"] = f"""WITH {HOSTS}, {WAITS}
+SELECT host_key, next_allowed_at FROM waits"""
+
+SQL["sleep_times"] = f"""WITH {HOSTS}, {WAITS}
+SELECT host_key, round(sleep_seconds, 9) AS sleep_seconds FROM sleeps"""
+
+SQL["deferred_urls"] = f"""WITH {HOSTS}, {WAITS}, {DEFER}
+SELECT url, host_key, n_urls, round(sleep_seconds, 9) AS sleep_seconds, deferred FROM defer"""
+
+SQL["batch_wait"] = f"""WITH {HOSTS}, {WAITS}, {DEFER}
+SELECT round(max(sleep_seconds), 9) AS wait_seconds FROM (SELECT DISTINCT host_key, sleep_seconds
+                                                         FROM defer WHERE NOT deferred)"""
+
+SQL["politeness_metrics"] = f"""WITH {HOSTS}, {PAGE_HOSTS},
+seeds AS (SELECT (row_number() OVER (ORDER BY page_id) - 1) // 3 AS batch_id, url FROM pages WHERE trim(url) <> ''),
+pairs AS (SELECT DISTINCT s.batch_id, ph.host_key FROM seeds s JOIN ph USING (url)
+          WHERE ph.host_key NOT IN ('http://', 'https://')),
+hs AS (SELECT DISTINCT p.host_key, rob.cat FROM pairs p LEFT JOIN rob USING (host_key)),
+m AS (SELECT count(*) AS misses, count(*) FILTER (WHERE cat IS NULL OR cat = 0) AS blocked FROM hs),
+t AS (SELECT count(*) AS lookups FROM pairs)
+SELECT lookups - misses AS cache_hits, misses, blocked,
+       round((lookups - misses) * 100.0 / nullif(lookups, 0), 9) AS cache_hit_pct,
+       round(blocked * 100.0 / nullif(misses, 0), 9) AS blocked_pct
+FROM m, t"""
+
+CANDS = f"""{PTEXT}, nonempty AS (SELECT * FROM ptext WHERE length(text) > 0),
+links AS ({outlinks('nonempty')}),
+cands AS (SELECT DISTINCT outlink AS url FROM links
+          EXCEPT SELECT outlink FROM links WHERE contains(url, '/en/'))"""
+
+SQL["unseen_urls"] = f"""WITH {CANDS}
+SELECT url FROM cands"""
+
+SQL["frontier_batches"] = f"""WITH {HOSTS}, {WAITS}, {CANDS},
+ch AS (SELECT url, host, {domain_sql('host')} AS domain FROM (SELECT url, {host_sql('url')} AS host FROM cands)),
+ck AS (SELECT url, host, domain, {host_key_sql('url', 'host', 'domain')} AS host_key FROM ch),
+valid AS (SELECT * FROM ck WHERE host_key NOT IN ('http://', 'https://')),
+hc AS (SELECT host_key, count(DISTINCT url) AS n_urls FROM valid GROUP BY host_key),
+ready AS (SELECT v.* FROM valid v JOIN hc USING (host_key) LEFT JOIN sleeps USING (host_key)
+          WHERE coalesce(sleeps.sleep_seconds, 0) * hc.n_urls < 3),
+allowed AS (SELECT r.* FROM ready r LEFT JOIN rob USING (host_key)
+            WHERE {allowed_sql('rob.cat', req_path('r.url'))}),
+doms AS (SELECT domain, count(*) AS n_urls,
+                row_number() OVER (ORDER BY count(*) DESC, domain) - 1 AS drank FROM allowed GROUP BY domain),
+lim AS (SELECT CASE WHEN (SELECT count(*) FROM doms) > 2
+                    THEN (SELECT n_urls FROM doms WHERE drank = 2) END AS max_round),
+rounds AS (SELECT a.url, a.domain, d.drank,
+                  row_number() OVER (PARTITION BY a.domain ORDER BY a.url) AS round
+           FROM allowed a JOIN doms d USING (domain)),
+kept AS (SELECT r.* FROM rounds r, lim WHERE lim.max_round IS NULL OR r.round <= lim.max_round),
+pos AS (SELECT *, row_number() OVER (ORDER BY round, drank) - 1 AS p FROM kept)
+SELECT CAST(p // 50 AS BIGINT) AS batch_id, CAST(p % 50 AS BIGINT) AS pos, url, domain,
+       CAST(round AS BIGINT) AS round FROM pos"""
+
+SQL["crawl_budget"] = f"""WITH {PTEXT},
+ord AS (SELECT page_id, url, text, html, row_number() OVER (ORDER BY page_id, url) AS fetch_rank FROM ptext),
+em AS (SELECT * FROM ord WHERE fetch_rank <= 100 AND length(text) > 0),
+links AS ({outlinks('em')}),
+n AS (SELECT page_id, count(*) AS n_outlinks FROM links GROUP BY page_id)
+SELECT o.url, CAST(o.fetch_rank AS BIGINT) AS fetch_rank, o.fetch_rank <= 100 AS emits_links,
+       CAST(coalesce(n.n_outlinks, 0) AS BIGINT) AS n_outlinks
+FROM ord o LEFT JOIN n USING (page_id)"""
+
+SQL["integrity_report"] = f"""WITH {INGEST}, {DOCS}, {index_ctes('docs')},
+pcount AS (SELECT term, count(*) AS n FROM postings GROUP BY term)
+SELECT 'pages_unique_page_id' AS rule, CAST(count(*) - count(DISTINCT page_id) AS BIGINT) AS violations,
+       CAST(count(*) AS BIGINT) AS checked FROM pages
+UNION ALL SELECT 'pages_unique_url', count(*) - count(DISTINCT url), count(*) FROM pages
+UNION ALL SELECT 'pages_html_not_null', count(*) FILTER (WHERE html IS NULL), count(*) FROM pages
+UNION ALL SELECT 'graph_unique_url', count(*) - count(DISTINCT page_url), count(*) FROM stored
+UNION ALL SELECT 'graph_edge_source_fk', count(*) FILTER (WHERE source_url NOT IN (SELECT page_url FROM stored)), count(*) FROM edges
+UNION ALL SELECT 'graph_edge_target_fk', count(*) FILTER (WHERE target_url NOT IN (SELECT page_url FROM stored)), count(*) FROM edges
+UNION ALL SELECT 'graph_edge_pk', count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM edges)), count(*) FROM edges
+UNION ALL SELECT 'index_unique_term', count(*) - count(DISTINCT term), count(*) FROM terms
+UNION ALL SELECT 'index_term_id_unique', count(*) - count(DISTINCT term), count(*) FROM terms
+UNION ALL SELECT 'index_posting_pk', count(*) - (SELECT count(*) FROM (SELECT DISTINCT term, page_id FROM postings)), count(*) FROM postings
+UNION ALL SELECT 'index_posting_page_fk', count(*) FILTER (WHERE page_id NOT IN (SELECT page_id FROM docs)), count(*) FROM postings
+UNION ALL SELECT 'index_total_pages_not_null', count(*) FILTER (WHERE total_pages IS NULL), count(*) FROM terms
+UNION ALL SELECT 'index_total_pages_matches', count(*) FILTER (WHERE coalesce(n, 0) <> total_pages), count(*)
+          FROM terms LEFT JOIN pcount USING (term)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
