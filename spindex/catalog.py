@@ -549,3 +549,41 @@ def integrity_report(spark, sf_dir):
         "index_total_pages_not_null": qa.nulls(terms, "total_pages"),
         "index_total_pages_matches": df_check,
     })
+
+
+# --- streaming -------------------------------------------------------------------------------
+
+INDEX_CHUNK = 750  # pages per indexing chunk
+
+
+@register("ingest_batches")
+def ingest_batches(spark, sf_dir):
+    """Responses streamed in micro-batches (one file each, re-crawls
+    last) and merged with foreachBatch; final pages equal the batch run."""
+    import time
+    from spindex.sources.responses import captured_responses, recrawl_responses
+    from spindex.streaming.ingest_stream import load_graph, run_ingest_stream
+    from spindex.streaming.state import scratch_dir
+    pages = tb.read_pages(spark, sf_dir)
+    src = scratch_dir(spark, "responses")
+    first = captured_responses(pages)
+    first.repartitionByRange(4, "seq").write.parquet(f"{src}/a")
+    time.sleep(1.1)  # the file source orders files by modification time
+    recrawl_responses(pages).coalesce(1).write.parquet(f"{src}/b")
+    state, _ = run_ingest_stream(spark, f"{src}/*/*.parquet")
+    g = load_graph(spark, state)
+    return g.pages.select("page_url", F.col("page_content").isNotNull().alias("has_content"))
+
+
+@register("incremental_index")
+def incremental_index(spark, sf_dir):
+    """Documents streamed chunk by chunk into an add-only index;
+    final dictionary equals a batch build with the rare-term rule per chunk."""
+    from spindex.streaming.index_stream import run_index_stream
+    from spindex.streaming.state import scratch_dir
+    docs = documents_corpus(spark, sf_dir).withColumn(
+        "chunk", F.floor(F.col("page_id") / F.lit(INDEX_CHUNK)).cast("bigint"))
+    src = scratch_dir(spark, "documents")
+    docs.repartition("chunk").write.partitionBy("chunk").parquet(src)
+    terms, _ = run_index_stream(spark, src)
+    return terms.select("term", "total_pages")

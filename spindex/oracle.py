@@ -544,5 +544,22 @@ UNION ALL SELECT 'index_total_pages_matches', count(*) FILTER (WHERE coalesce(n,
           FROM terms LEFT JOIN pcount USING (term)"""
 
 
+
+# --- streaming ---------------------------------------------------------------------------
+
+SQL["ingest_batches"] = SQL["pages_with_stubs"]
+
+SQL["incremental_index"] = f"""WITH {DOCS},
+chunked AS (SELECT page_id, page_content, CAST(floor(page_id / 750) AS BIGINT) AS chunk FROM docs),
+tok AS (SELECT chunk, page_id, lower(unnest(regexp_extract_all(translate(regexp_replace(
+          page_content, '[^\\x00-\\x7F]', '', 'g'), {P}, {SP}), {PAT}))) AS term
+        FROM chunked WHERE page_content IS NOT NULL),
+occ AS (SELECT * FROM tok WHERE {KEEP_OCC}),
+pt AS (SELECT chunk, term, page_id, count(*) AS occurrences FROM occ GROUP BY ALL),
+st AS (SELECT chunk, term, sum(occurrences) AS occurrences FROM pt GROUP BY ALL),
+kept AS (SELECT chunk, term FROM st WHERE (length(term) > 3 AND length(term) < 15) OR occurrences > 20),
+post AS (SELECT DISTINCT pt.term, pt.page_id FROM pt JOIN kept USING (chunk, term))
+SELECT term, count(*) AS total_pages FROM post GROUP BY term"""
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
