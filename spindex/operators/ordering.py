@@ -6,7 +6,8 @@ partition.  Instead: sort (range-partitioned, distributed), tag rows with
 in the lower 33 bits), count rows per partition (one tiny row per
 partition), turn counts into offsets, and add them back with a broadcast of
 that tiny table.  The sorted data is checkpointed first so the ids are
-computed once.
+computed once
+(written to the checkpoint folder and read back).
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindex.session import ensure_checkpoint_dir
+from spindex.session import materialize as write_once
 
 _LOW_BITS = (1 << 33) - 1
 
@@ -22,10 +23,8 @@ _LOW_BITS = (1 << 33) - 1
 def with_global_position(df: DataFrame, order_cols, name: str = "pos") -> DataFrame:
     """``df`` plus a 0-based ``name`` column: the row's rank in ``order_cols``
     order (ties broken arbitrarily but consistently)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    tagged = (df.orderBy(*order_cols)
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
+    tagged = write_once(df.orderBy(*order_cols)
+                        .withColumn("_mid", F.monotonically_increasing_id()), "positions")
     pid = F.shiftright(F.col("_mid"), 33)
     counts = tagged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

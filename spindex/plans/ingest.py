@@ -62,8 +62,7 @@ def ingest(graph: LinkGraph, responses: DataFrame, seq_col: str = "seq",
 
 
 def materialize(graph: LinkGraph) -> LinkGraph:
-    """Cut lineage after a batch: both tables are checkpointed to the
-    cluster's checkpoint folder (reliable storage, survives lost executors)."""
-    from spindex.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(graph.pages.sparkSession)
-    return LinkGraph(graph.pages.checkpoint(eager=True), graph.edges.checkpoint(eager=True))
+    """Cut lineage after a batch: both tables are written to the cluster's
+    checkpoint folder (shared storage, survives lost executors)."""
+    from spindex.session import materialize as write_once
+    return LinkGraph(write_once(graph.pages, "pages"), write_once(graph.edges, "edges"))

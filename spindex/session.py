@@ -92,3 +92,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="spindex-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return configured
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` once as Parquet under the cluster's checkpoint folder and
+    return a DataFrame reading it back.
+
+    This cuts lineage (later stages and retries read the written files, not
+    the upstream plan) with a single computation of ``df``; an RDD-level
+    checkpoint would compute an uncached plan twice.  The folder comes from
+    ``spark.checkpoint.dir``, so it is shared storage on a cluster.
+    """
+    import uuid
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

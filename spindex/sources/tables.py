@@ -27,13 +27,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, schema: str | None =
     return reader.parquet(table_path(sf_dir, name))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread a scan that yields fewer splits than the cluster has task
+    slots (e.g. one large Parquet row group), so per-row text work runs in
+    parallel.  A scan that already has enough splits is returned unchanged:
+    on a many-file input this adds no shuffle."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots, key)
+
+
 def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured pages ``(page_id, url, html)``."""
-    return read_table(spark, sf_dir, "pages", PAGES_SCHEMA)
+    return spread(read_table(spark, sf_dir, "pages", PAGES_SCHEMA), "page_id")
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents", DOCUMENTS_SCHEMA)
+    return spread(read_table(spark, sf_dir, "documents", DOCUMENTS_SCHEMA), "doc_id")
 
 
 def read_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
