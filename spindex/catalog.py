@@ -444,7 +444,8 @@ def robots_allowed(spark, sf_dir):
 def next_allowed(spark, sf_dir):
     """Next allowed fetch time per host."""
     w = waits_table(spark, sf_dir)
-    return w.select("host_key", F.col("next_allowed_at").cast("timestamp_ntz").alias("next_allowed_at"))
+    from spindex.functions.timeutil import utc_wall_clock
+    return w.select("host_key", utc_wall_clock("next_allowed_at", spark).alias("next_allowed_at"))
 
 
 @register("sleep_times")

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindex.functions.timeutil import utc_instant
+
 RESPONSES_SCHEMA = ("url STRING, ok BOOLEAN, status INT, headers MAP<STRING,STRING>, "
                     "text STRING, received BOOLEAN, fetched_at TIMESTAMP, seq BIGINT")
 
@@ -49,7 +51,7 @@ def fixture_columns(pages: DataFrame) -> DataFrame:
               [F.length("html").cast("string")] * 8).alias("content_length"),
         _pick("page_id", 4, [None, "120", RETRY_DATE, "soon"]).alias("retry_after"),
         (F.pmod(pid, F.lit(3)) == 0).alias("lower_names"),
-        (F.to_timestamp(F.lit(EPOCH)) + F.make_dt_interval(secs=pid.cast("decimal(18,6)")))
+        F.timestamp_micros(F.unix_micros(utc_instant(EPOCH)) + pid * F.lit(1_000_000))
         .alias("fetched_at"),
     )
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindex.functions.timeutil import utc_instant
 from spindex.functions.urls import host_key, url_fqdn
 
 # Fixture texts, indexed by length(host) % 5; index 0 is a failed fetch.
@@ -34,4 +35,4 @@ def robots_responses(urls: DataFrame) -> DataFrame:
         v = F.lit(t).cast("string")
         text = F.when(k == i, v) if text is None else text.when(k == i, v)
     return hosts.select("host_key", (k != 0).alias("ok"), text.alias("text"),
-                        F.to_timestamp(F.lit(FETCHED_AT)).alias("fetched_at"))
+                        utc_instant(FETCHED_AT).alias("fetched_at"))
