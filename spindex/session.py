@@ -16,6 +16,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # HTML rows can be megabytes; keep Arrow batches to pandas UDFs small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

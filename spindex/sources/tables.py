@@ -32,8 +32,11 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     slots (e.g. one large Parquet row group), so per-row text work runs in
     parallel.  A scan that already has enough splits is returned unchanged:
     on a many-file input this adds no shuffle."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= slots:
+            return df
+    except Exception:  # no RDD view (e.g. a remote session): leave the scan as is
         return df
     return df.repartition(slots, key)
 
