@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindex.functions.text import index_terms, keep_index_term, keep_rare_term
+from spindex.operators.joins import missing_from
 
 POSTING_BLOCK = 1024  # page ids per posting block (a block holds at most this many)
 
@@ -96,17 +97,15 @@ def refresh_document_frequency(terms: DataFrame, postings: DataFrame) -> DataFra
 
 def insert_terms(terms: DataFrame, new_terms: DataFrame) -> DataFrame:
     """Add unseen terms with ``total_pages = 0``; existing terms are kept."""
-    fresh = (new_terms.select("term").distinct()
-             .join(terms.select("term"), "term", "left_anti")
+    fresh = (missing_from(new_terms.select("term").distinct(), terms, ["term"])
              .select(term_id().alias("term_id"), "term", F.lit(0).cast("bigint").alias("total_pages")))
     return terms.unionByName(fresh)
 
 
 def insert_postings(postings: DataFrame, new_postings: DataFrame) -> DataFrame:
     """Add-only postings: conflicts on (term_id, page_id) are ignored."""
-    fresh = (new_postings.select("term_id", "term", "page_id")
-             .dropDuplicates(["term_id", "page_id"])
-             .join(postings.select("term_id", "page_id"), ["term_id", "page_id"], "left_anti"))
+    fresh = missing_from(new_postings.select("term_id", "term", "page_id")
+                         .dropDuplicates(["term_id", "page_id"]), postings, ["term_id", "page_id"])
     return postings.unionByName(fresh)
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindex.operators import links as lk
+from spindex.operators.joins import missing_from
+from spindex.session import materialize as write_once
 from spindex.operators.responses import good_responses
 
 
@@ -44,19 +46,23 @@ def ingest(graph: LinkGraph, responses: DataFrame, seq_col: str = "seq",
            emit_links=None) -> tuple[LinkGraph, DataFrame]:
     """One ingest batch.  Returns the new graph and a one-row counter frame
     ``(pages_stored, stubs_added, edges_added)``."""
-    batch = parse_responses(responses, seq_col)
+    # The parsed batch and its outlinks feed several branches; they are
+    # batch-sized, so they are written once (HTML parsed once) and read back.
+    batch = write_once(parse_responses(responses, seq_col), "ingest-batch")
     pages = lk.upsert_pages(graph.pages, batch, dedupe=False)
-    links = lk.resolved_outlinks(batch.withColumn("page_id", F.lit(None).cast("bigint")), emit_links) \
-        .select("url", "outlink")
+    links = write_once(
+        lk.resolved_outlinks(batch.withColumn("page_id", F.lit(None).cast("bigint")), emit_links)
+        .select("url", "outlink"), "ingest-links")
     pages = lk.insert_stub_pages(pages, links)
     new_edges = lk.link_edges(pages, links)
     edges = lk.insert_edges(graph.edges, new_edges)
+    targets = links.select(F.col("outlink").alias("page_url")).distinct()
+    stubs = (missing_from(targets, graph.pages, ["page_url"])
+             .join(batch.select(F.col("url").alias("page_url")), "page_url", "left_anti"))
+    keys = ["source_page_id", "outgoing_page_id"]
     counts = (batch.agg(F.count(F.lit(1)).alias("pages_stored"))
-              .crossJoin(links.select("outlink").distinct()
-                         .join(graph.pages.select(F.col("page_url").alias("outlink")), "outlink", "left_anti")
-                         .join(batch.select(F.col("url").alias("outlink")), "outlink", "left_anti")
-                         .agg(F.count(F.lit(1)).alias("stubs_added")))
-              .crossJoin(new_edges.join(graph.edges, ["source_page_id", "outgoing_page_id"], "left_anti")
+              .crossJoin(stubs.agg(F.count(F.lit(1)).alias("stubs_added")))
+              .crossJoin(missing_from(new_edges, graph.edges, keys)
                          .agg(F.count(F.lit(1)).alias("edges_added"))))
     return LinkGraph(pages, edges), counts
 
