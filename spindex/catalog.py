@@ -79,13 +79,6 @@ def documents_index(spark, sf_dir):
     return ix.build_index(documents_corpus(spark, sf_dir))
 
 
-def written_index(corpus: DataFrame):
-    """Index tables as a deployment reads them: built once and written
-    (checkpointed to the shared checkpoint folder) before queries run."""
-    terms, postings = ix.build_index(corpus)
-    return write_once(terms, "terms"), write_once(postings, "postings")
-
-
 # --- index ----------------------------------------------------------------------------
 
 @register("scan_indexable")
@@ -204,8 +197,9 @@ def term_frequency(spark, sf_dir):
 
 def _doc_weights(spark, sf_dir):
     c = documents_corpus(spark, sf_dir)
-    terms, postings = written_index(c)
-    w = se.query_term_weights(benchmark_queries(spark, sf_dir), terms, ix.page_count(c))
+    q = benchmark_queries(spark, sf_dir)
+    terms, postings = ix.query_scoped_index(c, se.query_term_counts(q).select("term"))
+    w = se.materialize(se.query_term_weights(q, terms, ix.page_count(c)))
     return c, terms, postings, w
 
 
@@ -239,8 +233,9 @@ def cosine_scores(spark, sf_dir):
 def link_boost(spark, sf_dir):
     """URL boost of every candidate of every title query on pages."""
     c = pages_corpus(spark, sf_dir)
-    terms, postings = written_index(c)
-    w = se.query_term_weights(title_queries(spark, sf_dir), terms, ix.page_count(c))
+    q = title_queries(spark, sf_dir)
+    terms, postings = ix.query_scoped_index(c, se.query_term_counts(q).select("term"))
+    w = se.materialize(se.query_term_weights(q, terms, ix.page_count(c)))
     cand = se.candidate_pages(w, postings)
     tf = se.term_frequencies(c, w.select("term"))
     s = se.score_candidates(cand, w, tf, c)
@@ -251,25 +246,24 @@ def link_boost(spark, sf_dir):
 def search_top20(spark, sf_dir):
     """One query (title of the first page), global top 20."""
     c = pages_corpus(spark, sf_dir)
-    terms, postings = written_index(c)
     first = title_queries(spark, sf_dir).orderBy("query_id").limit(1)
-    return se.search_ranked(first, c, terms, postings, k=20)
+    return se.search_ranked(first, c, k=20)
 
 
 @register("search_batch")
 def search_batch(spark, sf_dir):
-    """Every page title as a query over the pages corpus, top 20 each."""
+    """Every page title as a query over the pages corpus, top 20 each
+    (index built for the batch's query vocabulary)."""
     c = pages_corpus(spark, sf_dir)
-    terms, postings = written_index(c)
-    return se.search(title_queries(spark, sf_dir), c, terms, postings, k=20)
+    return se.search(title_queries(spark, sf_dir), c, k=20)
 
 
 @register("search_documents")
 def search_documents(spark, sf_dir):
-    """P3 on documents: every benchmark passage as a query, top 20 each."""
+    """P3 on documents: every benchmark passage as a query, top 20 each
+    (index built for the batch's query vocabulary)."""
     c = documents_corpus(spark, sf_dir)
-    terms, postings = written_index(c)
-    return se.search(benchmark_queries(spark, sf_dir), c, terms, postings, k=20)
+    return se.search(benchmark_queries(spark, sf_dir), c, k=20)
 
 
 # --- responses, parsing, outlinks -------------------------------------------------

@@ -87,6 +87,27 @@ def build_index(corpus: DataFrame, stopwords=None, scope_col: str | None = None)
     return terms, postings
 
 
+def query_scoped_index(corpus: DataFrame, vocabulary: DataFrame, stopwords=None):
+    """``(terms, postings)`` restricted to ``vocabulary(term)``.
+
+    Whether a term is kept, and its document frequency, depend only on that
+    term's own occurrences, so restricting occurrences to the vocabulary
+    before aggregating gives the same rows as the full index for those
+    terms.  A query batch then aggregates its own terms only, never the
+    corpus vocabulary.  The vocabulary is the build side of the semi join
+    (broadcast when AQE measures it small).
+    """
+    vocab = vocabulary.select("term").distinct()
+    occ = term_occurrences(corpus, stopwords).join(vocab, "term", "left_semi")
+    pt = page_term_counts(occ)
+    stats = term_statistics(pt)
+    kept = stats.where(keep_rare_term("term", "occurrences"))
+    terms = kept.select(term_id().alias("term_id"), "term", F.col("pages").alias("total_pages"))
+    postings = (pt.join(kept.select("term"), "term", "left_semi")
+                .select(term_id().alias("term_id"), "term", "page_id"))
+    return terms, postings
+
+
 def refresh_document_frequency(terms: DataFrame, postings: DataFrame) -> DataFrame:
     """``total_pages`` = number of postings of the term, 0 when it has none
     (the correlated count, written as grouped count + left join)."""
