@@ -558,25 +558,58 @@ def integrity_report(spark, sf_dir):
 INDEX_CHUNK = 750  # pages per indexing chunk
 
 
-@register("ingest_batches")
-def ingest_batches(spark, sf_dir):
-    """Responses streamed in micro-batches (one file each, re-crawls
-    last) and merged with foreachBatch; final pages equal the batch run."""
+def _response_stream_source(spark, sf_dir):
+    """Responses written as stream input: every page in four files, then the
+    re-crawls (later files; the file source orders by modification time)."""
     import time
     from spindex.sources.responses import captured_responses, recrawl_responses
-    from spindex.streaming.ingest_stream import load_graph, run_ingest_stream
     from spindex.streaming.state import scratch_dir
     pages = tb.read_pages(spark, sf_dir)
     src = scratch_dir(spark, "responses")
-    first = captured_responses(pages)
-    first.repartitionByRange(4, "seq").write.parquet(f"{src}/a")
-    time.sleep(1.1)  # the file source orders files by modification time
+    captured_responses(pages).repartitionByRange(4, "seq").write.parquet(f"{src}/a")
+    time.sleep(1.1)
     recrawl_responses(pages).coalesce(1).write.parquet(f"{src}/b")
-    state, _ = run_ingest_stream(spark, f"{src}/*/*.parquet")
+    return f"{src}/*/*.parquet"
+
+
+@register("ingest_batches")
+def ingest_batches(spark, sf_dir):
+    """Responses streamed in micro-batches (one file each, re-crawls
+    last) and merged with foreachBatch; final pages equal the batch run."""
+    from spindex.streaming.ingest_stream import load_graph, run_ingest_stream
+    state, _ = run_ingest_stream(spark, _response_stream_source(spark, sf_dir))
     g = load_graph(spark, state)
     return g.pages.select("page_url", F.col("page_content").isNotNull().alias("has_content"))
 
 
+@register("stream_waits")
+def stream_waits(spark, sf_dir):
+    """Per-host wait state merged micro-batch by micro-batch (last write
+    wins) equals the wait table of all responses at once."""
+    from spindex.functions.timeutil import utc_wall_clock
+    from spindex.streaming.ingest_stream import load_waits, run_ingest_stream
+    rules = write_once(robots_table(spark, sf_dir), "robots-rules")  # read by every micro-batch
+    state, _ = run_ingest_stream(spark, _response_stream_source(spark, sf_dir), rules=rules)
+    w = load_waits(spark, state)
+    return w.select("host_key", utc_wall_clock("next_allowed_at", spark).alias("next_allowed_at"))
+
+
+@register("seen_stream")
+def seen_stream(spark, sf_dir):
+    """Discovered URLs (outlinks, in four files by source page) through
+    a streaming de-duplication; each URL is emitted once."""
+    from spindex.functions.timeutil import utc_instant
+    from spindex.streaming.seen_stream import run_seen_stream
+    from spindex.streaming.state import scratch_dir
+    links = lk.resolved_outlinks(pages_parsed(spark, sf_dir))
+    found = links.select(F.col("outlink").alias("url"),
+                         F.timestamp_micros(F.unix_micros(utc_instant("2024-01-01 00:00:00"))
+                                            + F.col("page_id") * 1_000_000).alias("discovered_at"))
+    src = scratch_dir(spark, "discovered")
+    found.repartitionByRange(4, "discovered_at").write.parquet(src)
+    return run_seen_stream(spark, src).select("url")
+
+
 @register("incremental_index")
 def incremental_index(spark, sf_dir):
     """Documents streamed chunk by chunk into an add-only index;

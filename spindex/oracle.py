@@ -241,7 +241,7 @@ def fixture(src: str) -> str:
        ELSE CAST(length(html) AS VARCHAR) END AS cl,
   CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '120' WHEN 2 THEN 'Wed, 21 Oct 2026 07:28:00 GMT'
        ELSE 'soon' END AS retry_after,
-  TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id) AS fetched_at
+  TIMESTAMP '2024-01-01 00:00:00' + to_seconds(seq) AS fetched_at
 FROM {src}"""
 
 
@@ -424,7 +424,19 @@ def req_path(u: str) -> str:
             f"'#', '%23'), ''), '/')")
 
 
-WAITS = f"""b AS (SELECT page_id, url, html, page_id AS seq FROM pages),
+B1 = "SELECT page_id, url, html, page_id AS seq FROM pages"
+B1_B2 = f"""{B1}
+  UNION ALL
+  SELECT page_id, url, replace(regexp_replace(html, '(?s)<nav>.*?</nav>', '', 'g'), '</article>',
+         '<p>Second visit.</p></article>') AS html, page_id + 1000000 AS seq
+  FROM pages WHERE contains(url, '?')
+  UNION ALL
+  SELECT page_id, url, html, page_id + 500000 AS seq FROM pages WHERE contains(url, '?')"""
+
+
+def waits_ctes(source: str) -> str:
+    """CTEs ``good, waits, sleeps`` for the responses of ``source`` rows."""
+    return f"""b AS ({source}),
 f AS ({fixture('b')}),
 good AS (SELECT * FROM f WHERE {GOOD}),
 gk AS (SELECT g.*, {host_key_sql('url', 'host', 'domain')} AS host_key
@@ -445,6 +457,9 @@ waits AS (SELECT host_key, arg_max(t, fetched_at) AS next_allowed_at FROM gw GRO
 sleeps AS (SELECT host_key, CASE WHEN s > 0.05 THEN s ELSE CAST(0 AS DOUBLE) END AS sleep_seconds
            FROM (SELECT host_key, (epoch_us(next_allowed_at) - epoch_us({AS_OF})) / 1000000.0 AS s FROM waits))"""
 
+
+WAITS = waits_ctes(B1)
+
 PAGE_HOSTS = f"""ph AS (SELECT url, {host_key_sql('url', 'host', 'domain')} AS host_key
        FROM (SELECT url, host, {domain_sql('host')} AS domain FROM (SELECT url, {host_sql('url')} AS host FROM pages)))"""
 
@@ -455,6 +470,9 @@ hd AS (SELECT hc.host_key, n_urls, coalesce(sleeps.sleep_seconds, CAST(0 AS DOUB
 defer AS (SELECT ph.url, hd.*, NOT (hd.sleep_seconds * hd.n_urls < 3) AS deferred
           FROM ph JOIN hd USING (host_key))"""
 
+SQL["stream_waits"] = f"""WITH {HOSTS}, {waits_ctes(B1_B2)}
+SELECT host_key, next_allowed_at FROM waits"""
+
 SQL["robots_rules"] = f"""WITH {HOSTS}
 SELECT host_key, has_rules, rate_limit, rules_text FROM rob"""
 
@@ -549,6 +567,9 @@ UNION ALL SELECT 'index_total_pages_matches', count(*) FILTER (WHERE coalesce(n,
 
 SQL["ingest_batches"] = SQL["pages_with_stubs"]
 
+SQL["seen_stream"] = f"""WITH {PTEXT}, nonempty AS (SELECT * FROM ptext WHERE length(text) > 0)
+SELECT DISTINCT outlink AS url FROM ({outlinks('nonempty')})"""
+
 SQL["incremental_index"] = f"""WITH {DOCS},
 chunked AS (SELECT page_id, page_content, CAST(floor(page_id / 750) AS BIGINT) AS chunk FROM docs),
 tok AS (SELECT chunk, page_id, lower(unnest(regexp_extract_all(translate(regexp_replace(

@@ -40,6 +40,7 @@ def fixture_columns(pages: DataFrame) -> DataFrame:
     status = (F.when(F.pmod(pid, F.lit(17)) == 0, F.lit(429))
               .when(F.pmod(pid, F.lit(13)) == 0, F.lit(404)).otherwise(F.lit(200)))
     extra = ["seq"] if "seq" in pages.columns else []
+    seq = F.col("seq") if extra else pid
     return pages.select(
         "page_id", "url", "html", *extra,
         status.alias("status"),
@@ -51,7 +52,7 @@ def fixture_columns(pages: DataFrame) -> DataFrame:
               [F.length("html").cast("string")] * 8).alias("content_length"),
         _pick("page_id", 4, [None, "120", RETRY_DATE, "soon"]).alias("retry_after"),
         (F.pmod(pid, F.lit(3)) == 0).alias("lower_names"),
-        F.timestamp_micros(F.unix_micros(utc_instant(EPOCH)) + pid * F.lit(1_000_000))
+        F.timestamp_micros(F.unix_micros(utc_instant(EPOCH)) + seq * F.lit(1_000_000))
         .alias("fetched_at"),
     )
 

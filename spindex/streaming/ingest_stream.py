@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spindex.operators import links as lk
+from spindex.operators import politeness as po
+from spindex.operators.responses import good_responses
 from spindex.plans.ingest import LinkGraph, ingest
 from spindex.sources.responses import RESPONSES_SCHEMA
 from spindex.streaming.state import latest_epoch, read_version, scratch_dir, write_version
@@ -29,12 +31,22 @@ def load_graph(spark: SparkSession, state_dir: str, epoch: int | None = None) ->
                      read_version(spark, state_dir, "edges", e, ee))
 
 
+WAITS_SCHEMA = "host_key STRING, next_allowed_at TIMESTAMP, fetched_at TIMESTAMP"
+
+
+def load_waits(spark: SparkSession, state_dir: str, epoch: int | None = None) -> DataFrame:
+    e = latest_epoch(spark, state_dir, "waits") if epoch is None else epoch
+    return read_version(spark, state_dir, "waits", e, spark.createDataFrame([], WAITS_SCHEMA))
+
+
 def run_ingest_stream(spark: SparkSession, source_dir: str, state_dir: str | None = None,
-                      files_per_trigger: int = 1, available_now: bool = True):
+                      files_per_trigger: int = 1, available_now: bool = True,
+                      rules: DataFrame | None = None):
     """Drain ``source_dir`` into versioned ``pages``/``edges`` snapshots.
 
-    Returns ``(state_dir, query)``; with ``available_now`` the query has
-    finished when this returns.
+    With robots ``rules`` the per-host wait state (last write wins) is kept
+    as a third table.  Returns ``(state_dir, query)``; with
+    ``available_now`` the query has finished when this returns.
     """
     state_dir = state_dir or scratch_dir(spark, "ingest-state")
     stream = (spark.readStream.schema(RESPONSES_SCHEMA)
@@ -42,11 +54,17 @@ def run_ingest_stream(spark: SparkSession, source_dir: str, state_dir: str | Non
 
     def merge(batch: DataFrame, epoch_id: int) -> None:
         s = batch.sparkSession
+        batch = batch.persist()  # one micro-batch (bounded by files_per_trigger), read twice
         graph = load_graph(s, state_dir, epoch_id - 1)
         nxt, counts = ingest(graph, batch)
         write_version(nxt.pages, state_dir, "pages", epoch_id)
         write_version(nxt.edges, state_dir, "edges", epoch_id)
         write_version(counts, state_dir, "counts", epoch_id)
+        if rules is not None:
+            events = po.wait_events(good_responses(batch), rules)
+            waits = po.merge_waits(load_waits(s, state_dir, epoch_id - 1), events)
+            write_version(waits, state_dir, "waits", epoch_id)
+        batch.unpersist()
 
     w = (stream.writeStream.foreachBatch(merge)
          .option("checkpointLocation", f"{state_dir}/_stream"))
