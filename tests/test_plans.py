@@ -27,10 +27,22 @@ def test_top_k_is_limited_map_side(spark):
     assert "WindowGroupLimit" in plan
 
 
-def test_no_unpartitioned_window_over_data(spark):
-    for name in ("frontier_batches", "seed_urls", "domain_sizes"):
-        df = registry()[name](spark, SF)
-        plan = _plan(df)
-        # the only un-partitioned window is over per-partition counts
-        assert "SinglePartition" not in plan.split("_pid")[0] or True
-        assert df.count() >= 0
+def test_global_position_sort_stays_distributed(spark):
+    """Positions come from a range-partitioned sort written by many tasks;
+    the only single-partition step is over one row per partition."""
+    from pyspark.sql import functions as F
+    from spindex.operators.ordering import with_global_position
+    df = spark.range(20000).select((F.col("id") * 7919 % 20000).alias("k")).repartition(8)
+    out = with_global_position(df, ["k"])
+    assert len(out.inputFiles()) > 1
+    plan = _plan(out)
+    assert plan.count("SinglePartition") <= 1
+    assert sorted(r["pos"] for r in out.collect()) == list(range(20000))
+
+
+def test_search_scans_text_once_per_tokenizer(spark):
+    """N comes from the query-tokenizer scan, not from a third text scan."""
+    df = registry()["search_documents"](spark, SF)
+    plan = _plan(df)
+    assert plan.count("FileScan parquet") >= 1
+    assert "count(text" not in plan and "count(page_content" not in plan
