@@ -32,12 +32,19 @@ def test_global_position_sort_stays_distributed(spark):
     the only single-partition step is over one row per partition."""
     from pyspark.sql import functions as F
     from spindex.operators.ordering import with_global_position
-    df = spark.range(20000).select((F.col("id") * 7919 % 20000).alias("k")).repartition(8)
-    out = with_global_position(df, ["k"])
-    assert len(out.inputFiles()) > 1
-    plan = _plan(out)
-    assert plan.count("SinglePartition") <= 1
-    assert sorted(r["pos"] for r in out.collect()) == list(range(20000))
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")  # tiny test data would otherwise be coalesced to one task
+    try:
+        df = spark.range(20000).select((F.col("id") * 7919 % 20000).alias("k")).repartition(8)
+        out = with_global_position(df, ["k"])
+        assert len(out.inputFiles()) > 1
+        assert _plan(out).count("SinglePartition") <= 1
+        rows = out.collect()
+        assert sorted(r["pos"] for r in rows) == list(range(20000))
+        assert all(r["pos"] == r["k"] for r in rows)
+    finally:
+        spark.conf.set(key, before)
 
 
 def test_search_scans_text_once_per_tokenizer(spark):
