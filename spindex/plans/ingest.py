@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from spindex.operators import links as lk
 from spindex.operators.joins import missing_from
 from spindex.session import materialize as write_once
-from spindex.operators.responses import good_responses
+from spindex.operators.responses import decode_body, good_responses
 
 
 @dataclass
@@ -35,9 +35,12 @@ def empty_graph(spark: SparkSession) -> LinkGraph:
 
 def parse_responses(responses: DataFrame, seq_col: str = "seq") -> DataFrame:
     """Good responses parsed: ``(url, seq, text, hrefs)``; the last record
-    per URL in the batch wins, pages with empty text are dropped."""
-    good = good_responses(responses).select("url", F.col(seq_col).alias("seq"),
-                                            F.col("text").alias("html"))
+    per URL in the batch wins, pages with empty text are dropped.  Responses
+    may carry the decoded ``text`` or the raw ``body`` bytes (decoded as
+    UTF-8, invalid sequences replaced)."""
+    good = good_responses(responses)
+    html = F.col("text") if "text" in responses.columns else decode_body("body")
+    good = good.select("url", F.col(seq_col).alias("seq"), html.alias("html"))
     parsed = lk.page_text(lk.parse_pages(good))
     return lk.last_per_url(parsed.select("url", "seq", "text", "hrefs"))
 

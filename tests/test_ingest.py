@@ -50,3 +50,12 @@ def test_content_then_stub_and_empty_pages(spark):
     assert "https://t.example.com/empty" not in pages  # empty text: not stored
     assert "https://t.example.com/z" not in pages      # and its links not followed
     assert edges == {(a, b)}
+
+
+def test_raw_body_is_decoded_leniently(spark):
+    schema = ("url STRING, ok BOOLEAN, status INT, headers MAP<STRING,STRING>, body BINARY, "
+              "received BOOLEAN, fetched_at TIMESTAMP, seq BIGINT")
+    body = bytearray("<p>café ".encode() + b"\xff</p>")
+    r = spark.createDataFrame([("https://u.example.com/x", True, 200, {}, body, True, None, 1)], schema)
+    g, _ = ingest(empty_graph(spark), r)
+    assert g.pages.first()["page_content"] == "café �"

@@ -96,3 +96,11 @@ def test_waits_and_sleep(spark):
     d = {r["url"]: r["deferred"] for r in po.defer_by_politeness(urls, waits, "2024-01-01 00:00:00").collect()}
     assert d["http://y.example.com/0"] is True      # 3 URLs x 1.0 s is not below 3
     assert d["http://z.example.com/a"] is False     # unknown host sleeps 0
+
+
+@pytest.mark.parametrize("raw", [b"plain", b"abc\xff", b"\xe2\x82", b"x\xe2\x82y", b"\xc3\xa9t\xc3",
+                                 b"\xf0\x9f\x98\x80 ok", b"\xed\xa0\x80", b"\xc0\xaf", b""])
+def test_lenient_utf8_decode(spark, raw):
+    from spindex.operators.responses import decode_body
+    df = spark.createDataFrame([(bytearray(raw),)], "b BINARY")
+    assert df.select(decode_body("b")).first()[0] == raw.decode("utf-8", errors="replace")
