@@ -266,6 +266,16 @@ def search_documents(spark, sf_dir):
     return se.search(benchmark_queries(spark, sf_dir), c, k=20)
 
 
+@register("search_indexed")
+def search_indexed(spark, sf_dir):
+    """P2 + P3: index, term frequencies and page count written once, then
+    the benchmark passages searched against the stored tables."""
+    from spindex.plans.index_build import build_search_index
+    from spindex.plans.search import search_index
+    index = build_search_index(documents_corpus(spark, sf_dir))
+    return search_index(benchmark_queries(spark, sf_dir), index, k=20)
+
+
 # --- responses, parsing, outlinks -------------------------------------------------
 
 def responses(spark, sf_dir) -> DataFrame:

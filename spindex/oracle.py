@@ -582,5 +582,8 @@ kept AS (SELECT chunk, term FROM st WHERE (length(term) > 3 AND length(term) < 1
 post AS (SELECT DISTINCT pt.term, pt.page_id FROM pt JOIN kept USING (chunk, term))
 SELECT term, count(*) AS total_pages FROM post GROUP BY term"""
 
+SQL["search_indexed"] = SQL["search_documents"]
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
