@@ -104,3 +104,17 @@ def test_lenient_utf8_decode(spark, raw):
     from spindex.operators.responses import decode_body
     df = spark.createDataFrame([(bytearray(raw),)], "b BINARY")
     assert df.select(decode_body("b")).first()[0] == raw.decode("utf-8", errors="replace")
+
+
+@pytest.mark.parametrize("text", ["Wed, 21 Oct 2026 07:28:00 GMT", "21 Oct 2026 07:28:00 GMT",
+                                  "Thu, 1 Oct 2026 07:28:00 +0200", "Wed, 21 Oct 2026 07:28:00 +0000",
+                                  "Wed, 21 Oct 2026 07:28 GMT", "Wed,  21 Oct 2026 07:28:00 UTC",
+                                  "soon", "", "120s"])
+def test_http_dates_match_email_utils(spark, text):
+    from email.utils import parsedate_to_datetime
+    try:
+        want = parsedate_to_datetime(text).astimezone(dt.timezone.utc).replace(tzinfo=None)
+    except (TypeError, ValueError, IndexError):
+        want = None
+    got = spark.createDataFrame([(text,)], "t STRING").select(po.http_date(F.col("t")).alias("d")).first()["d"]
+    assert got == want
