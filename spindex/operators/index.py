@@ -145,6 +145,12 @@ def posting_lists(postings: DataFrame, block: int = POSTING_BLOCK) -> DataFrame:
                     F.array_join(F.transform("_ids", lambda x: x.cast("string")), ",").alias("page_ids")))
 
 
+def term_row(terms: DataFrame, term: str) -> DataFrame:
+    """Equality lookup of one term; on a stored dictionary the predicate is
+    pushed to the Parquet scan (row-group statistics skip the rest)."""
+    return terms.where(F.col("term") == F.lit(term))
+
+
 def term_lookup(terms: DataFrame, words: DataFrame) -> DataFrame:
     """IN-list lookup of ``words(term)`` against the dictionary (semi join)."""
     return terms.join(words.select("term").distinct(), "term", "left_semi")

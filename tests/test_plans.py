@@ -53,3 +53,14 @@ def test_search_scans_text_once_per_tokenizer(spark):
     plan = _plan(df)
     assert plan.count("FileScan parquet") >= 1
     assert "count(text" not in plan and "count(page_content" not in plan
+
+
+def test_term_equality_is_pushed_to_the_scan(spark):
+    from spindex.operators import index as ix
+    from spindex.session import materialize
+    from spindex.sources.tables import documents_corpus
+    terms, _ = ix.build_index(documents_corpus(spark, SF))
+    stored = materialize(terms, "terms-test")
+    hit = ix.term_row(stored, "thou")
+    assert "PushedFilters: [IsNotNull(term), EqualTo(term,thou)]" in _plan(hit)
+    assert hit.count() <= 1
