@@ -59,3 +59,15 @@ def test_raw_body_is_decoded_leniently(spark):
     r = spark.createDataFrame([("https://u.example.com/x", True, 200, {}, body, True, None, 1)], schema)
     g, _ = ingest(empty_graph(spark), r)
     assert g.pages.first()["page_content"] == "café �"
+
+
+def test_parsed_page_record(spark):
+    from spindex.operators.links import outlink_lists, parse_pages
+    pages = spark.createDataFrame(
+        [(1, "https://r.example.com/a/b", '<p>t</p><a href="/x/">1</a><a href="y#z">2</a><a href="/x">3</a>'
+                                          '<a href="mailto:q@r">m</a>'),
+         (2, "https://r.example.com/e", '<a href="/only">')],
+        "page_id BIGINT, url STRING, html STRING")
+    rec = {r["page_id"]: (r["text"], list(r["outlinks"])) for r in outlink_lists(parse_pages(pages)).collect()}
+    assert rec == {1: ("t 1 2 3 m", ["https://r.example.com/x", "https://r.example.com/a/y",
+                                     "https://r.example.com/x"])}
