@@ -51,6 +51,18 @@ def main():
         times[name] = round(time.perf_counter() - t0, 3)
         rows[name] = r["n"]
     m = re.search(r"sf([0-9.]+)", sf_dir)
+    import pyarrow.parquet as pq
+    n = {t: pq.ParquetFile(os.path.join(sf_dir, f"{t}.parquet")).metadata.num_rows
+         for t in ("documents", "pages", "benchmark")}
+    rate = {}
+    if times.get("index_postings"):
+        rate["index_documents_per_sec"] = round(n["documents"] / times["index_postings"], 1)
+    if times.get("pages_upserted"):  # two batches: every page, then the re-crawls
+        rate["ingest_pages_per_sec"] = round(n["pages"] / times["pages_upserted"], 1)
+    if times.get("search_documents"):
+        rate["search_sec_per_100_queries_documents"] = round(times["search_documents"] * 100 / n["benchmark"], 3)
+    if times.get("search_batch"):
+        rate["search_sec_per_100_queries_pages"] = round(times["search_batch"] * 100 / n["pages"], 3)
     print(json.dumps({
         "metric": "headline_queries_total_seconds",
         "value": round(sum(times.values()), 3),
@@ -59,6 +71,7 @@ def main():
         "rows": rows,
         "sf": float(m.group(1)) if m else None,
         "cpus": cpus,
+        "throughput": rate,
     }))
     spark.stop()
 
