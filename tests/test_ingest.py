@@ -1,6 +1,5 @@
 """Upsert, stubs, add-only edges on literal batches."""
 
-from pyspark.sql import functions as F
 
 from spindex.plans.ingest import empty_graph, ingest
 

@@ -1,7 +1,6 @@
 """Tokenizers and index filters on edge cases."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from spindex.functions.text import index_terms, keep_index_term, keep_rare_term, query_terms
 from tests import model

@@ -3,7 +3,6 @@
 from urllib.parse import parse_qs, urlencode, urlparse, urlunparse
 
 import pytest
-from pyspark.sql import functions as F
 
 from spindex.functions.constants import TRACKING_PARAMS
 from spindex.functions.urls import (canonical_url, host_key, keep_outlink, registrable_domain,
