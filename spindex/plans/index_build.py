@@ -18,13 +18,22 @@ from spindex.operators import index as ix
 from spindex.session import materialize
 
 
+TERM_BUCKETS = 64
+
+
+def term_bucket(col="term", buckets: int = TERM_BUCKETS):
+    """Partition key of the stored index: a hash bucket of the term."""
+    return F.pmod(F.xxhash64(F.col(col) if isinstance(col, str) else col), F.lit(buckets)).cast("int")
+
+
 @dataclass
 class SearchIndex:
-    terms: DataFrame      # term_id, term, total_pages
-    postings: DataFrame   # term_id, term, page_id
-    tf: DataFrame         # page_id, term, tf_count, doc_len  (query tokenizer)
+    terms: DataFrame      # term_id, term, total_pages, term_bucket
+    postings: DataFrame   # term_id, term, page_id, term_bucket
+    tf: DataFrame         # page_id, term, tf_count, doc_len, term_bucket (query tokenizer)
     n_pages: DataFrame    # one row: n_pages
     urls: DataFrame       # page_id, page_url
+    buckets: int = TERM_BUCKETS
 
 
 def all_term_frequencies(corpus: DataFrame) -> DataFrame:
@@ -37,12 +46,17 @@ def all_term_frequencies(corpus: DataFrame) -> DataFrame:
     return x.groupBy("page_id", "term", "doc_len").agg(F.count(F.lit(1)).alias("tf_count"))
 
 
-def build_search_index(corpus: DataFrame, stopwords=None) -> SearchIndex:
+def build_search_index(corpus: DataFrame, stopwords=None, buckets: int = TERM_BUCKETS) -> SearchIndex:
+    """Write the index tables; term-keyed tables are partitioned by a term
+    hash bucket so a query batch reads only the buckets of its terms."""
     terms, postings = ix.build_index(corpus, stopwords)
+    by = ["term_bucket"]
     return SearchIndex(
-        terms=materialize(terms, "terms"),
-        postings=materialize(postings, "postings"),
-        tf=materialize(all_term_frequencies(corpus), "tf"),
+        terms=materialize(terms.withColumn("term_bucket", term_bucket("term", buckets)), "terms", by),
+        postings=materialize(postings.withColumn("term_bucket", term_bucket("term", buckets)), "postings", by),
+        tf=materialize(all_term_frequencies(corpus).withColumn("term_bucket", term_bucket("term", buckets)),
+                       "tf", by),
         n_pages=materialize(ix.page_count(corpus), "n-pages"),
         urls=materialize(corpus.select("page_id", "page_url"), "urls"),
+        buckets=buckets,
     )

@@ -3,16 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from spindex.functions.constants import TOP_K
 from spindex.operators import search as se
-from spindex.plans.index_build import SearchIndex
+from spindex.plans.index_build import SearchIndex, term_bucket
+
+
+def query_buckets(queries: DataFrame, buckets: int) -> list[int]:
+    """Term buckets a query batch touches: at most ``buckets`` small
+    integers, so collecting them is bounded whatever the data size."""
+    vocab = se.query_term_counts(queries).select(term_bucket("term", buckets).alias("b")).distinct()
+    return sorted(r["b"] for r in vocab.collect())
 
 
 def search_index(queries: DataFrame, index: SearchIndex, k: int = TOP_K) -> DataFrame:
     """Top ``k`` per query reading only stored tables: the dictionary rows
-    and postings of the query terms, their term frequencies, the URLs."""
-    weights = se.materialize(se.query_term_weights(queries, index.terms, index.n_pages))
-    cand = se.candidate_pages(weights, index.postings)
-    tf = index.tf.join(weights.select("term").distinct(), "term", "left_semi")
+    and postings of the query terms, their term frequencies, the URLs.
+    Term-keyed tables are read only in the buckets of the batch's terms
+    (partition pruning at the scan)."""
+    b = query_buckets(queries, index.buckets)
+    pick = F.col("term_bucket").isin(b)
+    terms = index.terms.where(pick).drop("term_bucket")
+    postings = index.postings.where(pick).drop("term_bucket")
+    tf_all = index.tf.where(pick).drop("term_bucket")
+    weights = se.materialize(se.query_term_weights(queries, terms, index.n_pages))
+    cand = se.candidate_pages(weights, postings)
+    tf = tf_all.join(weights.select("term").distinct(), "term", "left_semi")
     return se.top_k_per_query(se.score_candidates(cand, weights, tf, index.urls), k)

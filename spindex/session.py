@@ -96,7 +96,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def materialize(df, name: str = "table"):
+def materialize(df, name: str = "table", partition_by: list[str] | None = None):
     """Write ``df`` once as Parquet under the cluster's checkpoint folder and
     return a DataFrame reading it back.
 
@@ -109,5 +109,8 @@ def materialize(df, name: str = "table"):
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(path)
+    if partition_by:
+        return spark.read.parquet(path).select(*df.columns)
     return spark.read.schema(df.schema).parquet(path)

@@ -64,3 +64,16 @@ def test_term_equality_is_pushed_to_the_scan(spark):
     hit = ix.term_row(stored, "thou")
     assert "PushedFilters: [IsNotNull(term), EqualTo(term,thou)]" in _plan(hit)
     assert hit.count() <= 1
+
+
+def test_stored_index_prunes_term_buckets(spark):
+    from spindex.plans.index_build import build_search_index
+    from spindex.plans.search import search_index
+    from spindex.sources.tables import documents_corpus
+    index = build_search_index(documents_corpus(spark, SF), buckets=16)
+    q = spark.createDataFrame([(0, "thou eran")], "query_id BIGINT, query_text STRING")
+    out = search_index(q, index, k=5)
+    plan = _plan(out)
+    # postings and term frequencies are read only in the batch's buckets
+    assert plan.count("PartitionFilters: [term_bucket") >= 2
+    assert out.count() <= 5
