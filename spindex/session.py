@@ -61,6 +61,10 @@ def ship_package(spark: SparkSession) -> None:
     key = sc.applicationId
     if key in _SHIPPED:
         return
+    # deployments that ship the package themselves (--py-files) turn this off
+    if spark.conf.get("spark.spindex.shipPackage", "true").lower() == "false":
+        _SHIPPED.add(key)
+        return
     import zipfile
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     out = os.path.join(tempfile.mkdtemp(prefix="spindex-pkg-"), "spindex.zip")

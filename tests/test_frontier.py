@@ -39,3 +39,15 @@ def test_global_position_equals_row_number(spark):
     w = Window.orderBy("a", "b", "id")
     want = {r["id"]: r["p"] - 1 for r in df.select("id", F.row_number().over(w).alias("p")).collect()}
     assert got == want
+
+
+def test_interleave_options(spark):
+    by_domain = _urls({"a": 5, "b": 3, "c": 1, "d": 1})
+    df = spark.createDataFrame([(u,) for us in by_domain.values() for u in us], "url STRING")
+    everything, left = interleave(df, batch_size=4, exit_domains=0)
+    assert everything.count() == 10 and left.count() == 0
+    assert sorted((r["batch_id"], r["pos"], r["url"]) for r in everything.collect()) == \
+        sorted((b, p, u) for b, p, u, _ in model.interleave(by_domain, 4, exit_domains=0))
+    two, rest = interleave(df, batch_size=4, exit_domains=0, max_domains=2)
+    assert {r["domain"] for r in two.collect()} == {"a.com", "b.com"}
+    assert {r["domain"] for r in rest.collect()} == {"c.com", "d.com"}
