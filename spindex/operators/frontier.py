@@ -61,7 +61,7 @@ def interleave(urls: DataFrame, batch_size: int = 50, exit_domains: int = 2,
     n_domains = ranked.agg(F.count(F.lit(1)).alias("_nd"))
     cutoff = (ranked.where(F.col("_drank") == exit_domains)
               .select(F.col("n_urls").alias("_max_round")))
-    limits = n_domains.join(cutoff, how="left").select(
+    limits = n_domains.join(cutoff, how="left").select(  # one row with at most one row
         F.when(F.col("_nd") > exit_domains, F.coalesce("_max_round", F.lit(0))).alias("_max_round"))
     dom = ranked.crossJoin(F.broadcast(limits))  # one row: proven bound
     if max_domains is not None:

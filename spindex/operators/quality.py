@@ -21,7 +21,7 @@ def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> D
     p = parent.select(F.col(parent_key).alias(key)).distinct()
     missing = child.select(key).join(p, key, "left_anti").agg(F.count(F.lit(1)).alias("violations"))
     total = child.agg(F.count(F.lit(1)).alias("checked"))
-    return missing.crossJoin(total)
+    return missing.crossJoin(total)  # two one-row aggregates
 
 
 def nulls(df: DataFrame, col: str) -> DataFrame:

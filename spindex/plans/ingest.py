@@ -63,6 +63,7 @@ def ingest(graph: LinkGraph, responses: DataFrame, seq_col: str = "seq",
     stubs = (missing_from(targets, graph.pages, ["page_url"])
              .join(batch.select(F.col("url").alias("page_url")), "page_url", "left_anti"))
     keys = ["source_page_id", "outgoing_page_id"]
+    # three one-row aggregates side by side (scalar cross joins)
     counts = (batch.agg(F.count(F.lit(1)).alias("pages_stored"))
               .crossJoin(stubs.agg(F.count(F.lit(1)).alias("stubs_added")))
               .crossJoin(missing_from(new_edges, graph.edges, keys)
