@@ -11,6 +11,8 @@ Plan shape (one index build):
                                               collapse map-side
       -> rare-term rule -> semi join       -- AQE turns it into a broadcast when the
                                               kept dictionary is measured small
+    The (term, page) counts are written once and read by both branches, so
+    the text is scanned and tokenized a single time.
 
 Term ids are ``xxhash64(term)``: deterministic, no global numbering pass.
 """
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 
 from spindex.functions.text import index_terms, keep_index_term, keep_rare_term
 from spindex.operators.joins import missing_from
+from spindex.session import materialize
 
 POSTING_BLOCK = 1024  # page ids per posting block (a block holds at most this many)
 
@@ -72,7 +75,10 @@ def build_index(corpus: DataFrame, stopwords=None, scope_col: str | None = None)
     with ``scope_col`` it counts inside each scope value (e.g. caller-defined
     chunks of pages), so a term may pass in one scope and fail in another.
     """
-    pt = page_term_counts(term_occurrences(corpus, stopwords, scope_col), scope_col)
+    # (term, page) counts feed both the statistics and the postings; written
+    # once so the text is scanned and tokenized once, not once per branch
+    pt = materialize(page_term_counts(term_occurrences(corpus, stopwords, scope_col), scope_col),
+                     "page-terms")
     stats = term_statistics(pt, scope_col)
     keys = ([scope_col] if scope_col else []) + ["term"]
     kept = stats.where(keep_rare_term("term", "occurrences")).select(*keys)
@@ -99,7 +105,7 @@ def query_scoped_index(corpus: DataFrame, vocabulary: DataFrame, stopwords=None)
     """
     vocab = vocabulary.select("term").distinct()
     occ = term_occurrences(corpus, stopwords).join(vocab, "term", "left_semi")
-    pt = page_term_counts(occ)
+    pt = materialize(page_term_counts(occ), "page-terms")
     stats = term_statistics(pt)
     kept = stats.where(keep_rare_term("term", "occurrences"))
     terms = kept.select(term_id().alias("term_id"), "term", F.col("pages").alias("total_pages"))
