@@ -197,10 +197,8 @@ def term_frequency(spark, sf_dir):
 
 def _doc_weights(spark, sf_dir):
     c = documents_corpus(spark, sf_dir)
-    q = benchmark_queries(spark, sf_dir)
-    terms, postings = ix.query_scoped_index(c, se.query_term_counts(q).select("term"))
-    w = se.materialize(se.query_term_weights(q, terms, ix.page_count(c)))
-    return c, terms, postings, w
+    w, postings, tf = se.batch_inputs(benchmark_queries(spark, sf_dir), c)
+    return c, tf, postings, w
 
 
 @register("idf_weights")
@@ -221,10 +219,8 @@ def tfidf_vectors(spark, sf_dir):
 @register("cosine_scores")
 def cosine_scores(spark, sf_dir):
     """Cosine similarity of every candidate of every benchmark query."""
-    c, _, postings, w = _doc_weights(spark, sf_dir)
-    cand = se.candidate_pages(w, postings)
-    tf = se.term_frequencies(c, w.select("term"))
-    s = se.score_candidates(cand, w, tf, c)
+    c, tf, postings, w = _doc_weights(spark, sf_dir)
+    s = se.score_candidates(se.candidate_pages(w, postings), w, tf, c)
     return s.select("query_id", "page_id", F.round("similarity", 9).alias("similarity"),
                     F.round("score", 9).alias("score"))
 
@@ -233,12 +229,8 @@ def cosine_scores(spark, sf_dir):
 def link_boost(spark, sf_dir):
     """URL boost of every candidate of every title query on pages."""
     c = pages_corpus(spark, sf_dir)
-    q = title_queries(spark, sf_dir)
-    terms, postings = ix.query_scoped_index(c, se.query_term_counts(q).select("term"))
-    w = se.materialize(se.query_term_weights(q, terms, ix.page_count(c)))
-    cand = se.candidate_pages(w, postings)
-    tf = se.term_frequencies(c, w.select("term"))
-    s = se.score_candidates(cand, w, tf, c)
+    w, postings, tf = se.batch_inputs(title_queries(spark, sf_dir), c)
+    s = se.score_candidates(se.candidate_pages(w, postings), w, tf, c)
     return s.select("query_id", "page_id", "page_url", F.round("link_boost", 9).alias("link_boost"))
 
 
