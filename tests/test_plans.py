@@ -48,11 +48,17 @@ def test_global_position_sort_stays_distributed(spark):
 
 
 def test_search_scans_text_once_per_tokenizer(spark):
-    """N comes from the query-tokenizer scan, not from a third text scan."""
-    df = registry()["search_documents"](spark, SF)
-    plan = _plan(df)
-    assert plan.count("FileScan parquet") >= 1
-    assert "count(text" not in plan and "count(page_content" not in plan
+    """Term frequencies and N come from one scan and one generator; the
+    index build tokenizes once for statistics and postings."""
+    from spindex.operators import index as ix
+    from spindex.operators import search as se
+    from spindex.sources.tables import documents_corpus, read_benchmark
+    c = documents_corpus(spark, SF)
+    q = read_benchmark(spark, SF).selectExpr("item_id AS query_id", "text AS query_text")
+    freq = se.page_frequencies(c, se.query_term_counts(q).select("term"))
+    assert _plan(freq).count("FileScan parquet [doc_id") == 1
+    terms, postings = ix.build_index(c)
+    assert "FileScan parquet [doc_id" not in _plan(postings) + _plan(terms)
 
 
 def test_term_equality_is_pushed_to_the_scan(spark):
