@@ -51,3 +51,15 @@ def test_interleave_options(spark):
     two, rest = interleave(df, batch_size=4, exit_domains=0, max_domains=2)
     assert {r["domain"] for r in two.collect()} == {"a.com", "b.com"}
     assert {r["domain"] for r in rest.collect()} == {"c.com", "d.com"}
+
+
+def test_interleave_with_a_hot_domain(spark):
+    by_domain = {"hot.com": [f"http://hot.com/{i:04d}" for i in range(600)]}
+    for d in range(300):
+        by_domain[f"s{d:03d}.com"] = [f"http://s{d:03d}.com/{i}" for i in range(4)]
+    df = spark.createDataFrame([(u,) for us in by_domain.values() for u in us], "url STRING").repartition(8)
+    batches, leftover = interleave(df, batch_size=50)
+    got = sorted((r["batch_id"], r["pos"], r["url"]) for r in batches.collect())
+    want = sorted((b, p, u) for b, p, u, _ in model.interleave(by_domain, 50))
+    assert got == want
+    assert leftover.count() == 1800 - len(want)
