@@ -56,18 +56,20 @@ def ingest(graph: LinkGraph, responses: DataFrame, seq_col: str = "seq",
     links = write_once(
         lk.resolved_outlinks(batch.withColumn("page_id", F.lit(None).cast("bigint")), emit_links)
         .select("url", "outlink"), "ingest-links")
-    pages = lk.insert_stub_pages(pages, links)
-    new_edges = lk.link_edges(pages, links)
-    edges = lk.insert_edges(graph.edges, new_edges)
+    # New stubs and new edges are batch-sized and each needs one probe of a
+    # stored table; written once, they serve both the tables and the counters.
     targets = links.select(F.col("outlink").alias("page_url")).distinct()
-    stubs = (missing_from(targets, graph.pages, ["page_url"])
-             .join(batch.select(F.col("url").alias("page_url")), "page_url", "left_anti"))
+    stubs = write_once(missing_from(targets, pages, ["page_url"])
+                       .select(lk.url_id("page_url").alias("page_id"), "page_url",
+                               F.lit(None).cast("string").alias("page_content")), "ingest-stubs")
+    pages = pages.unionByName(stubs)
     keys = ["source_page_id", "outgoing_page_id"]
+    fresh_edges = write_once(missing_from(lk.link_edges(pages, links), graph.edges, keys), "ingest-edges")
+    edges = graph.edges.unionByName(fresh_edges)
     # three one-row aggregates side by side (scalar cross joins)
     counts = (batch.agg(F.count(F.lit(1)).alias("pages_stored"))
               .crossJoin(stubs.agg(F.count(F.lit(1)).alias("stubs_added")))
-              .crossJoin(missing_from(new_edges, graph.edges, keys)
-                         .agg(F.count(F.lit(1)).alias("edges_added"))))
+              .crossJoin(fresh_edges.agg(F.count(F.lit(1)).alias("edges_added"))))
     return LinkGraph(pages, edges), counts
 
 
