@@ -6,12 +6,15 @@ sorted label tables: two sets meet in a tree at depth ``d`` if their labels
 share a prefix of ``d`` values, which for Jaccard ``s`` has probability
 ``s ** d``.  Prefixes are shortened from the full label until the recall at the
 threshold, ``1 - (1 - s ** d) ** trees``, reaches ``recall``.  At each depth
-every set is paired with the smallest set under its prefix, so a group of n
-copies costs n - 1 pairs.  All pairs are verified exactly on the texts; the
-verified ones are joined to classes.  Where sets of *different* classes still
-share a deepest prefix, all pairs between those classes in that prefix are
-verified too, until no new link appears: what is skipped are only pairs inside
-a class, which are connected already.
+every set is paired with the most central set under its prefix (the one with
+the most company over all trees), so a group of n copies costs n - 1 pairs.
+All pairs are verified exactly on the texts; the verified ones are joined to
+classes.  Where sets of *different* classes still share a prefix of the least
+depth, the sets outside the prefix's largest class are compared with all sets
+of other classes there, until no new link appears: what is never compared are
+pairs inside one class, which are connected already.  Of these pairs, the ones
+whose signatures agree in clearly fewer values than the threshold asks for
+(``SLACK`` standard errors) are not verified.
 
 Sets that are equal (texts that differ in case or punctuation only) are one
 node, whatever their number.
@@ -45,6 +48,7 @@ TREES = 16
 DEPTH = 8
 RECALL = 0.99
 BATCH_BYTES = 2 << 20
+SLACK = 2.5
 _STEP = 4096  # shingles hashed by all functions at a time
 _VALUE = 4    # bytes of a label value
 
@@ -98,36 +102,44 @@ def signature_column(text, trees: int, depth: int, size: int):
     return signed(F.lower(text))
 
 
-def jaccard_column(a, b, size: int):
-    """Exact Jaccard similarity of the shingle sets of two text columns (0 if both are empty)."""
+def shingles_column(text, size: int):
+    """The shingle set of a text: its 64-bit hashes, sorted, as bytes."""
+
+    @F.arrow_udf("binary")
+    def sets(texts: pa.Array) -> pa.Array:
+        out = []
+        buf, offsets = utf8(texts)
+        for a, b in cuts(offsets, BATCH_BYTES):
+            words, at = word_hashes(buf[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+            out += [shingles(words[at[i]:at[i + 1]], size).tobytes() for i in range(b - a)]
+        return pa.array(out, pa.binary())
+
+    return sets(F.lower(text))
+
+
+def jaccard_column(a, b):
+    """Exact Jaccard similarity of two shingle sets (0 if both are empty)."""
 
     @F.arrow_udf("double")
     def similar(xs: pa.Array, ys: pa.Array) -> pa.Array:
         out = []
-        last, of = None, None
-        for x, y in zip(xs.to_pylist(), ys.to_pylist()):
-            if y != last:  # pairs arrive sorted by the smaller set: its shingles are reused
-                last, of = y, _set_of(y, size)
-            mine = _set_of(x, size)
-            both = len(np.intersect1d(mine, of, assume_unique=True))
-            either = len(mine) + len(of) - both
+        for x, y in zip(xs, ys):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            at = np.searchsorted(y, x)
+            both = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
+            either = len(x) + len(y) - both
             out.append(both / either if either else 0.0)
         return pa.array(out, pa.float64())
 
-    return similar(F.lower(a), F.lower(b))
-
+    return similar(a, b)
 
-def _set_of(text: str | None, size: int) -> np.ndarray:
-    raw = np.frombuffer((text or "").encode(), np.uint8)
-    return shingles(word_hashes(raw, np.array([0, len(raw)]))[0], size)
 
-
-def _verify(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
-    """Those ``pairs (a, b)``, b < a, whose texts reach the threshold; ``texts (key, text)``."""
-    left = texts.select(F.col("key").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
+def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Those ``pairs (a, b)``, b < a, whose sets reach the threshold; ``sets (key, shingles)``."""
+    left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb"))
     found = pairs.join(left, "a").join(right, "b")
-    return found.withColumn("similarity", jaccard_column(F.col("ta"), F.col("tb"), size)) \
+    return found.withColumn("similarity", jaccard_column(F.col("sa"), F.col("sb"))) \
         .where(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
@@ -146,33 +158,36 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
     # the tries: sets that share a prefix of the least depth with another set
     node = keys.select("key", F.posexplode("labels").alias("tree", "label"))
-    short = F.expr(f"substring(label, 1, {_VALUE * least})")
-    node = node.withColumn("prefix", short)
-    crowd = node.groupBy("tree", "prefix").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
-    trie = materialize(node.join(crowd.select("tree", "prefix"), ["tree", "prefix"]), "forest-trie")
+    node = node.withColumn("prefix", F.expr(f"substring(label, 1, {_VALUE * least})"))
+    crowd = node.groupBy("tree", "prefix").agg(F.count("*").alias("n")).where("n > 1")
+    trie = materialize(node.join(crowd, ["tree", "prefix"]), "forest-trie")
+    company = trie.groupBy("key").agg(F.sum("n").alias("company"))
+    ranked = trie.select("tree", "label", "key").join(company, "key")
 
     pairs = None
     for d in range(depth, least - 1, -1):
-        cut = trie.withColumn("prefix", F.expr(f"substring(label, 1, {_VALUE * d})"))
-        low = cut.groupBy("tree", "prefix").agg(F.min("key").alias("b"))
-        met = cut.join(low, ["tree", "prefix"]).where("key <> b").select(F.col("key").alias("a"), "b")
+        cut = ranked.withColumn("prefix", F.expr(f"substring(label, 1, {_VALUE * d})"))
+        middle = cut.groupBy("tree", "prefix").agg(F.expr("max(struct(company, key)).key").alias("b"))
+        met = cut.join(middle, ["tree", "prefix"]).where("key <> b") \
+            .select(F.greatest("key", "b").alias("a"), F.least("key", "b").alias("b"))
         pairs = met if pairs is None else pairs.union(met)
     pairs = materialize(pairs.distinct(), "forest-pairs")
 
-    # texts of the sets that meet another one, one row each
+    # the sets that meet another one, read off one text each
     some = trie.select("key").distinct().join(keys, "key").select("key", F.col("first.md5").alias("md5"), F.col("first.id").alias("id"))
     chosen = base.alias("d").join(some.alias("s"), F.expr("d.md5 = s.md5 AND d.id <=> s.id"))
-    texts = materialize(chosen.select("s.key", "d.text").dropDuplicates(["key"]), "forest-texts")
+    sets = chosen.select("s.key", shingles_column(F.col("d.text"), size).alias("shingles"))
+    sets = materialize(sets.dropDuplicates(["key"]), "forest-sets")
 
-    links = materialize(_verify(pairs, texts, threshold, size), "forest-links")
+    links = materialize(_verify(pairs, sets, threshold), "forest-links")
     tried = pairs
     while True:
         root = materialize(components(links), "forest-root")
-        more = _between(trie, root).join(tried, ["a", "b"], "left_anti")
+        more = _between(trie, root, keys, threshold).join(tried, ["a", "b"], "left_anti")
         more = materialize(more, "forest-between")
         if more.isEmpty():
             break
-        found = materialize(_verify(more, texts, threshold, size), "forest-links")
+        found = materialize(_verify(more, sets, threshold), "forest-links")
         tried = tried.union(more)
         if found.isEmpty():
             break
@@ -188,21 +203,37 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         .select(F.col("id").alias(id_col), "class_id", "n_links", "copies", F.col("md5").alias("text_md5"), "class_md5")
 
 
-def _between(trie: DataFrame, root: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)``, b < a, of sets of different classes that share a prefix of the least depth.
+def _values(labels):
+    """The MinHash values of all labels of a set, as integers."""
+
+    @F.arrow_udf("array<int>")
+    def values(rows: pa.Array) -> pa.Array:
+        return pa.array([np.frombuffer(b"".join(r), ">i4").astype(np.int32) for r in rows.to_pylist()], pa.list_(pa.int32()))
+
+    return values(labels)
+
+
+def _between(trie: DataFrame, root: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``(a, b)``, b < a, of sets of different classes that share a prefix of the least depth
+    and whose signatures do not speak against the threshold.
 
-    Pairs of classes come first, from a table with one row per prefix and class, so that members
-    of one class never meet here, however many share the prefix.
+    The largest class under a prefix never meets itself here, however many of its sets are there.
     """
     own = trie.select("tree", "prefix", "key").join(root, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = own.groupBy("tree", "prefix").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    own = materialize(own.join(mixed.select("tree", "prefix"), ["tree", "prefix"]), "forest-mixed")
-    classes = own.select("tree", "prefix", "root").distinct()
-    other = classes.withColumnRenamed("root", "other")
-    meet = classes.join(other, ["tree", "prefix"]).where("other < root")
-    here = own.select("tree", "prefix", "root", F.col("key").alias("x"))
-    there = own.select("tree", "prefix", F.col("root").alias("other"), F.col("key").alias("y"))
-    pairs = meet.join(here, ["tree", "prefix", "root"]).join(there, ["tree", "prefix", "other"])
+    sizes = own.groupBy("tree", "prefix", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("tree", "prefix").agg(F.count("*").alias("classes"), F.expr("max(struct(n, root)).root").alias("main")) \
+        .where("classes > 1").drop("classes")
+    own = own.join(mixed, ["tree", "prefix"])
+    signed = own.select("key").distinct().join(keys.select("key", "labels"), "key").select("key", _values("labels").alias("sig"))
+    own = materialize(own.join(signed, "key"), "forest-mixed")
+    here = own.where("root <> main").select("tree", "prefix", "root", F.col("key").alias("x"), F.col("sig").alias("sx"))
+    there = own.select("tree", "prefix", F.col("root").alias("other"), F.col("main").alias("of"), F.col("key").alias("y"), F.col("sig").alias("sy"))
+    agree = "size(filter(zip_with(sx, sy, (p, q) -> p = q), e -> e))"
+    enough = f"size(sx) * {threshold} - {SLACK} * sqrt(size(sx) * {threshold * (1 - threshold)})"
+    # a pair of sets outside the largest class would come twice
+    pairs = here.alias("h").join(there.alias("t"), F.expr(
+        "h.tree = t.tree AND h.prefix = t.prefix AND h.root <> t.other AND (t.other = t.of OR h.x > t.y) "
+        f"AND {agree} >= {enough}"))
     return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
