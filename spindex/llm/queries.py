@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindex.llm import bpe, langid, lshforest
+from spindex.llm import bpe, decontam, langid, lshforest, pii
 from spindex.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,26 @@ def op1_language_id(spark, sf_dir):
         .select("doc_id", held.alias("held_out"), "language.lang_pred", "language.score", "language.match_length")
 
 
+@register
+def op2_decontamination(spark, sf_dir):
+    """Overlaps of all documents with all benchmark items."""
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_md5")
+
+
+def _count(spans: str, kind: int):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+
+
+@register
+def op3_pii(spark, sf_dir):
+    """Base and discovered personal data of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, keep=["doc_id"])
+    counts = [_count("base", k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.span_string(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        pii.span_string(F.col("spans")).alias("spans"))
+
+
 @register
 def op5_bpe(spark, sf_dir):
     """Encode and decode every document; digests of the real ids and texts."""
