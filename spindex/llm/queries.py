@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindex.llm import bpe, decontam, langid, lshforest, pii
+from spindex.llm import bpe, decontam, langid, lshforest, pii, toxicity
 from spindex.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +80,14 @@ def op5_bpe(spark, sf_dir):
 def op6_ngram_jaccard_join(spark, sf_dir):
     """Near-duplicate class and verified links of every document."""
     return lshforest.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "copies")
+
+
+@register
+def op7_toxicity(spark, sf_dir):
+    """Toxicity of every document; the labels of the held-out fold are never seen."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.CharModel(toxicity.trigram_counts(docs))
+    labels = table(spark, sf_dir, "labels").where(~in_fold("doc_id", 3, 1))
+    classifier = toxicity.fit(docs, labels, model)
+    return toxicity.score(docs, model, classifier) \
+        .select("doc_id", in_fold("doc_id", 3, 1).alias("held_out"), "toxicity.score", "toxicity.predicted")

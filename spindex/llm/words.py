@@ -36,6 +36,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def word_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of every word; words never reach over rows."""
+    is_word = _WORD[buf]
+    border = np.zeros(len(buf) + 1, bool)
+    border[offsets] = True
+    start = is_word.copy()
+    start[1:] &= ~is_word[:-1] | border[1:-1]
+    stop = is_word.copy()
+    stop[:-1] &= ~is_word[1:] | border[1:-1]
+    return np.flatnonzero(start), np.flatnonzero(stop) + 1
+
+
 def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words in order, and the ``n + 1`` word offsets of the rows.
 
@@ -44,14 +56,7 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     n = len(buf)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    is_word = _WORD[buf]
-    border = np.zeros(n + 1, bool)  # a row starts here: words never reach over rows
-    border[offsets] = True
-    start = is_word.copy()
-    start[1:] &= ~is_word[:-1] | border[1:-1]
-    stop = is_word.copy()
-    stop[:-1] &= ~is_word[1:] | border[1:-1]
-    start, stop = np.flatnonzero(start), np.flatnonzero(stop) + 1
+    start, stop = word_bounds(buf, offsets)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n), out=total[1:])
     h = mix((total[stop] - total[start]) * _powers(_INVERSE, n)[start] + (stop - start).astype(np.uint64))
