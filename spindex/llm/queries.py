@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindex.llm import bpe, decontam, langid, lshforest, pii, toxicity
+from spindex.llm import ann, bpe, decontam, langid, lshforest, pii, tokencount, toxicity
 from spindex.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,13 @@ def op3_pii(spark, sf_dir):
                         pii.span_string(F.col("spans")).alias("spans"))
 
 
+@register
+def op4_nearest(spark, sf_dir):
+    """The five nearest vectors of every vector whose id is divisible by 50."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(rows, rows.where("vec_id % 50 = 0"))
+
+
 @register
 def op5_bpe(spark, sf_dir):
     """Encode and decode every document; digests of the real ids and texts."""
@@ -91,3 +98,9 @@ def op7_toxicity(spark, sf_dir):
     classifier = toxicity.fit(docs, labels, model)
     return toxicity.score(docs, model, classifier) \
         .select("doc_id", in_fold("doc_id", 3, 1).alias("held_out"), "toxicity.score", "toxicity.predicted")
+
+
+@register
+def op9_token_counts(spark, sf_dir):
+    """Tokens of every document, counted in flat token files written from all texts."""
+    return tokencount.document_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-_SQL: dict[str, str] = {}
+_SQL: dict[str, str] = {
+    # a byte-level token per byte of UTF-8
+    "op9_token_counts": "SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT) AS n_tokens FROM documents",
+}
 
 
 def oracle_sql() -> dict[str, str]:
