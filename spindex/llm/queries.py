@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindex.llm import ann, bpe, decontam, langid, lshforest, pii, tokencount, toxicity
+from spindex.llm import ann, bpe, credentials, decontam, langid, lshforest, pii, tokencount, toxicity, urlfilter
 from spindex.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,7 +100,22 @@ def op7_toxicity(spark, sf_dir):
         .select("doc_id", in_fold("doc_id", 3, 1).alias("held_out"), "toxicity.score", "toxicity.predicted")
 
 
+@register
+def op8_secrets(spark, sf_dir):
+    """Secrets of every document: strong parts, and weak ones linked with complementary parts."""
+    found = credentials.find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    counts = [_count("base", k).alias(f"n_{name}") for k, name in enumerate(credentials.STRONG)]
+    return found.select("doc_id", *counts, F.sha2(credentials.span_string(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        credentials.span_string(F.col("spans")).alias("spans"))
+
+
 @register
 def op9_token_counts(spark, sf_dir):
     """Tokens of every document, counted in flat token files written from all texts."""
     return tokencount.document_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register
+def op10_url_filter(spark, sf_dir):
+    """Verdict on the URL of every page."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"), keep=["page_id"])
