@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 64            # bytes of a pre-token settled per step, beside the lookahead
-CACHE_CHUNKS = 400_000  # chunks remembered per worker before the memory is emptied
+CACHE_CHUNKS = 150_000  # chunks remembered per worker before the memory is emptied
 _NONE = np.uint32(0xFFFFFFFF)
 
 

@@ -23,7 +23,7 @@ SCHEMAS = {
 def prepare(spark: SparkSession) -> SparkSession:
     """Ship the package to the workers and keep Arrow batches of long texts small."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     return spark
 
 

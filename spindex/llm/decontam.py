@@ -44,7 +44,7 @@ MIN_SHARE = 0.75
 DROP = 4.0     # a stretch ends where its score falls this far below its best
 MISMATCH = 2.0  # score of a differing word: minus this; of an equal one: plus one
 BITS = 24      # log2 of the bit table's size (2 MB)
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def seed_hashes(words: np.ndarray, mask: str, nth: int) -> np.ndarray:
@@ -134,7 +134,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     lines = lines.groupBy("id", "md5", "item").agg(F.sort_array(F.collect_list("shift")).alias("shifts"))
     lines = materialize(lines, "decontam-lines")
 
-    texts = base.alias("d").join(lines.select("id", "md5").distinct().alias("l"),
+    texts = base.alias("d").join(lines.select("id", "md5").alias("l"),
                                  F.expr("d.md5 = l.md5 AND d.id <=> l.id"), "left_semi").dropDuplicates(["md5", "id"])
     sides = lines.alias("l").join(texts.alias("d"), F.expr("d.md5 = l.md5 AND d.id <=> l.id")) \
         .select("l.id", "l.md5", "l.item", "l.shifts", "d.text").join(items.select("item", F.col("text").alias("other")), "item")

@@ -33,12 +33,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindex.llm.common import cuts, utf8
+from spindex.session import materialize
 
 UND = "und"
 MAX_TRAIN_BYTES = 40_000   # labelled text per language
 MAX_TRAIN_DOCS = 200       # rows per language looked at to fill it
 BLOCK = 512                # bytes parsed in one go
-BATCH_BYTES = 4 << 20      # text in numpy arrays at a time
+BATCH_BYTES = 1 << 20      # text in numpy arrays at a time
 
 # Bytes that separate words count as one symbol, the space.
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -151,6 +152,7 @@ def training_text(labelled: DataFrame, text_col: str, lang_col: str, max_bytes:
     docs = docs.withColumn("h", F.md5("t"))
     rank = F.row_number().over(Window.partitionBy("l").orderBy("h"))
     chosen = docs.select("l", "h").distinct().withColumn("r", rank).where(F.col("r") <= max_docs)
+    chosen = materialize(chosen, "langid-sample")  # its known size lets the join leave the texts where they are
     rows = docs.join(chosen, ["l", "h"]).groupBy("l", "r") \
         .agg(F.min(F.substring(F.lower("t"), 1, max_bytes)).alias("t")).orderBy("l", "r").toLocalIterator()
     out: dict[str, bytearray] = {}

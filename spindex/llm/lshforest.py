@@ -47,7 +47,7 @@ THRESHOLD = 0.8
 TREES = 16
 DEPTH = 8
 RECALL = 0.99
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 SLACK = 2.5
 _STEP = 4096  # shingles hashed by all functions at a time
 _VALUE = 4    # bytes of a label value

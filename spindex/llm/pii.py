@@ -182,6 +182,7 @@ def find(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None,
     added = seen.where("kind IS NULL").drop("kind").withColumn("pattern", F.explode("patterns")).join(best, "pattern") \
         .groupBy("__row", "start", "end").agg(F.expr("max(struct(score, -kind)) AS top")) \
         .groupBy("__row").agg(F.collect_list(F.struct(F.col("start"), (-F.col("top.col2")).cast("int").alias("kind"), F.col("end"))).alias("__added"))
+    added = materialize(added, "pii-added")  # its known size decides whether the texts have to move
     none = F.array().cast(f"array<{_SPAN}>")
     spans = F.sort_array(F.concat("__x.base", F.coalesce("__added", none)))
     return read.join(added, "__row", "left").select(*keep, F.col("__x.base").alias(base_out), spans.alias(spans_out))

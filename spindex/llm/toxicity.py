@@ -37,7 +37,7 @@ PREFIXES = (4, 6)   # bytes of a word's beginning
 MIN_Z = 3.0         # log-odds of a feature over their standard error
 MIN_DOCS = 4        # sample documents with the feature
 THRESHOLD = 0.7
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 CACHE = 50_000      # restored stretches remembered per worker
 
 # What a character may stand for.

@@ -15,6 +15,7 @@ for _c in b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ":
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
+_STRETCH = 1 << 18  # bytes summed at a time; a longer word stands alone
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -57,9 +58,16 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     start, stop = word_bounds(buf, offsets)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n), out=total[1:])
-    h = mix((total[stop] - total[start]) * _powers(_INVERSE, n)[start] + (stop - start).astype(np.uint64))
+    h = np.empty(len(start), np.uint64)
+    a = 0
+    while a < len(start):  # prefix sums over a bounded stretch of whole words
+        b = max(a + 1, int(np.searchsorted(stop, start[a] + _STRETCH, "right")))
+        low, high = start[a], stop[b - 1]
+        total = np.zeros(high - low + 1, np.uint64)
+        np.cumsum((buf[low:high].astype(np.uint64) + np.uint64(1)) * _powers(_BASE, high - low), out=total[1:])
+        s, e = start[a:b] - low, stop[a:b] - low
+        h[a:b] = mix((total[e] - total[s]) * _powers(_INVERSE, high - low)[s] + (e - s).astype(np.uint64))
+        a = b
     return h, np.searchsorted(start, offsets, "left")
 
 
