@@ -80,11 +80,11 @@ def suffix_automaton(data: bytes) -> list[dict[int, int]]:
 
 class CrossParser:
     """The parse table of one language: entry ``[state, byte class]`` holds the next state's
-    row start, plus one if a phrase ended before this byte."""
+    row start plus the number of phrases that ended at this byte (0 to 2)."""
 
     def __init__(self, data: bytes, classes: np.ndarray, n_classes: int):
         step = suffix_automaton(data)
-        width = n_classes + (n_classes & 1)  # even, so that bit 0 of a row start is free
+        width = -(-n_classes // 4) * 4  # so that two bits of a row start are free
         table = np.full((len(step), width), -1, np.int64)
         for s, to in enumerate(step):
             for c, t in to.items():
@@ -93,8 +93,9 @@ class CrossParser:
         stuck = table < 0
         # a byte that cannot follow ends the phrase and starts the next; one that the root does not
         # know either is a phrase of its own, counted when it is read
-        table = np.where(stuck, root[None, :], table) * width + stuck
-        table[0] = np.where(stuck[0], 1, table[0])
+        unknown = table[0] < 0
+        table = np.where(stuck, root[None, :], table) * width + stuck + (stuck & unknown[None, :])
+        table[0] = np.where(unknown, 1, table[0])
         self.table = table.astype(np.int32).ravel()
         self.bits = float(np.log2(max(2, len(data))))
 
@@ -106,7 +107,7 @@ class CrossParser:
         for t in range(columns.shape[0]):
             k = live[t]
             to = self.table[state[:k] + columns[t, :k]]
-            ended = to & 1
+            ended = to & 3
             count[:k] += ended
             state[:k] = to - ended
         return count + (state != 0)  # the open phrase at the end

@@ -183,7 +183,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     tried = pairs
     while True:
         root = materialize(components(links), "forest-root")
-        more = _between(trie, root, keys, threshold).join(tried, ["a", "b"], "left_anti")
+        more = _between(trie, root, keys, threshold, depth, least).join(tried, ["a", "b"], "left_anti")
         more = materialize(more, "forest-between")
         if more.isEmpty():
             break
@@ -213,7 +213,7 @@ def _values(labels):
     return values(labels)
 
 
-def _between(trie: DataFrame, root: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
+def _between(trie: DataFrame, root: DataFrame, keys: DataFrame, threshold: float, depth: int, least: int) -> DataFrame:
     """Pairs ``(a, b)``, b < a, of sets of different classes that share a prefix of the least depth
     and whose signatures do not speak against the threshold.
 
@@ -230,11 +230,12 @@ def _between(trie: DataFrame, root: DataFrame, keys: DataFrame, threshold: float
     there = own.select("tree", "prefix", F.col("root").alias("other"), F.col("main").alias("of"), F.col("key").alias("y"), F.col("sig").alias("sy"))
     agree = "size(filter(zip_with(sx, sy, (p, q) -> p = q), e -> e))"
     enough = f"size(sx) * {threshold} - {SLACK} * sqrt(size(sx) * {threshold * (1 - threshold)})"
-    # a pair of sets outside the largest class would come twice
+    # a pair is made once: by its first common prefix, and if both are outside the largest class, one way round
+    earlier = f"exists(sequence(0, h.tree), t -> t < h.tree AND slice(sx, t * {depth} + 1, {least}) = slice(sy, t * {depth} + 1, {least}))"
     pairs = here.alias("h").join(there.alias("t"), F.expr(
         "h.tree = t.tree AND h.prefix = t.prefix AND h.root <> t.other AND (t.other = t.of OR h.x > t.y) "
-        f"AND {agree} >= {enough}"))
-    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+        f"AND {agree} >= {enough} AND NOT {earlier}"))
+    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
