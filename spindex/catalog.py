@@ -513,12 +513,25 @@ def frontier_batches(spark, sf_dir):
     return f.batches
 
 
+@register("frontier_outcomes")
+def frontier_outcomes(spark, sf_dir):
+    """What becomes of every valid candidate in its batch."""
+    from spindex.plans.frontier import prepare_frontier
+    urls, seen = _candidates(spark, sf_dir)
+    f = prepare_frontier(urls, seen, waits_table(spark, sf_dir), robots_table(spark, sf_dir), AS_OF)
+    named = [(f.batches, "fetch"), (f.deferred, "deferred"), (f.disallowed, "disallowed")]
+    out = [df.select("url", "batch_id", F.lit(name).alias("outcome")) for df, name in named]
+    out.append(f.leftover.select("url", F.lit(None).cast("bigint").alias("batch_id"), F.lit("leftover").alias("outcome")))
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
 @register("crawl_budget")
 def crawl_budget(spark, sf_dir):
-    """F16: pages past a budget of 100 fetches emit no outlinks."""
+    """F16: pages past the crawl budget emit no outlinks."""
+    from spindex.functions.constants import CRAWL_BUDGET
     from spindex.plans.frontier import crawl_budget as cb
     parsed = pages_parsed(spark, sf_dir)
-    order = cb(parsed.select("url", F.col("page_id").alias("seq")), 100)
+    order = cb(parsed.select("url", F.col("page_id").alias("seq")), CRAWL_BUDGET)
     links = lk.resolved_outlinks(parsed.join(order.select("url", "emits_links"), "url"),
                                  F.col("emits_links"))
     n = links.groupBy("url").agg(F.count(F.lit(1)).alias("n_outlinks"))
@@ -570,16 +583,16 @@ def _response_stream_source(spark, sf_dir):
     src = scratch_dir(spark, "responses")
     captured_responses(pages).repartitionByRange(4, "seq").write.parquet(f"{src}/a")
     time.sleep(1.1)
-    recrawl_responses(pages).coalesce(1).write.parquet(f"{src}/b")
+    recrawl_responses(pages).repartitionByRange(4, "seq").write.parquet(f"{src}/b")
     return f"{src}/*/*.parquet"
 
 
 @register("ingest_batches")
 def ingest_batches(spark, sf_dir):
-    """Responses streamed in micro-batches (one file each, re-crawls
+    """Responses streamed in micro-batches (four files each, re-crawls
     last) and merged with foreachBatch; final pages equal the batch run."""
     from spindex.streaming.ingest_stream import load_graph, run_ingest_stream
-    state, _ = run_ingest_stream(spark, _response_stream_source(spark, sf_dir))
+    state, _ = run_ingest_stream(spark, _response_stream_source(spark, sf_dir), files_per_trigger=4)
     g = load_graph(spark, state)
     return g.pages.select("page_url", F.col("page_content").isNotNull().alias("has_content"))
 
@@ -591,7 +604,7 @@ def stream_waits(spark, sf_dir):
     from spindex.functions.timeutil import utc_wall_clock
     from spindex.streaming.ingest_stream import load_waits, run_ingest_stream
     rules = write_once(robots_table(spark, sf_dir), "robots-rules")  # read by every micro-batch
-    state, _ = run_ingest_stream(spark, _response_stream_source(spark, sf_dir), rules=rules)
+    state, _ = run_ingest_stream(spark, _response_stream_source(spark, sf_dir), files_per_trigger=4, rules=rules)
     w = load_waits(spark, state)
     return w.select("host_key", utc_wall_clock("next_allowed_at", spark).alias("next_allowed_at"))
 

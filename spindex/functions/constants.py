@@ -73,7 +73,7 @@ ROBOTS_ACCESS_AGENT = "*"
 # --- Fixed values: batching ------------------------------------------------------
 SEED_BATCH_SIZE = 3
 FRONTIER_BATCH_SIZE = 50
-FRONTIER_EXIT_DOMAINS = 2
+FRONTIER_EXIT_DOMAINS = 0
 CRAWL_BUDGET = 10000
 
 # --- Default public suffixes (a small offline list; pass a full list as a table)

@@ -51,6 +51,13 @@ class _PageReader(HTMLParser):
         if tag in _REMOVED or any(k == "document" for k, _ in attrs):
             self.removed.append(tag)
 
+    def parse_marked_section(self, i, report=1):
+        """A marked section of an unknown kind (``<![foo bar]>``) is skipped up to its ``>``."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.rawdata.find(">", i) + 1 or -1
+
     def handle_starttag(self, tag, attrs):
         self._open(tag, attrs, False)
 
@@ -72,11 +79,8 @@ def read_html(html: str | None) -> tuple[str | None, list | None]:
     if html is None:
         return None, None
     reader = _PageReader()
-    try:
-        reader.feed(html)
-        reader.close()
-    except Exception:  # malformed markup: keep what was read so far
-        pass
+    reader.feed(html)
+    reader.close()
     text = " ".join(" ".join(reader.chunks).split()).replace("\x00", "")
     return text, reader.hrefs
 

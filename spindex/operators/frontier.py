@@ -33,13 +33,14 @@ def valid_domain(urls: DataFrame, suffixes=DEFAULT_PUBLIC_SUFFIXES) -> DataFrame
     return urls.where(~hk.isin("http://", "https://"))
 
 
-def interleave(urls: DataFrame, batch_size: int = 50, exit_domains: int = 2,
+def interleave(urls: DataFrame, batch_size: int = 50, exit_domains: int = 0,
                max_domains: int | None = None, suffixes=DEFAULT_PUBLIC_SUFFIXES):
     """Round-robin URLs over registrable domains into fixed-size batches.
 
     Domains are ordered by distinct URL count (largest first, ties by name);
     round ``r`` takes the ``r``-th URL (by URL order) of every domain that
-    still has one, in domain order.  When more than ``exit_domains`` domains
+    still has one, in domain order.  By default every URL is
+    emitted.  With ``exit_domains`` above 0, when more than that many domains
     exist, rounds stop once no more than ``exit_domains`` domains remain: a
     round ``r`` is emitted only while more than ``exit_domains`` domains have
     at least ``r`` URLs (so it is emitted iff ``r`` is at most the size of

@@ -79,6 +79,11 @@ def build_index(corpus: DataFrame, stopwords=None, scope_col: str | None = None)
     # once so the text is scanned and tokenized once, not once per branch
     pt = materialize(page_term_counts(term_occurrences(corpus, stopwords, scope_col), scope_col),
                      "page-terms")
+    return index_from_counts(pt, scope_col)
+
+
+def index_from_counts(pt: DataFrame, scope_col: str | None = None):
+    """``(terms, postings)`` from stored ``page_term_counts``: the rare-term rule applies to whole scopes."""
     stats = term_statistics(pt, scope_col)
     keys = ([scope_col] if scope_col else []) + ["term"]
     kept = stats.where(keep_rare_term("term", "occurrences")).select(*keys)

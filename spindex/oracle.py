@@ -513,33 +513,35 @@ cands AS (SELECT DISTINCT outlink AS url FROM links
 SQL["unseen_urls"] = f"""WITH {CANDS}
 SELECT url FROM cands"""
 
-SQL["frontier_batches"] = f"""WITH {HOSTS}, {WAITS}, {CANDS},
+# batches of 50 are planned over all valid candidates; politeness and robots act inside each batch
+FRONTIER = f"""{HOSTS}, {WAITS}, {CANDS},
 ch AS (SELECT url, host, {domain_sql('host')} AS domain FROM (SELECT url, {host_sql('url')} AS host FROM cands)),
 ck AS (SELECT url, host, domain, {host_key_sql('url', 'host', 'domain')} AS host_key FROM ch),
 valid AS (SELECT * FROM ck WHERE host_key NOT IN ('http://', 'https://')),
-hc AS (SELECT host_key, count(DISTINCT url) AS n_urls FROM valid GROUP BY host_key),
-ready AS (SELECT v.* FROM valid v JOIN hc USING (host_key) LEFT JOIN sleeps USING (host_key)
-          WHERE coalesce(sleeps.sleep_seconds, 0) * hc.n_urls < 3),
-allowed AS (SELECT r.* FROM ready r LEFT JOIN rob USING (host_key)
-            WHERE {allowed_sql('rob.cat', req_path('r.url'))}),
-doms AS (SELECT domain, count(*) AS n_urls,
-                row_number() OVER (ORDER BY count(*) DESC, domain) - 1 AS drank FROM allowed GROUP BY domain),
-lim AS (SELECT CASE WHEN (SELECT count(*) FROM doms) > 2
-                    THEN (SELECT n_urls FROM doms WHERE drank = 2) END AS max_round),
-rounds AS (SELECT a.url, a.domain, d.drank,
-                  row_number() OVER (PARTITION BY a.domain ORDER BY a.url) AS round
-           FROM allowed a JOIN doms d USING (domain)),
-kept AS (SELECT r.* FROM rounds r, lim WHERE lim.max_round IS NULL OR r.round <= lim.max_round),
-pos AS (SELECT *, row_number() OVER (ORDER BY round, drank) - 1 AS p FROM kept)
-SELECT CAST(p // 50 AS BIGINT) AS batch_id, CAST(p % 50 AS BIGINT) AS pos, url, domain,
-       CAST(round AS BIGINT) AS round FROM pos"""
+doms AS (SELECT domain, row_number() OVER (ORDER BY count(*) DESC, domain) - 1 AS drank FROM valid GROUP BY domain),
+rounds AS (SELECT v.*, d.drank, row_number() OVER (PARTITION BY v.domain ORDER BY v.url) AS round
+           FROM valid v JOIN doms d USING (domain)),
+placed AS (SELECT *, row_number() OVER (ORDER BY round, drank) - 1 AS p FROM rounds),
+planned AS (SELECT *, CAST(p // 50 AS BIGINT) AS batch_id, CAST(p % 50 AS BIGINT) AS pos FROM placed),
+load AS (SELECT batch_id, host_key, count(*) AS n_urls FROM planned GROUP BY ALL),
+waited AS (SELECT p.*, coalesce(s.sleep_seconds, 0) * l.n_urls < 3 AS ready
+           FROM planned p JOIN load l USING (batch_id, host_key) LEFT JOIN sleeps s USING (host_key)),
+fate AS (SELECT w.*, CASE WHEN NOT ready THEN 'deferred' WHEN {allowed_sql('rob.cat', req_path('w.url'))} THEN 'fetch'
+                     ELSE 'disallowed' END AS outcome
+         FROM waited w LEFT JOIN rob USING (host_key))"""
+
+SQL["frontier_batches"] = f"""WITH {FRONTIER}
+SELECT batch_id, pos, url, domain, CAST(round AS BIGINT) AS round FROM fate WHERE outcome = 'fetch'"""
+
+SQL["frontier_outcomes"] = f"""WITH {FRONTIER}
+SELECT url, batch_id, outcome FROM fate"""
 
 SQL["crawl_budget"] = f"""WITH {PTEXT},
 ord AS (SELECT page_id, url, text, html, row_number() OVER (ORDER BY page_id, url) AS fetch_rank FROM ptext),
-em AS (SELECT * FROM ord WHERE fetch_rank <= 100 AND length(text) > 0),
+em AS (SELECT * FROM ord WHERE fetch_rank <= 10000 AND length(text) > 0),
 links AS ({outlinks('em')}),
 n AS (SELECT page_id, count(*) AS n_outlinks FROM links GROUP BY page_id)
-SELECT o.url, CAST(o.fetch_rank AS BIGINT) AS fetch_rank, o.fetch_rank <= 100 AS emits_links,
+SELECT o.url, CAST(o.fetch_rank AS BIGINT) AS fetch_rank, o.fetch_rank <= 10000 AS emits_links,
        CAST(coalesce(n.n_outlinks, 0) AS BIGINT) AS n_outlinks
 FROM ord o LEFT JOIN n USING (page_id)"""
 

@@ -1,8 +1,11 @@
 """Frontier preparation: which URLs to fetch next, in which batches.
 
-unseen (anti join) -> valid host -> politeness deferral -> robots ->
-domain interleave.  Returns the batches, the deferred URLs, the URLs
-robots.txt disallows and the interleave leftover.
+unseen (anti join) -> valid host -> domain interleave into batches -> per
+batch: politeness deferral, then robots.  Every valid candidate comes back as
+exactly one of: in a batch, deferred (back to the frontier), disallowed by
+robots.txt, or leftover of the interleave (none by default).  A host's wait is
+weighed against its URLs in one batch, so the share deferred does not grow with
+the frontier.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindex.functions.constants import FRONTIER_BATCH_SIZE, FRONTIER_EXIT_DOMAINS
+from spindex.functions.constants import DEFAULT_PUBLIC_SUFFIXES, FRONTIER_BATCH_SIZE, FRONTIER_EXIT_DOMAINS
 from spindex.operators import frontier as fr
 from spindex.operators import politeness as po
 
@@ -28,15 +31,16 @@ class Frontier:
 def prepare_frontier(urls: DataFrame, seen: DataFrame, waits: DataFrame, rules: DataFrame,
                      as_of, batch_size: int = FRONTIER_BATCH_SIZE,
                      exit_domains: int = FRONTIER_EXIT_DOMAINS,
-                     max_domains: int | None = None) -> Frontier:
-    cand = fr.valid_domain(fr.unseen_urls(urls, seen))
-    d = po.defer_by_politeness(cand, waits, as_of)
-    ready = d.where(~F.col("deferred")).select("url")
-    checked = po.robots_allowed(ready, rules)
-    allowed = checked.where(F.col("allowed")).select("url")
-    batches, leftover = fr.interleave(allowed, batch_size, exit_domains, max_domains)
-    return Frontier(batches, d.where(F.col("deferred")).select("url", "host_key", "sleep_seconds"),
-                    checked.where(~F.col("allowed")).select("url", "host_key"), leftover)
+                     max_domains: int | None = None,
+                     suffixes=DEFAULT_PUBLIC_SUFFIXES) -> Frontier:
+    cand = fr.valid_domain(fr.unseen_urls(urls, seen), suffixes)
+    planned, leftover = fr.interleave(cand, batch_size, exit_domains, max_domains, suffixes)
+    d = po.defer_by_politeness(planned, waits, as_of, ["batch_id"], suffixes)
+    ready = d.where(~F.col("deferred")).drop("host_key", "n_urls", "sleep_seconds", "deferred")
+    checked = po.robots_allowed(ready, rules, suffixes)
+    return Frontier(checked.where(F.col("allowed")).select("batch_id", "pos", "url", "domain", "round"),
+                    d.where(F.col("deferred")).select("batch_id", "url", "host_key", "n_urls", "sleep_seconds"),
+                    checked.where(~F.col("allowed")).select("batch_id", "url", "host_key"), leftover)
 
 
 def crawl_budget(fetch_order: DataFrame, budget: int) -> DataFrame:

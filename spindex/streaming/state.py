@@ -36,9 +36,12 @@ def version_path(state_dir: str, table: str, epoch: int) -> str:
 
 def read_version(spark: SparkSession, state_dir: str, table: str, epoch: int,
                  empty: DataFrame) -> DataFrame:
-    path = version_path(state_dir, table, epoch)
-    if epoch < 0 or not path_exists(spark, f"{path}/_SUCCESS"):
+    """Version ``epoch`` of a table; only before the first one (``epoch < 0``) is it empty."""
+    if epoch < 0:
         return empty
+    path = version_path(state_dir, table, epoch)
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        raise FileNotFoundError(f"state version {path} is missing or was never committed")
     return spark.read.schema(empty.schema).parquet(path)
 
 

@@ -32,3 +32,7 @@ def test_udf_matches_helper(spark):
     for i, h in enumerate(pages):
         t, links = read_html(h)
         assert got[i] == (t, links)
+
+
+def test_an_unknown_marked_section_is_skipped():
+    assert read_html("<p>a</p><![foo bar]><p>d</p><a href=/x>") == ("a d", ["/x"])

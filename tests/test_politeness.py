@@ -118,3 +118,14 @@ def test_http_dates_match_email_utils(spark, text):
         want = None
     got = spark.createDataFrame([(text,)], "t STRING").select(po.http_date(F.col("t")).alias("d")).first()["d"]
     assert got == want
+
+
+def test_http_date_forms(spark):
+    from pyspark.sql import functions as F
+    from spindex.operators.politeness import http_date
+    want = {"Wed, 21 Oct 2026 07:28:00 GMT": "2026-10-21 07:28:00", "Wed Oct 21 07:28:00 2026": "2026-10-21 07:28:00",
+            "Wednesday, 21-Oct-26 07:28:00 GMT": "2026-10-21 07:28:00", "Wed, 21 Oct 2026 07:28:00 EST": "2026-10-21 12:28:00",
+            "Sunday, 06-Nov-94 08:49:37 GMT": "1994-11-06 08:49:37", "21 Oct 2026 07:28 +0200": "2026-10-21 05:28:00", "junk": None}
+    df = spark.createDataFrame([(s,) for s in want], "s STRING")
+    rows = df.select("s", F.date_format(http_date(F.col("s")), "yyyy-MM-dd HH:mm:ss").alias("t")).collect()
+    assert {r["s"]: r["t"] for r in rows} == want
