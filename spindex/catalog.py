@@ -504,12 +504,20 @@ def unseen_urls(spark, sf_dir):
     return uu(urls, seen)
 
 
+def _last_fetch(spark, sf_dir):
+    """The time of the latest good response: when the next batches are planned, whatever the crawl's length."""
+    from spindex.operators.responses import good_responses
+    last = good_responses(responses(spark, sf_dir)).agg(F.unix_micros(F.max("fetched_at")).alias("t")).first()["t"]
+    return F.timestamp_micros(F.lit(last).cast("bigint"))
+
+
 @register("frontier_batches")
 def frontier_batches(spark, sf_dir):
     """The next fetch batches."""
     from spindex.plans.frontier import prepare_frontier
     urls, seen = _candidates(spark, sf_dir)
-    f = prepare_frontier(urls, seen, waits_table(spark, sf_dir), robots_table(spark, sf_dir), AS_OF)
+    f = prepare_frontier(urls, seen, waits_table(spark, sf_dir), robots_table(spark, sf_dir),
+                         _last_fetch(spark, sf_dir))
     return f.batches
 
 
@@ -518,7 +526,8 @@ def frontier_outcomes(spark, sf_dir):
     """What becomes of every valid candidate in its batch."""
     from spindex.plans.frontier import prepare_frontier
     urls, seen = _candidates(spark, sf_dir)
-    f = prepare_frontier(urls, seen, waits_table(spark, sf_dir), robots_table(spark, sf_dir), AS_OF)
+    f = prepare_frontier(urls, seen, waits_table(spark, sf_dir), robots_table(spark, sf_dir),
+                         _last_fetch(spark, sf_dir))
     named = [(f.batches, "fetch"), (f.deferred, "deferred"), (f.disallowed, "disallowed")]
     out = [df.select("url", "batch_id", F.lit(name).alias("outcome")) for df, name in named]
     out.append(f.leftover.select("url", F.lit(None).cast("bigint").alias("batch_id"), F.lit("leftover").alias("outcome")))

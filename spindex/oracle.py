@@ -524,8 +524,10 @@ rounds AS (SELECT v.*, d.drank, row_number() OVER (PARTITION BY v.domain ORDER B
 placed AS (SELECT *, row_number() OVER (ORDER BY round, drank) - 1 AS p FROM rounds),
 planned AS (SELECT *, CAST(p // 50 AS BIGINT) AS batch_id, CAST(p % 50 AS BIGINT) AS pos FROM placed),
 load AS (SELECT batch_id, host_key, count(*) AS n_urls FROM planned GROUP BY ALL),
-waited AS (SELECT p.*, coalesce(s.sleep_seconds, 0) * l.n_urls < 3 AS ready
-           FROM planned p JOIN load l USING (batch_id, host_key) LEFT JOIN sleeps s USING (host_key)),
+since AS (SELECT host_key, (epoch_us(next_allowed_at) - (SELECT max(epoch_us(fetched_at)) FROM gw)) / 1000000.0 AS s
+          FROM waits),
+waited AS (SELECT p.*, coalesce(CASE WHEN s > 0.05 THEN s END, 0) * l.n_urls < 3 AS ready
+           FROM planned p JOIN load l USING (batch_id, host_key) LEFT JOIN since USING (host_key)),
 fate AS (SELECT w.*, CASE WHEN NOT ready THEN 'deferred' WHEN {allowed_sql('rob.cat', req_path('w.url'))} THEN 'fetch'
                      ELSE 'disallowed' END AS outcome
          FROM waited w LEFT JOIN rob USING (host_key))"""
