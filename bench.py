@@ -31,7 +31,9 @@ def main():
     from pyspark.sql import functions as F
     from spindex import get_spark
     from spindex.catalog import registry
-    spark = get_spark(master=f"local[{cpus}]", shuffle_partitions=cpus * 2)
+    # the bench tables are single files of one row group
+    spark = get_spark(master=f"local[{cpus}]", shuffle_partitions=cpus * 2,
+                      extra={"spark.spindex.scanPartitions": str(cpus)})
     reg = registry()
     names = [n for n in (sys.argv[1:] or HEADLINE) if n in reg]
     # Warm-up (JIT, Python workers): each headline query once on the smaller

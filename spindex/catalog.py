@@ -163,25 +163,34 @@ def index_df(spark, sf_dir):
 
 @register("posting_lists")
 def posting_lists(spark, sf_dir):
-    """A5: posting lists in bounded blocks."""
-    _, postings = documents_index(spark, sf_dir)
-    return ix.posting_lists(postings)
+    """A5: posting lists in blocks sized by document frequency."""
+    terms, postings = documents_index(spark, sf_dir)
+    return ix.posting_lists(terms, postings)
 
 
 @register("term_lookup")
 def term_lookup(spark, sf_dir):
-    """dictionary rows for the benchmark query vocabulary."""
-    terms, _ = documents_index(spark, sf_dir)
+    """dictionary rows for the benchmark query vocabulary."""
     words = se.query_term_counts(benchmark_queries(spark, sf_dir)).select("term")
+    terms, _ = ix.query_scoped_index(documents_corpus(spark, sf_dir), words)
     return ix.term_lookup(terms, words).select("term", "total_pages")
 
 
+@register("term_row")
+def term_row(spark, sf_dir):
+    """equality lookup of one term, the first of the benchmark vocabulary in the dictionary."""
+    words = se.query_term_counts(benchmark_queries(spark, sf_dir)).select("term")
+    terms, _ = ix.query_scoped_index(documents_corpus(spark, sf_dir), words)
+    first = terms.agg(F.min("term").alias("term")).first()["term"]
+    return ix.term_row(terms, first).select("term", "total_pages")
+
+
 @register("term_pages")
 def term_pages(spark, sf_dir):
     """Pages of each benchmark query term (terms ⋈ postings ⋈ pages)."""
     c = documents_corpus(spark, sf_dir)
-    terms, postings = ix.build_index(c)
     words = se.query_term_counts(benchmark_queries(spark, sf_dir)).select("term")
+    terms, postings = ix.query_scoped_index(c, words)
     return ix.term_pages(terms, postings, c, words)
 
 
@@ -282,6 +291,34 @@ def response_filter(spark, sf_dir):
     return good_responses(responses(spark, sf_dir)).select("url", "status")
 
 
+@register("decoded_bodies")
+def decoded_bodies(spark, sf_dir):
+    """Bodies decoded leniently (bytes made from the URLs, with sequences that are not UTF-8)."""
+    from spindex.operators.responses import decode_body
+    p = tb.read_pages(spark, sf_dir)
+    kinds = [(0, "FF"), (1, "E282"), (2, "C0AF")]
+    bad = F.lit("")
+    for k, code in kinds:
+        bad = F.when(F.col("page_id") % 4 == k, F.lit(code)).otherwise(bad)
+    body = F.concat(F.encode("url", "UTF-8"), F.unhex(bad), F.encode(F.lit("é"), "UTF-8"))
+    return p.select("page_id", decode_body(body).alias("text"))
+
+
+@register("crawl_counters")
+def crawl_counters(spark, sf_dir):
+    """Responses received and kept, pages with text, and pages that got into the index."""
+    from spindex.operators.responses import good_responses, received
+    r = responses(spark, sf_dir)
+    good = good_responses(r)
+    texts = write_once(lk.page_text(lk.parse_pages(good.select(F.col("seq").alias("page_id"), "url", F.col("text").alias("html"))))
+                       .select("page_id", F.col("text").alias("page_content")), "crawled-text")
+    _, postings = ix.build_index(texts)
+    counts = [received(r).agg(F.count(F.lit(1)).alias("received")), good.agg(F.count(F.lit(1)).alias("good")),
+              texts.agg(F.count(F.lit(1)).alias("with_text")),
+              postings.agg(F.countDistinct("page_id").alias("indexed"))]
+    return counts[0].crossJoin(counts[1]).crossJoin(counts[2]).crossJoin(counts[3])  # one row each
+
+
 @register("page_text")
 def page_text(spark, sf_dir):
     """Visible text of every page with non-empty text."""
@@ -383,6 +420,39 @@ def url_domains(spark, sf_dir):
                     (~hk.isin("http://", "https://")).alias("valid"))
 
 
+@register("url_edges")
+def url_edges(spark, sf_dir):
+    """Corner cases of link resolution and canonical URLs, one of five per page."""
+    from spindex.functions.urls import canonical_url, resolve_outlink
+    n = F.col("page_id").cast("string")
+    links = ["/a?", "/a;", "/a;?x=1", "/a;p=1?b", "/a//b"]
+    urls = [("HTTPS://h.com/p", ""), ("https://h.com/", "/a;?b=1"), ("https://h.com/", "/a?q=%zz%41"),
+            ("https://h.com/", "/a;x?utm_source=1#f"), ("https://h.com/", "/?k=a+b&k=%E9")]
+    link, raw = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k in range(5):
+        mine = F.col("page_id") % 5 == k
+        link = F.when(mine, F.lit(links[k])).otherwise(link)
+        raw = F.when(mine, F.concat(F.lit(urls[k][0]), n, F.lit(urls[k][1]))).otherwise(raw)
+    p = tb.read_pages(spark, sf_dir).select("page_id", "url", link.alias("href"), raw.alias("raw"))
+    return p.select("page_id", "href", resolve_outlink("url", "href").alias("outlink"),
+                    "raw", canonical_url("raw").alias("canonical_url"))
+
+
+@register("suffix_domains")
+def suffix_domains(spark, sf_dir):
+    """Registrable domains by a joined table of suffix rules, with wildcards and exceptions."""
+    from spindex.operators.domains import domains_by_rules
+    rules = spark.createDataFrame([("com",), ("uk",), ("co.uk",), ("*.ck",), ("!www.ck",), ("XYZ ",), ("",)], "rule STRING")
+    n = F.col("page_id").cast("string")
+    shapes = [("https://w.s", ".co.uk:8080/p"), ("http://a.b", ".ck/"), ("https://x.www.ck/", ""),
+              ("https://u@m.shop", ".xyz?q"), ("https://10.0.0.", "/"), ("https://host", ".unlisted/")]
+    url = F.lit(None).cast("string")
+    for k, (head, tail) in enumerate(shapes):
+        url = F.when(F.col("page_id") % 6 == k, F.concat(F.lit(head), n, F.lit(tail))).otherwise(url)
+    p = tb.read_pages(spark, sf_dir).select("page_id", url.alias("url"))
+    return domains_by_rules(p, rules).select("page_id", "url", "host", "domain")
+
+
 @register("domain_sizes")
 def domain_sizes(spark, sf_dir):
     """Distinct URLs per registrable domain, ranked by size."""
@@ -428,6 +498,36 @@ def robots_rules(spark, sf_dir):
                     F.col("robots.rate_limit").alias("rate_limit"), text.alias("rules_text"))
 
 
+@register("robots_urls")
+def robots_urls(spark, sf_dir):
+    """Robots.txt URL of every host, and back to the host."""
+    from spindex.functions.urls import host_key, host_of_robots_url, robots_url
+    hosts = tb.read_pages(spark, sf_dir).select(host_key("url").alias("host_key")).distinct() \
+        .where(~F.col("host_key").isin("http://", "https://"))
+    return hosts.withColumn("robots_url", robots_url("host_key")) \
+        .withColumn("from_robots", host_of_robots_url("robots_url"))
+
+
+@register("retry_dates")
+def retry_dates(spark, sf_dir):
+    """Retry-After dates in their written forms (one per page), read back."""
+    from spindex.functions.timeutil import utc_instant, utc_wall_clock
+    from spindex.operators.politeness import http_date
+    micros = F.unix_micros(utc_instant("2026-01-01 00:00:00")) + (F.col("page_id") % 1_000_000) * 977_000_000
+
+    def written(pattern: str, back: int = 0):
+        wall = utc_wall_clock(F.timestamp_micros(micros - back * 1_000_000), spark)
+        return F.date_format(wall.cast("timestamp"), pattern)
+
+    kind = F.col("page_id") % 4
+    text = (F.when(kind == 0, F.concat(written("EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")))
+            .when(kind == 1, F.regexp_replace(written("EEE MMM dd HH:mm:ss yyyy"), " 0([1-9]) ", "  $1 "))
+            .when(kind == 2, F.concat(written("EEEE, dd-MMM-yy HH:mm:ss"), F.lit(" GMT")))
+            .otherwise(F.concat(written("EEE, dd MMM yyyy HH:mm:ss", 5 * 3600), F.lit(" EST"))))
+    p = tb.read_pages(spark, sf_dir)
+    return p.select("page_id", utc_wall_clock(http_date(text), spark).alias("retry_at"))
+
+
 @register("robots_allowed")
 def robots_allowed(spark, sf_dir):
     """Robots verdict for every page URL (agent ``*``)."""
@@ -565,6 +665,7 @@ def integrity_report(spark, sf_dir):
         "pages_unique_url": qa.duplicates(raw, ["url"]),
         "pages_html_not_null": qa.nulls(raw, "html"),
         "graph_unique_url": qa.duplicates(g.pages, ["page_url"]),
+        "graph_unique_page_id": qa.duplicates(g.pages, ["page_id"]),  # ids are hashes: a collision shows here
         "graph_edge_source_fk": qa.orphans(g.edges, "source_page_id", g.pages, "page_id"),
         "graph_edge_target_fk": qa.orphans(g.edges, "outgoing_page_id", g.pages, "page_id"),
         "graph_edge_pk": qa.duplicates(g.edges, ["source_page_id", "outgoing_page_id"]),

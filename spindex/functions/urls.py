@@ -54,7 +54,10 @@ def keep_outlink(href) -> Column:
 def _urljoin_udf(base: pd.Series, link: pd.Series) -> pd.Series:
     out = []
     for b, u in zip(base, link):
-        out.append(None if b is None or u is None else urljoin(b, u))
+        try:
+            out.append(None if b is None or u is None else urljoin(b, u))
+        except ValueError:  # no URL at all, e.g. an open bracket in the host
+            out.append(None)
     return pd.Series(out, dtype=object)
 
 
@@ -64,13 +67,14 @@ def resolve_outlink(base, href) -> Column:
     Trailing slashes removed, cut at the first ``#``; a link that contains
     ``https://`` anywhere is used as is, every other link is joined with the
     base URL (``urljoin``).  Empty and plain root-relative links are resolved
-    natively; the rest takes the pandas UDF path.
+    natively; the rest takes the pandas UDF path, among it links with an empty
+    query or empty parameters, which the join drops.  Null: not a URL.
     """
     b = _c(base)
     link = F.substring_index(strip_trailing_slashes(href), "#", 1)
     origin = F.regexp_extract(b, r"^(https?://[^/?#]*)", 1)
     plain_root = (link.rlike(r"^/[^/\s.][^\t\r\n]*$") & ~link.contains("/.")
-                  & (origin != ""))
+                  & ~link.rlike(r"\?$|;(\?|$)") & (origin != ""))
     absolute = link.contains("https://")
     slow = ~absolute & (link != "") & ~plain_root
     return (F.when(absolute, link)
@@ -89,7 +93,8 @@ def _quote_plus(col) -> Column:
 
 
 def _unquote_plus(col) -> Column:
-    return F.coalesce(F.try_url_decode(col), F.replace(col, F.lit("+"), F.lit(" ")))
+    # escapes are decoded one by one: a percent sign that starts none stands for itself
+    return F.try_url_decode(F.regexp_replace(col, "%(?![0-9A-Fa-f]{2})", "%25"))
 
 
 def canonical_url(col, blocked=TRACKING_PARAMS) -> Column:
@@ -98,13 +103,18 @@ def canonical_url(col, blocked=TRACKING_PARAMS) -> Column:
     The query is split on ``&``; pairs without ``=`` or with an empty value
     are dropped; keys and values are decoded; pairs whose lower-cased key is
     in ``blocked`` are removed; repeated keys are grouped at the position of
-    their first occurrence; the query is re-encoded (``quote_plus``).  An
-    empty query or fragment is dropped from the rebuilt URL.
+    their first occurrence; the query is re-encoded (``quote_plus``).  Empty
+    parameters (a last ``;`` of the path), an empty query or an empty fragment
+    are dropped from the rebuilt URL, the scheme is lower-cased, and leading
+    blanks, tabs and line breaks are no part of it.
     """
-    url = _c(col)
+    url = F.regexp_replace(F.regexp_replace(_c(col), r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
     pre = F.substring_index(url, "#", 1)
     frag = F.when(url.contains("#"), F.substring(url, F.instr(url, "#") + 1, 1 << 30))
-    base = F.substring_index(pre, "?", 1)
+    base = F.regexp_replace(F.substring_index(pre, "?", 1),
+                            r"^((?:[A-Za-z][A-Za-z0-9+.\-]*+:)?+(?://[^/]*+)?+(?:.*/)?[^/;]*);$", "$1")
+    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
+    base = F.concat(F.lower(scheme), F.substr(base, F.length(scheme) + 1))
     query = F.when(pre.contains("?"), F.substring(pre, F.instr(pre, "?") + 1, 1 << 30)).otherwise("")
     raw = F.filter(F.split(query, "&"), lambda p: F.instr(p, "=") > 0)
     pairs = F.transform(raw, lambda p: F.struct(
@@ -134,14 +144,27 @@ def url_host(col) -> Column:
     return F.lower(F.regexp_replace(host, r"\.+$", ""))
 
 
+# Names that are no public top-level domains (reserved, or in private use).
+RESERVED_NAMES = ("test", "example", "invalid", "localhost", "local", "internal", "lan", "home", "corp")
+_TOP_LEVEL = rf"(?!(?:{'|'.join(RESERVED_NAMES)})$)(?:[a-z]{{2,63}}|xn--[a-z0-9\-]+)"
+
+
 def suffix_alternation(suffixes=DEFAULT_PUBLIC_SUFFIXES) -> str:
     """Regex alternation of public suffixes, longest first.  ``*.x`` rules
-    become ``[^.]+\\.x``."""
+    become ``[^.]+\\.x``.
+
+    The built-in list cannot name every top-level domain, so with it any other
+    alphabetic top-level name that is not reserved is a suffix too; a list
+    that is passed holds by itself (:mod:`spindex.operators.domains` takes a
+    full one as a table).
+    """
     parts = []
     for s in sorted({s.strip().lower() for s in suffixes if s and s.strip()}, key=lambda x: (-len(x), x)):
         if s.startswith("!"):
             continue
         parts.append(r"[^.]+\." + re.escape(s[2:]) if s.startswith("*.") else re.escape(s))
+    if suffixes is DEFAULT_PUBLIC_SUFFIXES:
+        parts.append(_TOP_LEVEL)
     return "|".join(parts)
 
 

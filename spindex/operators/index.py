@@ -26,7 +26,7 @@ from spindex.functions.text import index_terms, keep_index_term, keep_rare_term
 from spindex.operators.joins import missing_from
 from spindex.session import materialize
 
-POSTING_BLOCK = 1024  # page ids per posting block (a block holds at most this many)
+POSTING_BLOCK = 1024  # page ids per posting block, on average
 
 
 def term_id(col="term") -> Column:
@@ -141,15 +141,20 @@ def insert_postings(postings: DataFrame, new_postings: DataFrame) -> DataFrame:
     return postings.unionByName(fresh)
 
 
-def posting_lists(postings: DataFrame, block: int = POSTING_BLOCK) -> DataFrame:
-    """Posting lists in bounded blocks: ``(term, block, n_pages, page_ids)``.
+def posting_lists(terms: DataFrame, postings: DataFrame, block: int = POSTING_BLOCK) -> DataFrame:
+    """Posting lists in blocks: ``(term, block, n_pages, page_ids)``.
 
-    A block holds the page ids of one term inside one id range of ``block``
-    ids, so no list grows with the corpus (a term found on every page becomes
-    many blocks, not one giant row).  ``page_ids`` is sorted, comma-joined.
+    A term's pages are dealt by a mix of their ids over ``ceil(df / block)``
+    blocks, so a term has as many blocks as its document frequency asks for,
+    whether ids are dense or hashes, and no list grows with the corpus (a term
+    found on every page becomes many blocks, not one giant row).  ``page_ids``
+    is sorted, comma-joined.
     """
-    b = F.floor(F.col("page_id") / F.lit(block)).cast("bigint")
-    return (postings.groupBy("term", b.alias("block"))
+    n = terms.select("term", F.expr(f"(total_pages + {block - 1}) DIV {block}").alias("_n")).where("_n > 0")
+    # one step of a multiplicative generator, so that ids with a common factor spread as well
+    mixed = F.expr("pmod(pmod(page_id, 2147483647L) * 48271L, 2147483647L)")
+    return (postings.select("term", "page_id").join(n, "term")
+            .groupBy("term", F.pmod(mixed, F.col("_n")).alias("block"))
             .agg(F.count(F.lit(1)).alias("n_pages"),
                  F.array_sort(F.collect_list("page_id")).alias("_ids"))
             .select("term", "block", "n_pages",

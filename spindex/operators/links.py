@@ -58,7 +58,7 @@ def resolved_outlinks(parsed: DataFrame, emit_links=None) -> DataFrame:
         src = src.where(emit_links)
     raw = src.select("page_id", "url", F.posexplode("hrefs").alias("pos", "href"))
     kept = raw.where(keep_outlink("href"))
-    return kept.withColumn("outlink", resolve_outlink("url", "href"))
+    return kept.withColumn("outlink", resolve_outlink("url", "href")).where(F.col("outlink").isNotNull())
 
 
 def outlink_lists(parsed: DataFrame, emit_links=None) -> DataFrame:

@@ -8,19 +8,27 @@ plans, from the documented semantics, as the correctness oracle.
 
 from __future__ import annotations
 
-from spindex.functions.constants import PUNCTUATION, PUNCTUATION_SPACES, TERM_PATTERN, TRACKING_PARAMS
-from spindex.functions.urls import suffix_alternation
-from spindex.sources.stopwords import stopword_set
-
 
 def _s(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-P = _s(PUNCTUATION)
-SP = _s(PUNCTUATION_SPACES)
-PAT = _s(TERM_PATTERN)
-STOP = "(" + ", ".join(_s(w) for w in sorted(stopword_set())) + ")"
+# --- Fixed values, stated here once more so that the twins share nothing with the code they check
+P = _s(".?!,:;—()[]{}\\'\"/*&~+")
+SP = _s(" " * 21)
+PAT = _s(r"[A-Za-z0-9_\-#@]+")
+STOP = "(" + ", ".join(_s(w) for w in (
+    "i me my myself we our ours ourselves your yours yourself yourselves he him his himself she her hers "
+    "herself it its itself they them their theirs themselves whom this that these those am is are was "
+    "were be been being have has had having an the and but if or because as until while of at by for with "
+    "into through during before after above below to up down in out on off over under again further then "
+    "once here there where all both each few more most other some such nor not only own same so than too "
+    "very s t can will just don should now a b c d e f g h j k l m n o p q r u v w x y z "
+).split()) + ")"
+TRACKING = ("utm_source utm_medium utm_campaign utm_term utm_content e ref source ref_source "
+            "_hsfp _hssc _hstc gclid fbclid").split()
+TWO_LABEL_SUFFIXES = ("co.uk org.uk ac.uk gov.uk com.cn co.jp ne.jp co.kr co.in com.au net.au org.au co.nz com.br com.mx com.ar co.za").split()
+NO_TOP_LEVEL = "test example invalid localhost local internal lan home corp".split()
 
 
 def idx_tokens(src: str) -> str:
@@ -159,14 +167,19 @@ cnt AS (SELECT term, count(*) AS n FROM postings GROUP BY term)
 SELECT d.term, CAST(coalesce(cnt.n, 0) AS BIGINT) AS total_pages FROM dict d LEFT JOIN cnt USING (term)"""
 
 SQL["posting_lists"] = f"""WITH {DOCS}, {index_ctes('docs')}
-SELECT term, CAST(floor(page_id / 1024) AS BIGINT) AS block, count(*) AS n_pages,
+SELECT term, ((page_id % 2147483647 + 2147483647) % 2147483647 * 48271) % 2147483647
+             % ((total_pages + 1023) // 1024) AS block, count(*) AS n_pages,
        array_to_string(list_sort(list(page_id)), ',') AS page_ids
-FROM postings GROUP BY term, CAST(floor(page_id / 1024) AS BIGINT)"""
+FROM postings JOIN terms USING (term) GROUP BY ALL"""
 
 SQL["term_lookup"] = f"""WITH {DOCS}, {index_ctes('docs')}, {BENCH_Q},
 {weight_ctes('bench_q', 'docs', 'terms')}
 SELECT term, total_pages FROM terms WHERE term IN (SELECT term FROM qc)"""
 
+SQL["term_row"] = f"""WITH {DOCS}, {index_ctes('docs')}, {BENCH_Q},
+{weight_ctes('bench_q', 'docs', 'terms')}
+SELECT term, total_pages FROM terms WHERE term IN (SELECT term FROM qc) ORDER BY term LIMIT 1"""
+
 SQL["term_pages"] = f"""WITH {DOCS}, {index_ctes('docs')}, {BENCH_Q},
 {weight_ctes('bench_q', 'docs', 'terms')}
 SELECT t.term, p.page_id, d.page_url FROM terms t JOIN postings p USING (term)
@@ -278,6 +291,44 @@ SQL["response_filter"] = f"""WITH b AS (SELECT page_id, url, html, page_id AS se
 f AS ({fixture('b')})
 SELECT url, status FROM f WHERE {GOOD}"""
 
+SQL["decoded_bodies"] = """SELECT page_id, url || CASE page_id % 4 WHEN 0 THEN chr(65533) WHEN 1 THEN chr(65533)
+  WHEN 2 THEN chr(65533) || chr(65533) ELSE '' END || 'é' AS text FROM pages"""
+
+SQL["crawl_counters"] = f"""WITH b AS (SELECT page_id, url, html, page_id AS seq FROM pages),
+f AS ({fixture('b')}),
+got AS (SELECT page_id, url, html, {text_twin('html')} AS text FROM f WHERE {GOOD}),
+texts AS (SELECT page_id, url AS page_url, text AS page_content FROM got WHERE length(text) > 0),
+{index_ctes('texts')}
+SELECT (SELECT count(*) FROM f WHERE received) AS received, (SELECT count(*) FROM got) AS good,
+       (SELECT count(*) FROM texts) AS with_text, (SELECT count(DISTINCT page_id) FROM postings) AS indexed"""
+
+SQL["url_edges"] = """WITH o AS (SELECT page_id, CAST(page_id AS VARCHAR) AS n,
+  regexp_extract(url, '^(https?://[^/?#]*)', 1) AS origin FROM pages)
+SELECT page_id,
+  CASE page_id % 5 WHEN 0 THEN '/a?' WHEN 1 THEN '/a;' WHEN 2 THEN '/a;?x=1' WHEN 3 THEN '/a;p=1?b' ELSE '/a//b' END AS href,
+  origin || CASE page_id % 5 WHEN 0 THEN '/a' WHEN 1 THEN '/a' WHEN 2 THEN '/a?x=1' WHEN 3 THEN '/a;p=1?b' ELSE '/a//b' END AS outlink,
+  CASE page_id % 5 WHEN 0 THEN 'HTTPS://h.com/p' || n WHEN 1 THEN 'https://h.com/' || n || '/a;?b=1'
+    WHEN 2 THEN 'https://h.com/' || n || '/a?q=%zz%41' WHEN 3 THEN 'https://h.com/' || n || '/a;x?utm_source=1#f'
+    ELSE 'https://h.com/' || n || '/?k=a+b&k=%E9' END AS raw,
+  CASE page_id % 5 WHEN 0 THEN 'https://h.com/p' || n WHEN 1 THEN 'https://h.com/' || n || '/a?b=1'
+    WHEN 2 THEN 'https://h.com/' || n || '/a?q=%25zzA' WHEN 3 THEN 'https://h.com/' || n || '/a;x#f'
+    ELSE 'https://h.com/' || n || '/?k=a+b&k=%EF%BF%BD' END AS canonical_url
+FROM o"""
+
+SQL["suffix_domains"] = """WITH o AS (SELECT page_id, page_id % 6 AS k, CAST(page_id AS VARCHAR) AS n FROM pages)
+SELECT page_id,
+  CASE k WHEN 0 THEN 'https://w.s' || n || '.co.uk:8080/p' WHEN 1 THEN 'http://a.b' || n || '.ck/'
+    WHEN 2 THEN 'https://x.www.ck/' || n WHEN 3 THEN 'https://u@m.shop' || n || '.xyz?q'
+    WHEN 4 THEN 'https://10.0.0.' || n || '/' ELSE 'https://host' || n || '.unlisted/' END AS url,
+  CASE k WHEN 0 THEN 'w.s' || n || '.co.uk' WHEN 1 THEN 'a.b' || n || '.ck' WHEN 2 THEN 'x.www.ck'
+    WHEN 3 THEN 'm.shop' || n || '.xyz' WHEN 4 THEN '10.0.0.' || n ELSE 'host' || n || '.unlisted' END AS host,
+  CASE k WHEN 0 THEN 's' || n || '.co.uk' WHEN 1 THEN 'a.b' || n || '.ck' WHEN 2 THEN 'www.ck'
+    WHEN 3 THEN 'shop' || n || '.xyz' ELSE '' END AS domain
+FROM o"""
+
+SQL["retry_dates"] = """SELECT page_id, TIMESTAMP '2026-01-01 00:00:00' + to_seconds((page_id % 1000000) * 977) AS retry_at
+FROM pages"""
+
 SQL["page_text"] = f"""WITH {PTEXT}
 SELECT page_id, url, text FROM ptext WHERE length(text) > 0"""
 
@@ -339,7 +390,7 @@ SELECT CAST(2 AS BIGINT), (SELECT count(*) FROM r2),
 
 # --- URLs and domains ------------------------------------------------------------------
 
-_BLOCKED = "(" + ", ".join(_s(x) for x in TRACKING_PARAMS) + ")"
+_BLOCKED = "(" + ", ".join(_s(x) for x in TRACKING) + ")"
 
 SQL["canonical_urls"] = f"""WITH u AS (
   SELECT page_id, url, split_part(url, '#', 1) AS pre,
@@ -356,9 +407,6 @@ SELECT v.page_id, v.url, v.base || CASE WHEN coalesce(nq, '') <> '' THEN '?' ||
        || CASE WHEN coalesce(frag, '') <> '' THEN '#' || frag ELSE '' END AS canonical_url
 FROM v LEFT JOIN kept USING (page_id)"""
 
-_ALTS = suffix_alternation()
-
-
 def host_sql(u: str) -> str:
     rest = f"regexp_replace({u}, '^(?i)(?:[a-z][a-z0-9+.\\-]*:)?//', '')"
     netloc = f"regexp_extract({rest}, '^([^/?#]*)', 1)"
@@ -367,8 +415,12 @@ def host_sql(u: str) -> str:
 
 
 def domain_sql(host: str) -> str:
-    return (f"CASE WHEN regexp_full_match({host}, '(?:{_ALTS})') THEN '' "
-            f"ELSE regexp_extract({host}, '([^.]+\\.(?:{_ALTS}))$', 1) END")
+    last = f"split_part({host}, '.', -1)"
+    two = f"regexp_extract({host}, '([^.]+\\.[^.]+)$', 1)"
+    listed = f"{two} IN ({', '.join(_s(x) for x in TWO_LABEL_SUFFIXES)})"
+    top = f"regexp_full_match({last}, '[a-z][a-z]+|xn--[a-z0-9-]+') AND {last} NOT IN ({', '.join(_s(x) for x in NO_TOP_LEVEL)})"
+    return (f"CASE WHEN NOT ({top}) OR NOT contains({host}, '.') THEN '' "
+            f"WHEN {listed} THEN regexp_extract({host}, '([^.]+\\.[^.]+\\.[^.]+)$', 1) ELSE {two} END")
 
 
 def host_key_sql(u: str, host: str, domain: str) -> str:
@@ -476,6 +528,10 @@ SELECT host_key, next_allowed_at FROM waits"""
 SQL["robots_rules"] = f"""WITH {HOSTS}
 SELECT host_key, has_rules, rate_limit, rules_text FROM rob"""
 
+SQL["robots_urls"] = f"""WITH {PAGE_HOSTS}
+SELECT DISTINCT host_key, host_key || '/robots.txt' AS robots_url, host_key AS from_robots
+FROM ph WHERE host_key NOT IN ('http://', 'https://')"""
+
 SQL["robots_allowed"] = f"""WITH {HOSTS}, {PAGE_HOSTS}
 SELECT p.page_id, p.url, ph.host_key, {allowed_sql('rob.cat', req_path('p.url'))} AS allowed
 FROM pages p JOIN ph USING (url) LEFT JOIN rob USING (host_key)"""
@@ -554,6 +610,7 @@ SELECT 'pages_unique_page_id' AS rule, CAST(count(*) - count(DISTINCT page_id) A
 UNION ALL SELECT 'pages_unique_url', count(*) - count(DISTINCT url), count(*) FROM pages
 UNION ALL SELECT 'pages_html_not_null', count(*) FILTER (WHERE html IS NULL), count(*) FROM pages
 UNION ALL SELECT 'graph_unique_url', count(*) - count(DISTINCT page_url), count(*) FROM stored
+UNION ALL SELECT 'graph_unique_page_id', count(*) - count(DISTINCT page_url), count(*) FROM stored
 UNION ALL SELECT 'graph_edge_source_fk', count(*) FILTER (WHERE source_url NOT IN (SELECT page_url FROM stored)), count(*) FROM edges
 UNION ALL SELECT 'graph_edge_target_fk', count(*) FILTER (WHERE target_url NOT IN (SELECT page_url FROM stored)), count(*) FROM edges
 UNION ALL SELECT 'graph_edge_pk', count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM edges)), count(*) FROM edges

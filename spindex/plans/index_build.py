@@ -50,12 +50,12 @@ def build_search_index(corpus: DataFrame, stopwords=None, buckets: int = TERM_BU
     """Write the index tables; term-keyed tables are partitioned by a term
     hash bucket so a query batch reads only the buckets of its terms."""
     terms, postings = ix.build_index(corpus, stopwords)
-    by = ["term_bucket"]
+    by, sort = ["term_bucket"], ["term"]  # row-group statistics on the term skip what a lookup does not need
     return SearchIndex(
-        terms=materialize(terms.withColumn("term_bucket", term_bucket("term", buckets)), "terms", by),
-        postings=materialize(postings.withColumn("term_bucket", term_bucket("term", buckets)), "postings", by),
+        terms=materialize(terms.withColumn("term_bucket", term_bucket("term", buckets)), "terms", by, sort),
+        postings=materialize(postings.withColumn("term_bucket", term_bucket("term", buckets)), "postings", by, sort),
         tf=materialize(all_term_frequencies(corpus).withColumn("term_bucket", term_bucket("term", buckets)),
-                       "tf", by),
+                       "tf", by, sort),
         n_pages=materialize(ix.page_count(corpus), "n-pages"),
         urls=materialize(corpus.select("page_id", "page_url"), "urls"),
         buckets=buckets,

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 # Settings every job relies on: runtime re-planning (AQE) for partition
 # coalescing, skew splitting and broadcast conversion with a measured size,
@@ -100,7 +101,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def materialize(df, name: str = "table", partition_by: list[str] | None = None):
+def materialize(df, name: str = "table", partition_by: list[str] | None = None, sort_by: list[str] | None = None):
     """Write ``df`` once as Parquet under the cluster's checkpoint folder and
     return a DataFrame reading it back.
 
@@ -111,6 +112,10 @@ def materialize(df, name: str = "table", partition_by: list[str] | None = None):
     """
     import uuid
     spark = df.sparkSession
+    if partition_by:  # a partition value in few files, split by size: their number follows the data, not the tasks
+        df = df.hint("rebalance", *[F.col(c) for c in partition_by])
+        if sort_by:
+            df = df.sortWithinPartitions(*partition_by, *sort_by)
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write

@@ -28,17 +28,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, schema: str | None =
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a scan that yields fewer splits than the cluster has task
-    slots (e.g. one large Parquet row group), so per-row text work runs in
-    parallel.  A scan that already has enough splits is returned unchanged:
-    on a many-file input this adds no shuffle."""
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= slots:
-            return df
-    except Exception:  # no RDD view (e.g. a remote session): leave the scan as is
-        return df
-    return df.repartition(slots, key)
+    """The scan as it is, unless the session sets ``spark.spindex.scanPartitions``:
+    then its rows are hash-spread on ``key`` over so many partitions (for
+    inputs of a single large row group, whose text work would run in one task)."""
+    n = int(df.sparkSession.conf.get("spark.spindex.scanPartitions", "0"))
+    return df.repartition(n, key) if n else df
 
 
 def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

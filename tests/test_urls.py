@@ -1,6 +1,7 @@
 """Outlink filter/resolution, canonical URLs, host keys and domains."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from spindex.functions.urls import (canonical_url, host_key, keep_outlink, registrable_domain,
                                     resolve_outlink)
@@ -56,3 +57,55 @@ def test_domains(spark, url, key, domain):
     r = spark.createDataFrame([(url,)], "url STRING").select(
         host_key("url").alias("k"), registrable_domain("url").alias("d")).first()
     assert (r["k"], r["d"]) == (key, domain)
+
+
+def test_links_that_are_joined_lose_empty_parts(spark):
+    from spindex.functions.urls import resolve_outlink
+    base = "https://h.com/d/p"
+    cases = {"/a?": "https://h.com/a", "/a;": "https://h.com/a", "/a;?x=1": "https://h.com/a?x=1", "/a;p=1": "https://h.com/a;p=1",
+             "/a?b;": "https://h.com/a?b;", "b?": "https://h.com/d/b", "//[x": None, "/a//b": "https://h.com/a//b"}
+    df = spark.createDataFrame([(k,) for k in cases], "href STRING")
+    got = {r["href"]: r["o"] for r in df.select("href", resolve_outlink(F.lit(base), "href").alias("o")).collect()}
+    assert got == cases
+
+
+def test_canonical_url_corner_cases(spark):
+    from spindex.functions.urls import canonical_url
+    cases = {"HTTPS://h.com/A": "https://h.com/A", "https://h.com/a;?b=1": "https://h.com/a?b=1", "https://h.com/a;;": "https://h.com/a;;",
+             "https://h.com;": "https://h.com;", "https://h.com/a;b/c": "https://h.com/a;b/c", "https://h.com/a?q=%zz%41": "https://h.com/a?q=%25zzA",
+             "https://h.com/a?q=50%": "https://h.com/a?q=50%25", " https://h.com/a\tb": "https://h.com/ab", "/p?x=1&UTM_source=2": "/p?x=1"}
+    df = spark.createDataFrame([(k,) for k in cases], "u STRING")
+    got = {r["u"]: r["c"] for r in df.select("u", canonical_url("u").alias("c")).collect()}
+    assert got == cases
+
+
+def test_top_level_names_beyond_the_built_in_list(spark):
+    from spindex.functions.urls import host_key, registrable_domain
+    cases = {"https://a.shop.xyz/": "shop.xyz", "https://www.firma.cz/": "firma.cz", "https://x.co.uk/": "x.co.uk", "https://a.xn--p1ai/": "a.xn--p1ai",
+             "https://printer.local/": "", "https://localhost/": "", "https://1.2.3.4/": "", "https://co.uk/": "", "https://xyz/": ""}
+    df = spark.createDataFrame([(k,) for k in cases], "u STRING")
+    rows = df.select("u", registrable_domain("u").alias("d"), host_key("u").alias("k"), registrable_domain("u", ("com",)).alias("own")).collect()
+    assert {r["u"]: r["d"] for r in rows} == cases
+    assert len({r["k"] for r in rows if r["d"]}) == 4 and all(r["own"] == "" for r in rows)
+
+
+def test_domains_by_a_table_of_rules(spark):
+    from spindex.operators.domains import domains_by_rules
+    rules = spark.createDataFrame([("com",), ("uk",), ("CO.uk",), ("*.ck",), ("!www.ck",), (None,), ("com",)], "rule STRING")
+    cases = {"https://a.b.co.uk/": "b.co.uk", "https://b.uk/": "b.uk", "https://a.b.c.ck": "b.c.ck", "https://c.ck": "", "https://www.ck/": "www.ck",
+             "https://a.www.ck/": "www.ck", "https://com/": "", "https://x.de/": "", "https://9.9.9.9/": "", "": "", None: ""}
+    urls = spark.createDataFrame([(u, 1) for u in cases] + [("https://b.uk/", 1)], "url STRING, labels INT")
+    rows = domains_by_rules(urls, rules).collect()
+    assert len(rows) == len(cases) + 1 and {r["url"]: r["domain"] for r in rows} == cases
+    assert {r["domain"] for r in domains_by_rules(urls, rules.where("false")).collect()} == {""}
+
+
+def test_posting_blocks_follow_the_document_frequency(spark):
+    from spindex.operators.index import posting_lists
+    ids = spark.range(5000).select(F.xxhash64("id").alias("page_id"))
+    postings = ids.select(F.lit("t").alias("term"), "page_id").union(spark.range(0, 3_000_000, 1000).select(F.lit("u").alias("term"), "id"))
+    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("total_pages"))
+    blocks = posting_lists(terms, postings).collect()
+    assert sum(r["n_pages"] for r in blocks) == 8000
+    assert sum(r["term"] == "t" for r in blocks) == 5 and sum(r["term"] == "u" for r in blocks) == 3
+    assert max(r["n_pages"] for r in blocks) < 1500
