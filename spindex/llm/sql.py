@@ -2,7 +2,68 @@
 
 from __future__ import annotations
 
+
+def _either_case(word: str) -> str:
+    """ASCII letters of a pattern in either case (an ``i`` flag would fold others to them as well)."""
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_SIGN = r"""["']?\x20*[:=]\x20*["']?"""
+_ASSIGN = f"({'|'.join(map(_either_case, ('password', 'passwd', 'secret', 'token', 'api_?key')))}){_SIGN}([A-Za-z0-9+/_.=-]+)"
+_ACCOUNT = "|".join(_either_case(x) for x in ("username", "user", "login", "account", "client_?id"))
+# (name, pattern, what a match must be), in the order of the kinds
+_SECRETS = (
+    ("assign", _ASSIGN, f"length(regexp_extract(hit, {_quoted(_ASSIGN)}, 2)) >= 6"),
+    ("access", "AKIA[A-Z0-9]+", "length(hit) >= 20"),
+    ("hex", "[0-9a-f]+", "length(hit) >= 24"),
+    ("user", f"(?:{_ACCOUNT}){_SIGN}[A-Za-z0-9+/_.@-]{{3,}}", "true"),
+    ("key", "[A-Za-z0-9+/_-]+", "length(hit) >= 24 AND regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Z]') "
+                                "AND regexp_matches(hit, '[a-z]')"),
+    ("endpoint", r"""[A-Za-z0-9+.-]+://[^ \t\n\x0B\f\r"'<>]+""", "regexp_matches(hit, '^[A-Za-z]')"),
+)
+
+
+def _secrets() -> str:
+    """Spans from the lengths of matches and of the pieces between them; weak parts linked within 200 code points."""
+    hits = " UNION ALL ".join(f"SELECT row, {k} AS kind, regexp_extract_all(t, {_quoted(p)}) AS h, string_split_regex(t, {_quoted(p)}) AS s FROM d"
+                              for k, (_, p, _) in enumerate(_SECRETS))
+    fits = " ".join(f"WHEN {k} THEN {c}" for k, (_, _, c) in enumerate(_SECRETS))
+    names = "[" + ", ".join(_quoted(n) for n, _, _ in _SECRETS) + "]"
+
+    def apart(kind: int, *others: str) -> str:
+        taken = " UNION ALL ".join(f"SELECT * FROM {x}" for x in others)
+        return (f"SELECT * FROM found f WHERE kind = {kind} AND NOT EXISTS "
+                f"(SELECT 1 FROM ({taken}) o WHERE o.row = f.row AND o.a < f.b AND f.a < o.b)")
+
+    spans = f"string_agg({names}[kind + 1] || ':' || a || ':' || b, ',' ORDER BY a, kind, b)"
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+hits AS ({hits}),
+one AS (SELECT row, kind, unnest(h) AS hit, unnest(s[1:len(h)]) AS piece, generate_subscripts(h, 1) AS i FROM hits WHERE len(h) > 0),
+placed AS (SELECT row, kind, hit, CAST(sum(length(piece) + length(hit)) OVER (PARTITION BY row, kind ORDER BY i) AS BIGINT) AS b FROM one),
+found AS MATERIALIZED (SELECT row, kind, b - length(hit) AS a, b FROM placed WHERE CASE kind {fits} END),
+base AS (SELECT * FROM found WHERE kind < 3),
+users AS MATERIALIZED ({apart(3, 'base')}),
+keys AS MATERIALIZED ({apart(4, 'base', 'users')}),
+endpoints AS MATERIALIZED ({apart(5, 'base', 'users', 'keys')}),
+parts AS (SELECT * FROM base UNION ALL SELECT * FROM users UNION ALL SELECT * FROM keys UNION ALL SELECT * FROM endpoints),
+met AS (SELECT w.*, o.kind AS other FROM parts w JOIN parts o ON w.row = o.row
+        AND greatest(w.a, o.a) - least(w.b, o.b) <= 200 AND NOT (w.a = o.a AND w.kind = o.kind) WHERE w.kind >= 3),
+linked AS (SELECT row, kind, a, b FROM met GROUP BY ALL HAVING CASE kind WHEN 4 THEN bool_or(other IN (1, 3, 5)) WHEN 3 THEN bool_or(other IN (0, 2, 4))
+           ELSE bool_or(other IN (1, 3)) AND bool_or(other IN (0, 2, 4)) END),
+strong AS (SELECT row, count(*) FILTER (WHERE kind = 0) AS n0, count(*) FILTER (WHERE kind = 1) AS n1,
+                  count(*) FILTER (WHERE kind = 2) AS n2, {spans} AS s FROM base GROUP BY row),
+every AS (SELECT row, {spans} AS s FROM (SELECT * FROM base UNION ALL SELECT * FROM linked) GROUP BY row)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex,
+       sha256(coalesce(strong.s, '')) AS base_sha256, coalesce(every.s, '') AS spans
+FROM d LEFT JOIN strong USING (row) LEFT JOIN every USING (row)"""
+
+
 _SQL: dict[str, str] = {
+    "op8_secrets": _secrets(),
     # a byte-level token per byte of UTF-8
     "op9_token_counts": "SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT) AS n_tokens FROM documents",
 }

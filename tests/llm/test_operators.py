@@ -464,3 +464,22 @@ def test_pipeline_stages(sp):
     assert {r["doc_id"] for r in rows} == firsts - leaked
     assert all(len(r["ids"]) == 4 * r["n_tokens"] for r in rows)
     assert all(f(sp, docs.where("false"), SF).count() == 0 for _, f in cp.STAGES)
+
+
+def test_sql_twins(sp):
+    import duckdb
+    from spindex.llm import sql
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet') UNION ALL "
+            "SELECT -1, NULL, NULL, NULL, 0 UNION ALL SELECT -2, 'user: bob12 é password=hunter22', NULL, NULL, 0")
+    docs = common.table(sp, SF, "documents").union(sp.createDataFrame(
+        [(-1, None, None, None, 0), (-2, "user: bob12 é password=hunter22", None, None, 0)], DOCS))
+    path = sp.conf.get("spark.checkpoint.dir", None) or sp.sparkContext.getConf().get("spark.checkpoint.dir")
+    folder = f"{path}/twins"
+    docs.write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    for name, text in sql.oracle_sql().items():
+        got, want = queries.registry()[name](sp, folder), con.sql(text)
+        cols = sorted(got.columns)
+        assert cols == sorted(want.columns)
+        rows = sorted(map(tuple, want.project(", ".join(cols)).fetchall()))
+        assert sorted(map(tuple, got.select(*cols).collect())) == rows
