@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from spindex.llm.common import utf8
 from spindex.session import materialize
 
-BLOCK_TOKENS = 1 << 18
+BLOCK_TOKENS = 1 << 14  # 32 KB a row: readers hold thousands of rows at a time
 GROUP = 512
 DTYPE = "<u2"
 
@@ -63,12 +63,16 @@ def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 size += len(held[-1])
                 ids.append(doc)
                 ends.append(size - 1)
-                while size >= block_tokens:
-                    flat = np.concatenate(held)
-                    n = int(np.searchsorted(ends, block_tokens))
-                    yield _block(file, block, flat[:block_tokens], ids[:n])
-                    held, size, block = [flat[block_tokens:]], size - block_tokens, block + 1
-                    ids, ends = ids[n:], [e - block_tokens for e in ends[n:]]
+                if size < block_tokens:
+                    continue
+                flat, at, whole = np.concatenate(held), np.array(ends), size // block_tokens * block_tokens
+                for lo in range(0, whole, block_tokens):
+                    m, n = np.searchsorted(at, [lo, lo + block_tokens])
+                    yield _block(file, block, flat[lo:lo + block_tokens], ids[m:n])
+                    block += 1
+                n = int(np.searchsorted(at, whole))
+                held, size = [flat[whole:].copy()], size - whole
+                ids, ends = ids[n:], [e - whole for e in ends[n:]]
         if size:
             yield _block(file, block, np.concatenate(held), ids)
 
