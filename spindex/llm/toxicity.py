@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from spindex.llm.common import cuts, utf8
 from spindex.llm.words import mix, word_bounds, word_hashes
+from spindex.session import materialize
 
 MAX_PER_CLASS = 3000
 FEATURE_BITS = 18
@@ -253,6 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: CharModel, id_col: str = "doc
     shares = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("__id"), "__id"))
     chosen = known.withColumn("r", rank).where(F.col("r") <= max_per_class)
+    chosen = materialize(chosen.select("__id", "y"), "toxicity-sample")  # its known size lets the join leave the texts where they are
     text = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(chosen, "__id")
     numbers = _features_column(restored_column(model, docs.sparkSession, F.col("__text")))
     rows = text.select("y", numbers.alias("f")).toLocalIterator()
