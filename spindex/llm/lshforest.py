@@ -11,18 +11,19 @@ the most company over all trees), so a group of n copies costs n - 1 pairs.
 All pairs are verified exactly on the texts; the verified ones are joined to
 classes.  Where sets of *different* classes still share a prefix of the least
 depth, the sets outside the prefix's largest class are compared with all sets
-of other classes there, until no new link appears: what is never compared are
-pairs inside one class, which are connected already.  Of these pairs, the ones
+of other classes there, until no new link appears.  Of these pairs, the ones
 whose signatures agree in clearly fewer values than the threshold asks for
-(``SLACK`` standard errors) are not verified.
+(``SLACK`` standard errors) are not verified.  Last, the links inside the
+classes are counted: all sets of a class are compared with each other, in
+blocks of ``BLOCK`` sets whose common shingles are counted by a matrix product,
+and only each set's number of links leaves the task.
 
 Sets that are equal (texts that differ in case or punctuation only) are one
 node, whatever their number.
 
 Result: one row per document: its id, ``class_id`` (the smallest id in its
-class), ``n_links`` (verified links of its text to other texts; members of a
-class that meet through a common text are not spelled out pairwise) and
-``copies`` (documents with an equal set).
+class), ``n_links`` (the other sets of its class that reach the threshold with
+its own) and ``copies`` (documents with an equal set).
 
 Defined cases: texts without a word are compared as whole texts (equal ones
 form a class; null counts as empty); texts of fewer than ``SHINGLE`` words are
@@ -49,6 +50,9 @@ DEPTH = 8
 RECALL = 0.99
 BATCH_BYTES = 1 << 20
 SLACK = 2.5
+BLOCK = 256             # sets of a class compared with as many others in one go
+BLOCK_BYTES = 1 << 22   # or fewer, so that their shingles stay about this small
+_SLICE = 4096  # columns of the matrix product at a time
 _STEP = 4096  # shingles hashed by all functions at a time
 _VALUE = 4    # bytes of a label value
 
@@ -143,9 +147,86 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         .where(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
+def partners(xs: list[np.ndarray], ys: list[np.ndarray] | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Per set of ``xs`` the sets of ``ys`` that reach the threshold with it, and the other way round;
+    without ``ys``: the other sets of ``xs``, and nothing."""
+    flat = np.concatenate(xs)
+    if ys is None:
+        values, n = np.unique(flat, return_counts=True)
+        values = values[n > 1]
+    else:
+        values = np.intersect1d(flat, np.concatenate(ys))
+
+    def cells(sets):
+        rows, flat = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+        at = np.searchsorted(values, flat)
+        known = at < len(values)
+        known[known] = values[at[known]] == flat[known]
+        order = np.argsort(at[known], kind="stable")
+        return rows[known][order], at[known][order]
+
+    def matrix(rows, at, n, low, high):
+        a, b = np.searchsorted(at, (low, high))
+        out = np.zeros((n, high - low), np.float32)
+        out[rows[a:b], at[a:b] - low] = 1
+        return out
+
+    left = cells(xs)
+    right = left if ys is None else cells(ys)
+    others = xs if ys is None else ys
+    both = np.zeros((len(xs), len(others)))
+    for low in range(0, len(values), _SLICE):
+        high = min(low + _SLICE, len(values))
+        x = matrix(*left, len(xs), low, high)
+        both += x @ (x if ys is None else matrix(*right, len(ys), low, high)).T
+    either = np.array([len(s) for s in xs])[:, None] + np.array([len(s) for s in others])[None, :] - both
+    same = both / np.maximum(either, 1) >= threshold
+    if ys is None:
+        np.fill_diagonal(same, False)
+        return same.sum(1), np.zeros(0, np.int64)
+    return same.sum(1), same.sum(0)
+
+
+def _count_links(links: DataFrame, root: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``(key, n_links)`` of every set with a link: all sets of its class that reach the threshold with it.
+
+    Classes of which every pair is a verified link are counted from the links.  The sets of the others
+    are dealt over blocks by a hash; each pair of blocks is one group.
+    """
+    degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
+    known = degree.join(root, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    known = materialize(known, "forest-degree")
+    classes = known.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_links").alias("ends"))
+    unsettled = materialize(classes.where("ends < n * (n - 1)").select("root"), "forest-unsettled")
+    members = known.join(unsettled, "root").select("root", "key").join(sets, "key")
+    parts = members.groupBy("root").agg(F.expr(f"greatest(ceil(count(*) / {BLOCK}), ceil(sum(length(shingles)) / {BLOCK_BYTES}))").alias("parts"))
+    parts = materialize(parts, "forest-parts")
+    dealt = members.join(parts, "root").withColumn("block", F.expr("pmod(xxhash64(key), parts)")) \
+        .withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)")))
+    dealt = dealt.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "shingles")
+
+    def count(group: pa.Table) -> pa.Table:
+        block = group.column("block").to_numpy()
+        shingle = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")]
+        first, last = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        x, y = np.flatnonzero(block == first), np.flatnonzero(block == last)
+        n = np.zeros(len(block), np.int64)
+        if len(x) and len(y):
+            n[x], back = partners([shingle[k] for k in x], None if first == last else [shingle[k] for k in y], threshold)
+            if first != last:
+                n[y] = back
+        return pa.table({"key": group.column("key"), "n_links": pa.array(n)})
+
+    counted = dealt.groupBy("root", "i", "j").applyInArrow(count, "key binary, n_links bigint")
+    counted = counted.groupBy("key").agg(F.sum("n_links").alias("n_links"))
+    settled = known.join(unsettled, "root", "left_anti").select("key", "n_links")
+    return settled.union(counted)
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
-         threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
-    """One row per document: ``id_col, class_id, n_links, copies, text_md5``."""
+         threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL,
+         count_links: bool = True) -> DataFrame:
+    """One row per document: ``id_col, class_id, n_links, copies, text_md5``; ``n_links`` is null if not counted."""
     least = stop_depth(threshold, trees, depth, recall)
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.md5(text)).alias("md5"))
@@ -193,12 +274,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
             break
         links = links.union(found)
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
-    named = keys.select("key", "first", "copies").join(root, "key", "left").join(degree, "key", "left") \
+    none = F.lit(0 if count_links else None).cast("bigint")
+    named = keys.select("key", "first", "copies").join(root, "key", "left") \
         .withColumn("root", F.coalesce("root", "key"))
+    if count_links:
+        named = named.join(materialize(_count_links(links, root, sets, threshold), "forest-counts"), "key", "left")
+    else:
+        named = named.withColumn("n_links", none)
     classes = named.groupBy("root").agg(F.min("first").alias("class"))
     named = named.join(classes, "root").select("key", F.col("class.id").alias("class_id"), F.col("class.md5").alias("class_md5"),
-                                               F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "copies")
+                                               F.coalesce("n_links", none).alias("n_links"), "copies")
     return rows.select("id", "md5", "key").join(named, "key") \
         .select(F.col("id").alias(id_col), "class_id", "n_links", "copies", F.col("md5").alias("text_md5"), "class_md5")
 
@@ -240,7 +325,7 @@ def _between(trie: DataFrame, root: DataFrame, keys: DataFrame, threshold: float
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row per class: its smallest id (of equal rows, one)."""
-    joined = join(docs, id_col, text_col, **options)
+    joined = join(docs, id_col, text_col, count_links=False, **options)
     kept = joined.select(F.col("class_id").alias("__id"), F.col("class_md5").alias("__md5")).distinct()
     marked = docs.withColumn("__md5", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     rows = marked.alias("d").join(kept.alias("k"), F.expr(f"d.__md5 = k.__md5 AND d.`{id_col}` <=> k.__id"), "left_semi")

@@ -311,6 +311,26 @@ def test_join_groups_and_edge_cases(sp):
     assert {r["class_id"] for r in lshforest.join(loose).collect()} == {4}
 
 
+def test_link_counts_equal_all_pairs(sp, monkeypatch):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    base = [word() for _ in range(200)]
+    texts = [" ".join(word() if rng.random() < 0.012 else w for w in base) for _ in range(90)]
+    drift = list(base[::-1])
+    for k in range(30):  # a class whose ends are not alike
+        texts.append(" ".join(drift))
+        drift[rng.randrange(len(drift))] = word()
+    texts += [texts[0].upper(), " ".join(word() for _ in range(50)), "!!!", "!!!", None]
+    sets = [shingle_set(t or "") for t in texts]
+    distinct = {frozenset(s) for s in sets if s}
+    want = [sum(s != o and len(s & o) >= 0.8 * len(s | o) for o in distinct) if s else 0 for s in sets]
+    assert max(want) > 60
+    for block in (lshforest.BLOCK, 16):
+        monkeypatch.setattr(lshforest, "BLOCK", block)
+        got = {r["doc_id"]: r["n_links"] for r in lshforest.join(frame(sp, texts)).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
 def test_stop_depth_reaches_the_recall():
     d = lshforest.stop_depth(0.8, 16, 8, 0.99)
     assert 1 - (1 - 0.8 ** d) ** 16 >= 0.99 > 1 - (1 - 0.8 ** (d + 1)) ** 16
