@@ -15,14 +15,15 @@ thing broadcast; the rest is joined with the benchmark's seeds by hash.  The
 verification is per document and diagonal, so a passage that very many
 documents share stays spread over them.
 
-Result: one row per document and benchmark item with an overlap: the id,
-``item_id``, word positions ``doc_start`` and ``doc_end`` (exclusive),
+Result: one row per document and benchmark passage (an ``item_id`` with a text) with
+an overlap: the id, ``item_id``, word positions ``doc_start`` and ``doc_end`` (exclusive),
 ``n_words``, ``n_equal`` of the longest overlap (ties: the first).
 
 Defined cases: null texts are empty; items of fewer than ``SPAN`` words give no
 seed and mark nothing (too short to tell from chance); repeated documents give
-their rows each; repeated items with one id count once; an empty table on
-either side gives no rows; rows with null ids are kept with null.
+their rows each; equal passages of one id count once, different passages of one
+id are searched each and give a row each; an empty table on either side gives no
+rows; rows with null ids, of documents or items, are kept with null.
 """
 
 from __future__ import annotations
@@ -94,9 +95,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
              min_share: float = MIN_SHARE) -> DataFrame:
     """The overlaps, plus ``text_md5`` of the document's text (for joins that do not trust the id)."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")) \
-        .groupBy("item").agg(F.min("text").alias("text"))
-    items = materialize(items, "decontam-items")
+    other = F.coalesce(F.col(item_text_col), F.lit(""))
+    passages = benchmark.select(F.unhex(F.md5(other)).alias("item"), F.col(item_col).alias("name"), other.alias("text"))
+    names = materialize(passages.select("item", "name").distinct(), "decontam-names")
+    items = materialize(passages.select("item", "text").dropDuplicates(["item"]), "decontam-items")
     seeds = materialize(_bench_seeds(items, masks), "decontam-seeds")
     bits = spark.sparkContext.broadcast(_bit_table(seeds))
 
@@ -151,9 +153,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         return pa.array(out, pa.struct([(n, pa.int32()) for n in ("doc_start", "doc_end", "n_words", "n_equal")]))
 
     found = sides.withColumn("o", longest(F.lower("text"), F.lower("other"), F.col("shifts"))).where("o IS NOT NULL")
-    found = found.select("id", "md5", "item", "o.*")
+    found = found.select("id", "md5", "item", "o.*").join(names, "item")
     rows = base.select("id", "md5").alias("d").join(found.alias("f"), F.expr("d.md5 = f.md5 AND d.id <=> f.id"))
-    return rows.select(F.col("d.id").alias(id_col), F.col("f.item").alias(item_col), "doc_start", "doc_end", "n_words",
+    return rows.select(F.col("d.id").alias(id_col), F.col("f.name").alias(item_col), "doc_start", "doc_end", "n_words",
                        "n_equal", F.col("d.md5").alias("text_md5"))
 
 

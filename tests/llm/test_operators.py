@@ -111,6 +111,17 @@ def test_overlaps_tolerate_substitutions(sp):
     assert decontam.overlaps(docs.where("false"), bench).count() == 0
 
 
+def test_overlaps_of_repeated_and_null_item_ids(sp):
+    rng = random.Random(8)
+    passage = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(30))
+    first, second, nameless, free = (passage() for _ in range(4))
+    bench = sp.createDataFrame([(1, first), (1, second), (1, second), (2, second), (None, nameless), (None, None)], "item_id BIGINT, text STRING")
+    docs = frame(sp, [first, second, nameless, free, f"{first} {second}"])
+    got = sorted((r["doc_id"], r["item_id"] or 0, r["doc_start"]) for r in decontam.overlaps(docs, bench).collect())
+    assert got == [(0, 1, 0), (1, 1, 0), (1, 2, 0), (2, 0, 0), (4, 1, 0), (4, 1, 30), (4, 2, 30)]
+    assert [r["doc_id"] for r in decontam.drop_contaminated(docs, bench).collect()] == [3]
+
+
 def test_decontamination_query_finds_every_copied_passage(sp):
     words = lambda t: re.findall("[a-z0-9\u0080-\U0010ffff]+", t.lower())
     grams = set()
