@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Method.  A spaced seed is a fixed mask over ``SPAN`` consecutive words; the
+Method.  A spaced seed is a fixed mask over a few consecutive words; the
 words at its 0 positions are ignored, so a passage with substituted words still
 hits where the substitutions fall on ignored positions of some mask.  Seeds of
 benchmark and training texts are hashed and joined.  Around each hit the two
@@ -9,6 +9,11 @@ stretch grows in both directions while substitutions stay within a drop-off.
 A stretch of at least ``MIN_WORDS`` words (or the whole item, if the item is
 shorter), of which ``MIN_SHARE`` agree, is an overlap.
 
+The masks leave no gap: every overlap of ``MIN_WORDS`` to 24 words, wherever its
+substitutions fall, holds a hit of some mask (the tests go through all of them), as
+does an exact copy of a shorter item.  Items under ``MIN_WORDS`` words have masks over
+the whole item besides, for the accepted substitutions that no common mask hits.
+
 The training side is one pass over the texts.  Seeds that cannot be in the
 benchmark are left out there by a bit table of fixed size (``BITS``), the only
 thing broadcast; the rest is joined with the benchmark's seeds by hash.  The
@@ -19,8 +24,7 @@ Result: one row per document and benchmark passage (an ``item_id`` with a text)
 an overlap: the id, ``item_id``, word positions ``doc_start`` and ``doc_end`` (exclusive),
 ``n_words``, ``n_equal`` of the longest overlap (ties: the first).
 
-Defined cases: null texts are empty; items of fewer than ``SPAN`` words give no
-seed and mark nothing (too short to tell from chance); repeated documents give
+Defined cases: null texts are empty; items without a word mark nothing; repeated documents give
 their rows each; equal passages of one id count once, different passages of one
 id are searched each and give a row each; an empty table on either side gives no
 rows; rows with null ids, of documents or items, are kept with null.
@@ -28,6 +32,8 @@ rows; rows with null ids, of documents or items, are kept with null.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,8 +44,7 @@ from spindex.llm.words import mix, word_hashes
 from spindex.session import materialize
 
 # 1: the word counts; 0: any word.
-MASKS = ("11101100111", "11011011011", "10111010111")
-SPAN = 11
+MASKS = ("110111", "1101000011", "100001111", "11111")
 MIN_WORDS = 13
 MIN_SHARE = 0.75
 DROP = 4.0     # a stretch ends where its score falls this far below its best
@@ -61,22 +66,38 @@ def seed_hashes(words: np.ndarray, mask: str, nth: int) -> np.ndarray:
     return mix(h)
 
 
-def _bench_seeds(items: DataFrame, masks) -> DataFrame:
-    """``(seed, item, ipos)`` of every item and mask."""
+def _bench_seeds(items: DataFrame, masks, extra: dict[int, list[tuple[int, str]]]) -> DataFrame:
+    """``(seed, item, ipos, whole)`` of every item and mask; ``whole`` is the number of words of an item for
+    which ``extra`` has masks, if the seed is by one of them, else 0."""
 
-    @F.arrow_udf("array<struct<seed:bigint,ipos:int>>")
+    @F.arrow_udf("array<struct<seed:bigint,ipos:int,whole:int>>")
     def seeds(texts: pa.Array) -> pa.Array:
         buf, offsets = utf8(texts)
         words, at = word_hashes(buf, offsets)
         out = []
         for i in range(len(texts)):
             w = words[at[i]:at[i + 1]]
-            out.append([{"seed": int(h), "ipos": p} for k, m in enumerate(masks)
+            used = [(0, k, m) for k, m in enumerate(masks)] + [(len(w), k, m) for k, m in extra.get(len(w), [])]
+            out.append([{"seed": int(h), "ipos": p, "whole": whole} for whole, k, m in used
                         for p, h in enumerate(seed_hashes(w, m, k).view(np.int64))])
-        return pa.array(out, pa.list_(pa.struct([("seed", pa.int64()), ("ipos", pa.int32())])))
+        return pa.array(out, pa.list_(pa.struct([("seed", pa.int64()), ("ipos", pa.int32()), ("whole", pa.int32())])))
 
     rows = items.select("item", F.explode(seeds(F.lower("text"))).alias("s"))
-    return rows.select("s.seed", "item", "s.ipos")
+    return rows.select("s.seed", "item", "s.ipos", "s.whole")
+
+
+def missed(n: int, masks, min_words: int, min_share: float) -> list[str]:
+    """The accepted overlaps of ``n`` words, of an item of as many, that no mask hits: 1 an equal word, 0 another."""
+    out, item = [], np.arange(n, dtype=np.uint64)
+    for wrong in range(int(n * (1 - min_share)) + 1):
+        for at in combinations(range(1, n - 1), wrong):
+            equal = np.ones(n, bool)
+            equal[list(at)] = False
+            hit = any(all(equal[s + i] for i, c in enumerate(m) if c == "1") for m in masks for s in range(n - len(m) + 1))
+            best = None if hit else _best(np.where(equal, item, n), item, [0], min_words, min_share)
+            if best and best["n_words"] == n:
+                out.append("".join("01"[int(e)] for e in equal))
+    return out
 
 
 def _bit_table(seeds: DataFrame) -> np.ndarray:
@@ -99,7 +120,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     passages = benchmark.select(F.unhex(F.md5(other)).alias("item"), F.col(item_col).alias("name"), other.alias("text"))
     names = materialize(passages.select("item", "name").distinct(), "decontam-names")
     items = materialize(passages.select("item", "text").dropDuplicates(["item"]), "decontam-items")
-    seeds = materialize(_bench_seeds(items, masks), "decontam-seeds")
+    extra = {n: [(1000 * n + k, m) for k, m in enumerate(missed(n, masks, min_words, min_share))] for n in range(1, min_words)}
+    seeds = materialize(_bench_seeds(items, masks, extra), "decontam-seeds")
+    lengths = sorted(r["whole"] for r in seeds.where("whole > 0").select("whole").distinct().collect())  # all below min_words
+    numbered = [*enumerate(masks), *[x for n in lengths for x in extra[n]]]
     bits = spark.sparkContext.broadcast(_bit_table(seeds))
 
     @F.arrow_udf("array<struct<seed:bigint,pos:int>>")
@@ -110,14 +134,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         for a, b in cuts(offsets, BATCH_BYTES):
             words, at = word_hashes(buf[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
             found = []
-            for k, m in enumerate(masks):
+            for k, m in numbered:
                 h = seed_hashes(words, m, k)
                 p = np.flatnonzero(table[(h >> np.uint64(64 - BITS)).astype(np.int64)])
-                found.append((p, h[p]))
-            p, h = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-            row = np.searchsorted(at, p, "right") - 1
-            inside = p + SPAN <= at[row + 1]  # a seed lies in one text
-            p, h, row = p[inside], h[inside], row[inside]
+                row = np.searchsorted(at, p, "right") - 1
+                inside = p + len(m) <= at[row + 1]  # a seed lies in one text
+                found.append((p[inside], h[p[inside]], row[inside]))
+            p, h, row = (np.concatenate(x) for x in zip(*found))
             order = np.argsort(row, kind="stable")
             seed.append(h[order].view(np.int64))
             pos.append((p - at[row])[order].astype(np.int32))
@@ -130,7 +153,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.md5(text)).alias("md5"))
     hits = base.select("id", "md5", F.explode(candidates(F.lower("text"))).alias("c")) \
-        .select("id", "md5", "c.seed", "c.pos").join(seeds, "seed")
+        .select("id", "md5", "c.seed", "c.pos").join(seeds.drop("whole"), "seed")
     # of the hits of a document on one diagonal, where to begin comparing: the stretches are found from all of them
     lines = hits.select("id", "md5", "item", (F.col("pos") - F.col("ipos")).alias("shift")).distinct()
     lines = lines.groupBy("id", "md5", "item").agg(F.sort_array(F.collect_list("shift")).alias("shifts"))

@@ -1,6 +1,7 @@
 """The ten operators against brute-force versions, and their edge cases."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -122,6 +123,36 @@ def test_overlaps_of_repeated_and_null_item_ids(sp):
     assert [r["doc_id"] for r in decontam.drop_contaminated(docs, bench).collect()] == [3]
 
 
+def test_masks_hit_every_accepted_stretch():
+    for n in range(decontam.MIN_WORDS, 25):
+        for wrong in range(n // 4 + 1):
+            bits = np.array([sum(1 << i for i in c) for c in itertools.combinations(range(1, n - 1), wrong)], np.int64)
+            hit = np.zeros(len(bits), bool)
+            for m in decontam.MASKS:
+                mask = sum(1 << i for i, c in enumerate(m) if c == "1")
+                for s in range(n - len(m) + 1):
+                    hit |= bits & (mask << s) == 0
+            assert hit.all()
+    for n in range(1, decontam.MIN_WORDS):
+        more = decontam.missed(n, decontam.MASKS, decontam.MIN_WORDS, decontam.MIN_SHARE)
+        assert decontam.missed(n, [*decontam.MASKS, *more], decontam.MIN_WORDS, decontam.MIN_SHARE) == []
+        assert n >= 5 or more == ["1" * n]
+
+
+def test_overlaps_of_every_fifth_word_and_of_short_items(sp):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    item = [word() for _ in range(30)]
+    short = {n: [word() for _ in range(n)] for n in (1, 2, 4, 5, 10)}
+    noise = [word() for _ in range(50)]
+    bench = sp.createDataFrame([(100, " ".join(item)), *[(n, " ".join(w)) for n, w in short.items()]], "item_id BIGINT, text STRING")
+    bent = [word() if i == 2 else w for i, w in enumerate(short[5])]
+    texts = [" ".join(noise + [word() if i % 5 == 4 else w for i, w in enumerate(item)] + noise), " ".join(noise), " ".join(noise + short[10][:4]),
+             *[" ".join(noise + w + noise) for w in short.values()], " ".join(short[4][:2]), " ".join(short[4][2:]), " ".join(noise + bent)]
+    got = sorted((r["doc_id"], r["item_id"], r["doc_start"], r["n_words"]) for r in decontam.overlaps(frame(sp, texts), bench).collect())
+    assert got == [(0, 100, 50, 29)] + [(3 + k, n, 50, n) for k, n in enumerate(short)] + [(10, 5, 50, 5)]
+
+
 def test_decontamination_query_finds_every_copied_passage(sp):
     words = lambda t: re.findall("[a-z0-9\u0080-\U0010ffff]+", t.lower())
     grams = set()
