@@ -4,8 +4,11 @@ Method.  Letters hidden by look-alike characters (``1d10t``, ``st*pid``), by
 spacing (``i d i o t``) or by repetition (``stuuupid``) are restored by Viterbi
 decoding: each character of a suspicious stretch opens its possible letters (a
 lattice; fixed channel costs), and a character trigram model, counted over all
-documents, picks the likeliest reading.  Other text has one reading and passes
-unchanged.  The restored text is scored by logistic regression over those
+documents, picks the likeliest reading; a look-alike may also stand for itself
+and end a word there.  A stretch is a run of letters and look-alikes in any order
+with a letter in it, or three and more of them set apart, which are joined if the
+joined reading is likelier than single characters (four letters: always).  Other
+text has one reading and passes unchanged.  The restored text is scored by logistic regression over those
 hashed words and word beginnings whose log-odds differ clearly (``MIN_Z``)
 between the classes.
 
@@ -45,20 +48,27 @@ CACHE = 50_000      # restored stretches remembered per worker
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g",
               "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e", "*": "abcdefghijklmnopqrstuvwxyz"}
 _SWAP, _WILD, _DROP = 1.0, 2.5, 0.3   # channel costs: look-alike, wild card, dropped repetition
+# a sign that stands for itself (not one or two before a letter); a mark or three equal signs before or behind a word, or set apart
+_KEEP, _EDGE = 5.0, 0.3
 
 _SIGN = r"[0-9@$!|+(€*]"
 _LETTER = r"[^\W\d_]"
+_ITEM = r"(?:[^\W_]|[@$!|+(€*])"
+_SPACED = rf"(?:{_ITEM}[ ._*-]){{2,}}{_ITEM}"
 _SUSPECT = re.compile(
-    rf"(?<!\w)(?:{_LETTER}[ ._*-]){{3,}}{_LETTER}(?!\w)"                 # spaced letters
-    rf"|(?<![\w@$!|+(€*])(?:{_SIGN}{{1,2}}(?={_LETTER}))?(?:{_LETTER}+{_SIGN}{{1,2}}(?={_LETTER}))*{_LETTER}+(?!\w)")
-_HINT = re.compile(rf"{_SIGN}{_LETTER}|{_LETTER}[ ._*-]{_LETTER}[ ._*-]{_LETTER}[ ._*-]|({_LETTER})\1\1")
-_REPEATED = re.compile(rf"({_LETTER})\1\1")
+    rf"(?<!\w){_SPACED}(?!\w)"
+    rf"|(?<![\w@$!|+(€*])(?:{_LETTER}++{_SIGN}|{_SIGN}++{_LETTER})(?:{_LETTER}|{_SIGN})*+(?!\w)"
+    rf"|(?<![\w@$!|+(€*]){_LETTER}*?({_LETTER})\1\1{_LETTER}*+(?!\w)")
+_HINT = re.compile(rf"{_SIGN}{_LETTER}|{_LETTER}{_SIGN}|[ ._*-]{_ITEM}[ ._*-]|({_LETTER})\1\1")
+_EDGES = rf"(?:[!|+(*]|({_SIGN})\1\1+)+"
+_FRONT, _BACK = re.compile(_EDGES), re.compile(_EDGES + "$")
+_FORCED = re.compile(rf"(?<!{_SIGN}){_SIGN}{{1,2}}(?={_LETTER})")
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _N = 28  # 0: outside a word; 1..26: a..z; 27: any other letter
 
 
 def _code(c: str) -> int:
-    return _LETTERS.index(c) + 1 if c in _LETTERS else 27
+    return ord(c) - 96 if "a" <= c <= "z" else 27
 
 
 _BYTE = np.zeros(256, np.int64)
@@ -95,19 +105,26 @@ class CharModel:
         after = counts.sum(0)
         bigram = (after + 0.5) / (after.sum(1, keepdims=True) + 0.5 * _N)
         self.cost = -np.log((counts + 2.0 * bigram[None]) / (pairs + 2.0))
+        self.costs = self.cost.tolist()  # read one by one
         self.cache: dict[str, str] = {}
 
     def lattice(self, stretch: str) -> list[list[tuple[str, float]]]:
         """Per position the readings ``(letters, cost)``; a repeated letter is one position."""
         s = stretch.lower()
-        spaced = re.fullmatch(rf"(?:{_LETTER}[ ._*-])+{_LETTER}", s)
+        spaced = re.fullmatch(_SPACED, s)
         if spaced:
             s = s[::2]
+        first, last = (m.end() if (m := _FRONT.match(s)) else 0), (m.start() if (m := _BACK.search(s)) else len(s))
+        forced = {i for m in _FORCED.finditer(s) for i in range(*m.span())}
         out, i = [], 0
         while i < len(s):
             c, j = s[i], i + 1
             if c in LOOKALIKES:
                 out.append([(x, _WILD if c == "*" else _SWAP) for x in LOOKALIKES[c]])
+                if not spaced and not first <= i < last:
+                    out[-1].append((c, _EDGE))
+                elif not spaced and i not in forced:
+                    out[-1].append((c, _KEEP))
             else:
                 while j < len(s) and s[j] == c:
                     j += 1
@@ -122,31 +139,52 @@ class CharModel:
         if got is None:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
-            got = self._viterbi(self.lattice(stretch))
+            cost, got = self._viterbi(self.lattice(stretch))
+            if re.fullmatch(_SPACED, stretch):
+                items = stretch[::2].lower()
+                if not (len(items) > 3 and items.isalpha()) and cost >= self._alone(items):
+                    got = stretch
+            elif got == stretch.lower():
+                got = stretch
             if len(stretch) <= 64:
                 self.cache[stretch] = got
         return got
 
-    def _viterbi(self, lattice) -> str:
+    def _alone(self, items: str) -> float:
+        """Cost of characters set apart, each read as itself."""
+        return sum(_EDGE if c in LOOKALIKES else self.costs[0][0][_code(c)] + self.costs[0][_code(c)][0] for c in items)
+
+    def _viterbi(self, lattice) -> tuple[float, str]:
+        lattice = [[(x, c, None if x in LOOKALIKES else [_code(y) for y in x]) for x, c in readings] for readings in lattice]
+        # any one path bounds the cost: what lies above it is not followed
+        bound = self._paths([readings[-1:] for readings in lattice], float("inf"))[0]
+        cost, path = self._paths(lattice, bound)
+        parts = []
+        while path:
+            parts.append(path[0])
+            path = path[1]
+        return cost, "".join(reversed(parts))
+
+    def _paths(self, lattice, bound: float):
+        costs = self.costs
         best = {(0, 0): (0.0, None)}  # last two codes -> cost, linked reading
         for readings in lattice:
             nxt: dict = {}
             for (a, b), (cost, path) in best.items():
-                for letters, channel in readings:
+                for letters, channel, codes in readings:
                     p, q, total = a, b, cost + channel
-                    for x in letters:
-                        k = _code(x)
-                        total += self.cost[p, q, k]
-                        p, q = q, k
-                    if (p, q) not in nxt or total < nxt[p, q][0]:
+                    if codes is None:  # itself: no part of a word
+                        total += costs[a][b][0] if b else 0.0
+                        p = q = 0
+                    else:
+                        for k in codes:
+                            total += costs[p][q][k]
+                            p, q = q, k
+                    if total <= bound and ((p, q) not in nxt or total < nxt[p, q][0]):
                         nxt[p, q] = (total, (letters, path))
             best = nxt
-        ends = [(cost + self.cost[a, b, 0], path) for (a, b), (cost, path) in best.items()]
-        path, parts = min(ends, key=lambda e: e[0])[1], []
-        while path:
-            parts.append(path[0])
-            path = path[1]
-        return "".join(reversed(parts))
+        ends = [(cost + (costs[a][b][0] if b else 0.0), path) for (a, b), (cost, path) in best.items()]
+        return min(ends, key=lambda e: e[0])
 
     def restore(self, text: str) -> str:
         """The text with its suspicious stretches restored (lower case there), all else as it was."""
@@ -155,8 +193,7 @@ class CharModel:
 
         def read(m: re.Match) -> str:
             s = m.group()
-            plain = s.isalpha() and not _REPEATED.search(s)
-            return s if plain else self.decode(s)
+            return self.decode(s) if any(map(str.isalpha, s)) else s
 
         return _SUSPECT.sub(read, text)
 

@@ -398,6 +398,15 @@ def test_restoration(sp):
         assert model.restore(hidden) == plain
 
 
+def test_restoration_of_final_consecutive_and_spaced_lookalikes(sp):
+    words = ["you idiot", "such idiots hate morons", "what a worthless loser", "they die like an ass", "it said 10 of 20 so we may go"] * 40
+    model = toxicity.CharModel(toxicity.trigram_counts(frame(sp, words)))
+    for hidden, plain in [("h4t3", "hate"), ("wor7hl355", "worthless"), ("1diot5", "idiots"), ("m0r0n5", "morons"), ("l053r", "loser"),
+                          ("w0rthl3$$", "worthless"), ("idi07", "idiot"), ("an a$$", "an ass"), ("1 d 1 0 t", "idiot"), ("d i e", "die"),
+                          ("Hello! (you) may go!!!", "Hello! (you) may go!!!"), ("10 of 20", "10 of 20"), ("1 2 3", "1 2 3"), ("***", "***")]:
+        assert model.restore(hidden) == plain
+
+
 def test_toxicity_query_and_edge_cases(sp):
     sf = "/root/testdata/sf0.01"
     rows = queries.registry()["op7_toxicity"](sp, sf).collect()
