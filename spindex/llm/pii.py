@@ -7,11 +7,13 @@ identifier-like strings (with ``MIN_DIGITS`` digits at least) are open
 instances.  Over the graph of patterns and instances, gathered from all texts,
 Spark scores in ``ROUNDS`` rounds
 
-    pattern, kind:   sum of the kind's instance scores / (distinct instances + 1)
-    open instance:   1 - product over its accepted patterns of (1 - pattern score)
+    pattern, kind:         sum of the kind's instance scores / (distinct instances + 1)
+    open instance, kind:   the best score of its patterns in the round before
 
-where seeds keep score 1.  A pattern is accepted with a score of ``MIN_SCORE``
-and ``MIN_SUPPORT`` instances' worth of evidence.  Open instances behind an
+where seeds keep score 1, and an open instance starts with ``PRIOR`` for each kind
+whose shape it has (``SHAPES``) and keeps 0 for the others.  So what looks like the
+kind is no evidence against a pattern, unless seeds are few beside it.  A pattern is
+accepted with a score of ``MIN_SCORE`` and ``MIN_SUPPORT`` seeds.  Open instances behind an
 accepted pattern become entities of its kind, beside the base ones.
 
 Texts are read once; what leaves that pass is a few identifiers per text, and
@@ -39,6 +41,9 @@ MAX_LENGTH = 64
 ROUNDS = 3
 MIN_SCORE = 0.8
 MIN_SUPPORT = 5.0
+PRIOR = 0.5
+# What an open instance must look like to be of a kind: an expression, and the numbers of digits.
+SHAPES = ((r"^[^@]+@[^@]+$", 0, 64), (r"^[0-9]+([.][0-9]+){3}$", 4, 16), (r"^[0-9-]+$", 12, 19), (r"^[0-9+./-]+$", 6, 15))
 REACH = 48  # characters in front of an entity that a pattern is read from
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -153,19 +158,28 @@ def accepted_patterns(seen: DataFrame, rounds: int = ROUNDS, min_score: float =
     seeds = edges.where("kind IS NOT NULL").groupBy("instance").agg(F.max("kind").alias("kind")) \
         .withColumn("score", F.lit(1.0))
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-    known, best = seeds, None
-    for r in range(rounds):
-        evidence = edges.select("pattern", "instance").join(known, "instance") \
-            .groupBy("pattern", "kind").agg(F.sum("score").alias("support"))
-        scored = evidence.join(sizes, "pattern").withColumn("score", F.col("support") / (F.col("n") + 1)) \
-            .where((F.col("score") >= min_score) & (F.col("support") >= min_support))
-        best = scored.groupBy("pattern").agg(F.expr("max(struct(score, -kind)) AS top")) \
-            .select("pattern", (-F.col("top.col2")).cast("int").alias("kind"), "top.score")
-        best = materialize(best, "pii-patterns")
-        if r + 1 < rounds:
-            found = edges.select("pattern", "instance").join(best, "pattern").join(seeds.select("instance"), "instance", "left_anti")
-            found = found.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("score"))
-            known = seeds.union(found.select("instance", "kind", "score"))
+    support = edges.select("pattern", "instance").join(seeds, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("support"))
+    support = materialize(support.join(sizes, "pattern"), "pii-support")
+    digits = F.length(F.regexp_replace("instance", "[^0-9]", ""))
+    kinds = F.array(*[F.when(F.col("instance").rlike(e) & digits.between(low, high), F.lit(k)) for k, (e, low, high) in enumerate(SHAPES)])
+    # only patterns with seeds of a kind can be scored for it
+    shaped = edges.join(seeds.select("instance"), "instance", "left_anti").select("pattern", "instance", F.explode(kinds).alias("kind"))
+    shaped = materialize(shaped.join(support.select("pattern", "kind"), ["pattern", "kind"]), "pii-open")
+    scored = None
+    for _ in range(rounds):
+        if scored is None:
+            likely = shaped.withColumn("score", F.lit(PRIOR))
+        else:
+            found = shaped.join(scored.select("pattern", "kind", "score"), ["pattern", "kind"]).groupBy("instance", "kind").agg(F.max("score").alias("score"))
+            likely = shaped.join(found, ["instance", "kind"])
+        likely = likely.groupBy("pattern", "kind").agg(F.sum("score").alias("more"))
+        scored = support.join(likely, ["pattern", "kind"], "left") \
+            .withColumn("score", (F.col("support") + F.coalesce("more", F.lit(0.0))) / (F.col("n") + 1)).drop("more")
+        scored = materialize(scored, "pii-patterns")
+    best = scored.where((F.col("score") >= min_score) & (F.col("support") >= min_support)) \
+        .groupBy("pattern").agg(F.expr("max(struct(score, -kind)) AS top")) \
+        .select("pattern", (-F.col("top.col2")).cast("int").alias("kind"), "top.score")
+    best = materialize(best, "pii-patterns")
     return best
 
 

@@ -216,6 +216,18 @@ def test_bootstrapping_finds_unseen_identifiers(sp):
     assert pii.redact(docs.where("false")).count() == 0
 
 
+def test_bootstrapping_with_many_unseen_identifiers(sp):
+    known = [f"please call phone: +1 (555) 555-01{i:02d} today" for i in range(12)]
+    unseen = [f"please call phone: 0171/55512{i:02d} now" for i in range(8)]
+    rare = [f"with code: +1 (555) 555-02{i:02d} today" for i in range(6)]
+    other = [f"with code: 998877{i:02d} now" for i in range(60)]
+    mixed = [f"from field: +1 (555) 555-03{i:02d} today" for i in range(6)] + [f"from field: ab-12{i:02d}x now" for i in range(6)]
+    texts = [*known, *unseen, *rare, *other, *mixed]
+    rows = pii.find(frame(sp, texts), base_out="b", spans_out="spans").collect()
+    new = {r["doc_id"]: [tuple(s) for s in r["spans"]][0] for r in rows if len(r["spans"]) > len(r["b"])}
+    assert new == {12 + i: (t.index("0171"), 3, t.index(" now")) for i, t in enumerate(unseen)}
+
+
 # --- 4 nearest neighbours ---------------------------------------------------------
 
 def test_nearest_query_has_recall(sp):
