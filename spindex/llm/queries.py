@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindex.llm import ann, bpe, credentials, decontam, langid, lshforest, pii, tokencount, toxicity, urlfilter
+from spindex.llm import (anchors, ann, bpe, credentials, decontam, divergence, langid, lshforest, pii, sharding, tokencount,
+                         toxicity, urlfilter)
 from spindex.llm.common import prepare, table
+from spindex.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -119,3 +121,29 @@ def op9_token_counts(spark, sf_dir):
 def op10_url_filter(spark, sf_dir):
     """Verdict on the URL of every page."""
     return urlfilter.judge(table(spark, sf_dir, "pages"), keep=["page_id"])
+
+
+@register
+def op11_vector_codes(spark, sf_dir):
+    """Codes, errors and codebooks of all usable embeddings."""
+    rows = table(spark, sf_dir, "embeddings")
+    done = anchors.compress(rows, keep=["vec_id", "label"])
+    coded = materialize(done.rows, "vector-codes")
+    sums = coded.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
+    books = F.sha2(F.lit(anchors.codebook_text(done.codebooks)).cast("binary"), 256)
+    return coded.join(sums, F.col("label").eqNullSafe(F.col("of")), "left") \
+        .select("vec_id", "code", "error", "label_error", books.alias("codebooks_sha256"))
+
+
+@register
+def op12_source_divergence(spark, sf_dir):
+    """Divergence of all pairs of sources of each language, and the terms that set a source apart."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@register
+def op13_sharding(spark, sf_dir):
+    """All documents in eight shards, each with the mixture of sources of the whole."""
+    dealt = sharding.interleave(table(spark, sf_dir, "documents"))
+    return dealt.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"))
