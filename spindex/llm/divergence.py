@@ -20,8 +20,8 @@ is one value p0 per group.  With s, t the sets of terms present in two sources
 so the second and third sums come from a histogram of a source's shares, and only
 terms that two sources share are paired (added up in the task that pairs them).
 
-Texts are shuffled once (equal ones collapse before); the copies of a text that
-is a third of all rows are counts by then.  A (lang, term) has as many rows as it
+Texts are shuffled once, by their digest (equal ones collapse before); the copies
+of a text that is a third of all rows are counts by then.  A (lang, term) has as many rows as it
 has sources, never as many as its documents.
 
 Result of ``audit``: ``lang, source, part, item, value, rank``.
@@ -35,31 +35,60 @@ other columns take no part.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindex.llm.common import utf8
 from spindex.session import materialize
 
 MIN_DOCS = 10
 TOP_TERMS = 10
 SCALE = 1_000_000_000
-TERM = re.compile("[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-
-
-def terms_of(text: str) -> list[str]:
-    """The terms of a text; only A-Z are lower-cased (other letters have several bytes, none of them in A-Z)."""
-    return TERM.findall(text.encode().lower().decode())
 
 
-def term_counts(text: Column) -> Column:
-    """The distinct terms of a text with their numbers of occurrences."""
-    def count(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: list(Counter(terms_of(t)).items()))
-    return F.pandas_udf(count, "array<struct<term: string, times: bigint>>")(text)
+def split_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Terms of UTF-8 texts laid end to end, and the number of the text that each is from.
+
+    A term is a run of letters and of bytes above 127 (a code point above 127 has no other bytes), so
+    what is left of the bytes without the rest is all terms side by side.
+    """
+    small = data | 0x20
+    inside = (data >= 0x80) | ((small >= ord("a")) & (small <= ord("z")))
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    begins = offsets[:-1][offsets[:-1] < len(data)]
+    first[begins] = inside[begins]  # a term ends with its text
+    kept = np.where(data < 0x80, small, data)[inside]
+    at = np.flatnonzero(first)
+    starts = np.append(np.cumsum(inside)[at] - 1, len(kept)).astype(np.int64)
+    terms = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(starts), pa.py_buffer(kept)])
+    return terms, np.searchsorted(offsets, at, "right") - 1
+
+
+def count_terms(texts: pa.Array) -> pa.Array:
+    """The distinct terms of each text with their numbers of occurrences."""
+    data, offsets = utf8(texts)
+    terms, of = split_terms(data, offsets)
+    coded = terms.dictionary_encode()
+    width = max(1, len(coded.dictionary))
+    found, times = np.unique(of * width + coded.indices.to_numpy(), return_counts=True)
+    of, code = np.divmod(found, width)
+    pairs = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(code)).cast(pa.string()), pa.array(times, pa.int64())], ["term", "times"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(texts) + 1)), pa.int32()), pairs)
+
+
+def term_counts(digest: Column, text: Column) -> Column:
+    """``count_terms`` as a column; rows of one digest side by side share one count."""
+    def count(digests: pa.Array, texts: pa.Array) -> pa.Array:
+        first = pc.invert(pc.equal(digests[1:], digests[:-1])) if len(digests) > 1 else pa.array([], pa.bool_())
+        first = pa.concat_arrays([pa.array([True]), first.cast(pa.bool_())])
+        of = np.cumsum(first.to_numpy(zero_copy_only=False)) - 1
+        return count_terms(texts.filter(first)).take(pa.array(of))
+
+    return F.arrow_udf(count, "array<struct<term: string, times: bigint>>")(digest, text)
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -78,9 +107,11 @@ def collapsed_counts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``(lang, source, term, docs, times)``, the texts of a language tokenized once each."""
     digest = F.unhex(F.sha2("text", 256)).alias("digest")
     copies = materialize(texts.groupBy("lang", digest, "source").agg(F.count("*").alias("n")), "copies")
-    once = texts.select("lang", "text").distinct().select("lang", digest, term_counts(F.col("text")).alias("terms"))
-    weighted = once.where(F.size("terms") > 0).join(copies, ["lang", "digest"]) \
-        .select("lang", "source", "n", F.explode("terms").alias("t"))
+    # equal texts collapse in the reading task, then by the key that the join needs too: texts move once, terms not at
+    # all; the join leaves the sources of a text side by side, so it is tokenized once (again where a batch ends)
+    once = texts.select("lang", digest, "text").dropDuplicates(["lang", "digest"])
+    weighted = once.join(copies, ["lang", "digest"]) \
+        .select("lang", "source", "n", F.explode(term_counts(F.col("digest"), F.col("text"))).alias("t"))
     counts = weighted.groupBy("lang", "source", F.col("t.term").alias("term")) \
         .agg(F.sum("n").alias("docs"), F.sum(F.col("n") * F.col("t.times")).alias("times"))
     return copies, materialize(counts, "term-counts")
