@@ -36,3 +36,30 @@ def test_udf_matches_helper(spark):
 
 def test_an_unknown_marked_section_is_skipped():
     assert read_html("<p>a</p><![foo bar]><p>d</p><a href=/x>") == ("a d", ["/x"])
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+    for piece in ("<a ", '<a x="', "</a ", "<!--", "<a b='", "<title>", "<", "<a  ", "<div document>", "</div>", "<script", "<p><head>", "&amp"):
+        page = piece * (3 * 1024 * 1024 // len(piece))  # as large as a response may be
+        start = time.process_time()
+        read_html(page)
+        assert time.process_time() - start < 30, piece
+
+
+def test_what_is_never_closed_ends_the_markup():
+    assert read_html('<p>a</p><a href="/x') == ("a", [])
+    assert read_html("<p>a</p><!-- b <p>c") == ("a", [])
+    assert read_html("<p>a</p><script>b</scrip") == ("a", [])
+    assert read_html("1 < 2 <b>and 3<4</b> </ p> </") == ("1 < 2 and 3<4 </", [])
+    assert read_html("<a =x href = '/q?a=1&amp;b' HREF=/no>t</a >") == ("t", ["/q?a=1&b"])
+    assert read_html("<title>a &lt; <b></title>x<textarea>&amp;<i></TEXTAREA>y") == ("x &<i> y", [])
+
+
+def test_random_markup_raises_nothing():
+    import random
+    rng = random.Random(1)
+    parts = ["<", ">", "/", "a", "=", '"', "'", " ", "!--", "-->", "script", "&amp;", "</", "title", "\x00", "?", "é", "href", "![CDATA["]
+    for _ in range(20_000):
+        text, hrefs = read_html("".join(rng.choices(parts, k=rng.randrange(30))))
+        assert "\x00" not in text and isinstance(hrefs, list)
