@@ -35,6 +35,8 @@ other columns take no part.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -47,6 +49,7 @@ from spindex.session import materialize
 MIN_DOCS = 10
 TOP_TERMS = 10
 SCALE = 1_000_000_000
+HELD = 1_000_000  # (group, term) sums in a task's memory
 
 
 def split_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -80,15 +83,44 @@ def count_terms(texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(texts) + 1)), pa.int32()), pairs)
 
 
-def term_counts(digest: Column, text: Column) -> Column:
-    """``count_terms`` as a column; rows of one digest side by side share one count."""
-    def count(digests: pa.Array, texts: pa.Array) -> pa.Array:
-        first = pc.invert(pc.equal(digests[1:], digests[:-1])) if len(digests) > 1 else pa.array([], pa.bool_())
-        first = pa.concat_arrays([pa.array([True]), first.cast(pa.bool_())])
-        of = np.cumsum(first.to_numpy(zero_copy_only=False)) - 1
-        return count_terms(texts.filter(first)).take(pa.array(of))
+def weighted_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(lang, source, n, digest, text)`` -> partial ``(lang, source, term, docs, times)`` of a task.
 
-    return F.arrow_udf(count, "array<struct<term: string, times: bigint>>")(digest, text)
+    Rows of one text stand side by side, so it is tokenized once (again where a batch ends).  Sums are
+    kept for up to ``HELD`` (group, term) pairs and then given out.
+    """
+    ids: dict[tuple[str, str], int] = {}
+    held: list[pa.Table] = []
+
+    def summed(tables: list[pa.Table]) -> pa.Table:
+        out = pa.concat_tables(tables).group_by(["group", "term"], use_threads=False).aggregate([("docs", "sum"), ("times", "sum")])
+        return out.rename_columns(["group", "term", "docs", "times"])
+
+    def given(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        langs, sources = (pa.array([key[i] for key in ids], pa.string()) for i in (0, 1))
+        named = pa.table({"lang": pc.take(langs, table["group"]), "source": pc.take(sources, table["group"]),
+                          "term": table["term"], "docs": table["docs"], "times": table["times"]})
+        yield from named.combine_chunks().to_batches(max_chunksize=65_536)
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = zip(batch["lang"].to_pylist(), batch["source"].to_pylist())
+        group = np.array([ids.setdefault(k, len(ids)) for k in keys], np.int32)
+        digests = batch["digest"].to_pylist()
+        new = np.array([i == 0 or digests[i] != digests[i - 1] for i in range(len(digests))])
+        lists = count_terms(batch["text"].filter(pa.array(new))).take(pa.array(np.cumsum(new) - 1))
+        row = np.repeat(np.arange(len(batch)), pc.list_value_length(lists).to_numpy())
+        n = batch["n"].to_numpy()[row]
+        flat = lists.flatten()
+        held.append(summed([pa.table({"group": group[row], "term": flat.field("term"), "docs": n,
+                                      "times": n * flat.field("times").to_numpy()})]))
+        if sum(map(len, held)) > 2 * HELD:
+            held = [summed(held)]
+            if len(held[0]) > HELD:
+                yield from given(held.pop())
+    if held:
+        yield from given(summed(held))
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -102,29 +134,35 @@ def gap(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
+COUNTS = "lang STRING, source STRING, term STRING, docs BIGINT, times BIGINT"
+
+
 def collapsed_counts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``texts (lang, source, text)`` -> the multiplicities ``(lang, digest, source, n)`` and
     ``(lang, source, term, docs, times)``, the texts of a language tokenized once each."""
     digest = F.unhex(F.sha2("text", 256)).alias("digest")
     copies = materialize(texts.groupBy("lang", digest, "source").agg(F.count("*").alias("n")), "copies")
-    # equal texts collapse in the reading task, then by the key that the join needs too: texts move once, terms not at
-    # all; the join leaves the sources of a text side by side, so it is tokenized once (again where a batch ends)
+    # equal texts collapse in the reading task, then by the key that the join needs too: texts move once, and the
+    # join leaves the sources of a text side by side
     once = texts.select("lang", digest, "text").dropDuplicates(["lang", "digest"])
-    weighted = once.join(copies, ["lang", "digest"]) \
-        .select("lang", "source", "n", F.explode(term_counts(F.col("digest"), F.col("text"))).alias("t"))
-    counts = weighted.groupBy("lang", "source", F.col("t.term").alias("term")) \
-        .agg(F.sum("n").alias("docs"), F.sum(F.col("n") * F.col("t.times")).alias("times"))
-    return copies, materialize(counts, "term-counts")
+    joined = once.join(copies, ["lang", "digest"]).select("lang", "source", "n", "digest", "text")
+    partial = joined.mapInArrow(weighted_counts, COUNTS)
+    # summed per task before; dealt by (lang, term), which the sums per source and those per language both can use
+    counts = partial.repartition("lang", "term").groupBy("lang", "source", "term") \
+        .agg(F.sum("docs").alias("docs"), F.sum("times").alias("times"))
+    return copies, counts
 
 
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS) -> DataFrame:
     """Divergence of all pairs of sources of a language, and each source's most over-used terms."""
     texts = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     copies, counts = collapsed_counts(texts)
-    of_lang = materialize(counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("times").alias("lang_times"))
-                          .where(F.col("docs") >= min_docs).drop("docs"), "kept-terms")
-    kept = counts.drop("docs").join(of_lang, ["lang", "term"])
-    langs = of_lang.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_times").alias("lang_total"))
+    of_term = Window.partitionBy("lang", "term")  # as many rows as the term has sources
+    kept = counts.withColumns({"lang_docs": F.sum("docs").over(of_term), "lang_times": F.sum("times").over(of_term),
+                               "one": (F.row_number().over(of_term.orderBy("source")) == 1).cast("int")}) \
+        .where(F.col("lang_docs") >= min_docs).drop("docs", "lang_docs")
+    kept = materialize(kept, "kept-terms")
+    langs = kept.groupBy("lang").agg(F.sum("one").alias("v"), F.sum("times").alias("lang_total"))
     totals = kept.groupBy("lang", "source").agg(F.sum("times").alias("total"))
     groups = copies.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
     groups = groups.na.fill(0, ["total", "v", "lang_total"])
