@@ -343,16 +343,13 @@ def outlinks_resolved(spark, sf_dir):
 
 def ingested(spark, sf_dir):
     """Two ingest batches: every page, then re-crawls (with a stale duplicate
-    in the same batch).  Each batch's state is checkpointed."""
-    from spindex.plans.ingest import empty_graph, ingest, materialize
+    in the same batch).  Each batch is appended to the graph's tables."""
+    from spindex.plans.ingest import empty_graph, ingest
     from spindex.sources.responses import captured_responses, recrawl_responses
     pages = tb.read_pages(spark, sf_dir)
     g1, c1 = ingest(empty_graph(spark), captured_responses(pages))
-    g1 = materialize(g1)
-    c1 = c1.withColumn("batch", F.lit(1))
     g2, c2 = ingest(g1, recrawl_responses(pages))
-    g2 = materialize(g2)
-    return g2, c1.unionByName(c2.withColumn("batch", F.lit(2)))
+    return g2, c1.withColumn("batch", F.lit(1)).unionByName(c2.withColumn("batch", F.lit(2)))
 
 
 @register("pages_upserted")
@@ -399,6 +396,33 @@ def ingest_counts(spark, sf_dir):
                          "stubs_added", "edges_added")
 
 
+@register("links_replaced")
+def links_replaced(spark, sf_dir):
+    """As ``link_edges``, but the re-crawled pages' links take the place of their earlier ones."""
+    from spindex.plans.ingest import empty_graph, ingest
+    from spindex.sources.responses import captured_responses, recrawl_responses
+    pages = tb.read_pages(spark, sf_dir)
+    g, _ = ingest(empty_graph(spark), captured_responses(pages))
+    g, _ = ingest(g, recrawl_responses(pages), replace_links=True)
+    n = lk.neighbours_out(g.edges, g.pages)
+    return n.select(F.col("page_url").alias("source_url"), F.col("neighbour_url").alias("target_url"))
+
+
+@register("budget_rounds")
+def budget_rounds(spark, sf_dir):
+    """A crawl of two rounds whose budget (three tenths of all pages) runs out in the second one;
+    the links that were followed."""
+    from spindex.plans.ingest import empty_graph, ingest
+    from spindex.sources.responses import captured_responses
+    pages = tb.read_pages(spark, sf_dir)
+    budget = 3 * pages.count() // 10
+    first = F.col("page_id") % 2 == 0
+    g, _ = ingest(empty_graph(spark), captured_responses(pages.where(first)), budget=budget)
+    g, _ = ingest(g, captured_responses(pages.where(~first)), budget=budget)
+    n = lk.neighbours_out(g.edges, g.pages)
+    return n.select(F.col("page_url").alias("source_url"), F.col("neighbour_url").alias("target_url"))
+
+
 # --- URLs and domains ---------------------------------------------------------------
 
 @register("canonical_urls")
@@ -683,40 +707,38 @@ def integrity_report(spark, sf_dir):
 INDEX_CHUNK = 750  # pages per indexing chunk
 
 
-def _response_stream_source(spark, sf_dir):
-    """Responses written as stream input: every page in four files, then the
-    re-crawls (later files; the file source orders by modification time)."""
-    import time
+def _in_two_rounds(spark, sf_dir, drain):
+    """Responses written as stream input, four files a round: every page, then the re-crawls.  Each
+    round is drained before the next one is written."""
     from spindex.sources.responses import captured_responses, recrawl_responses
     from spindex.streaming.state import scratch_dir
     pages = tb.read_pages(spark, sf_dir)
-    src = scratch_dir(spark, "responses")
-    captured_responses(pages).repartitionByRange(4, "seq").write.parquet(f"{src}/a")
-    time.sleep(1.1)
-    recrawl_responses(pages).repartitionByRange(4, "seq").write.parquet(f"{src}/b")
-    return f"{src}/*/*.parquet"
+    src, state = scratch_dir(spark, "responses"), scratch_dir(spark, "stream-state")
+    for name, rows in (("a", captured_responses(pages)), ("b", recrawl_responses(pages))):
+        rows.repartitionByRange(4, "seq").write.parquet(f"{src}/{name}")
+        drain(f"{src}/*/*.parquet", state)
+    return state
 
 
 @register("ingest_batches")
 def ingest_batches(spark, sf_dir):
     """Responses streamed in micro-batches (four files each, re-crawls
-    last) and merged with foreachBatch; final pages equal the batch run."""
+    last) and appended with foreachBatch; final pages equal the batch run."""
     from spindex.streaming.ingest_stream import load_graph, run_ingest_stream
-    state, _ = run_ingest_stream(spark, _response_stream_source(spark, sf_dir), files_per_trigger=4)
+    state = _in_two_rounds(spark, sf_dir, lambda src, state: run_ingest_stream(spark, src, state, files_per_trigger=4))
     g = load_graph(spark, state)
     return g.pages.select("page_url", F.col("page_content").isNotNull().alias("has_content"))
 
 
 @register("stream_waits")
 def stream_waits(spark, sf_dir):
-    """Per-host wait state merged micro-batch by micro-batch (last write
-    wins) equals the wait table of all responses at once."""
+    """Per-host waits kept as keyed state of a stateful operator (last write
+    wins) equal the wait table of all responses at once."""
     from spindex.functions.timeutil import utc_wall_clock
-    from spindex.streaming.ingest_stream import load_waits, run_ingest_stream
+    from spindex.streaming.wait_stream import load_waits, run_wait_stream
     rules = write_once(robots_table(spark, sf_dir), "robots-rules")  # read by every micro-batch
-    state, _ = run_ingest_stream(spark, _response_stream_source(spark, sf_dir), files_per_trigger=4, rules=rules)
-    w = load_waits(spark, state)
-    return w.select("host_key", utc_wall_clock("next_allowed_at", spark).alias("next_allowed_at"))
+    state = _in_two_rounds(spark, sf_dir, lambda src, state: run_wait_stream(spark, src, rules, state, files_per_trigger=4))
+    return load_waits(spark, state).select("host_key", utc_wall_clock("next_allowed_at", spark).alias("next_allowed_at"))
 
 
 @register("seen_stream")
@@ -747,3 +769,38 @@ def incremental_index(spark, sf_dir):
     docs.repartition("chunk").write.partitionBy("chunk").parquet(src)
     terms, _ = run_index_stream(spark, src)
     return terms.select("term", "total_pages")
+
+
+@register("search_streamed")
+def search_streamed(spark, sf_dir):
+    """Documents streamed into segments, long ones crawled again (their second half left), and the
+    benchmark passages searched over the merged segments."""
+    from spindex.streaming.index_stream import StreamedIndex, run_index_stream, search_stream_index
+    from spindex.streaming.state import scratch_dir
+    docs = documents_corpus(spark, sf_dir).withColumn(
+        "chunk", F.floor(F.col("page_id") / F.lit(INDEX_CHUNK)).cast("bigint"))
+    n = F.length("page_content")
+    again = docs.where(n > 500).withColumn("page_content", F.substr("page_content", F.expr("length(page_content) DIV 2 + 1")))
+    src, state = scratch_dir(spark, "documents"), scratch_dir(spark, "segments")
+    for name, rows in (("a", docs), ("b", again)):
+        rows.repartition(4, "chunk").write.parquet(f"{src}/{name}")
+        run_index_stream(spark, f"{src}/*/*.parquet", state, files_per_trigger=4)
+    return search_stream_index(benchmark_queries(spark, sf_dir), StreamedIndex(spark, state), k=20)
+
+
+@register("seen_generations")
+def seen_generations(spark, sf_dir):
+    """Discovered URLs through a seen set bounded by count: generations of a tenth of the URLs, the
+    three youngest kept; how often each URL was given out."""
+    from spindex.streaming.seen_stream import run_seen_generations
+    from spindex.streaming.state import scratch_dir
+    links = lk.resolved_outlinks(pages_parsed(spark, sf_dir))
+    found = write_once(links.select(F.col("outlink").alias("url"), "page_id"), "discovered-urls")
+    capacity = max(1, found.select("url").distinct().count() // 10)
+    rounds = [found.where(F.pmod(F.xxhash64("page_id"), F.lit(8)) == k).select("url") for k in range(8)]
+    src, out = scratch_dir(spark, "discovered"), scratch_dir(spark, "generations")
+    for k, rows in enumerate(rounds):
+        rows.write.parquet(f"{src}/{k}")
+        run_seen_generations(spark, f"{src}/*/*.parquet", out, capacity, keep=3)
+    from spindex.streaming.seen_stream import emitted_urls
+    return emitted_urls(spark, out).groupBy("url").agg(F.count(F.lit(1)).alias("times"))

@@ -643,6 +643,29 @@ kept AS (SELECT chunk, term FROM st WHERE (length(term) > 3 AND length(term) < 1
 post AS (SELECT DISTINCT pt.term, pt.page_id FROM pt JOIN kept USING (chunk, term))
 SELECT term, count(*) AS total_pages FROM post GROUP BY term"""
 
+SQL["links_replaced"] = f"""WITH {INGEST}
+SELECT url AS source_url, outlink AS target_url FROM l1 WHERE url NOT IN (SELECT url FROM r2)
+UNION SELECT url, outlink FROM l2"""
+
+SQL["budget_rounds"] = f"""WITH b AS (SELECT page_id, url, html, page_id AS seq FROM pages),
+f AS ({fixture('b')}),
+r AS (SELECT * FROM (SELECT page_id, url, seq, html, {text_twin('html')} AS text FROM f WHERE {GOOD}) WHERE length(text) > 0),
+ranked AS (SELECT *, row_number() OVER (ORDER BY page_id % 2, seq, url) AS fetch_rank FROM r),
+em AS (SELECT seq, url, html FROM ranked WHERE fetch_rank <= (SELECT 3 * count(*) // 10 FROM pages))
+SELECT DISTINCT url AS source_url, outlink AS target_url FROM ({outlinks('em', 'seq')})"""
+
+# the last version of each document; the rare-term rule inside each chunk
+SQL["search_streamed"] = f"""WITH docs AS (SELECT doc_id AS page_id, 'doc/' || CAST(doc_id AS VARCHAR) AS page_url,
+  CASE WHEN length(text) > 500 THEN substr(text, length(text) // 2 + 1) ELSE text END AS page_content FROM documents),
+occ AS (SELECT *, page_id // 750 AS chunk FROM ({idx_tokens('docs')}) WHERE {KEEP_OCC}),
+pt AS (SELECT chunk, term, page_id, count(*) AS occurrences FROM occ GROUP BY ALL),
+kept AS (SELECT chunk, term FROM pt GROUP BY ALL HAVING (length(term) > 3 AND length(term) < 15) OR sum(occurrences) > 20),
+postings AS (SELECT term, page_id FROM pt SEMI JOIN kept USING (chunk, term)),
+terms AS (SELECT term, count(*) AS total_pages FROM postings GROUP BY term), {BENCH_Q},
+{weight_ctes('bench_q', 'docs', 'terms')},
+{score_ctes('docs', 'postings')}
+{_top_k(20)}"""
+
 SQL["search_indexed"] = SQL["search_documents"]
 
 

@@ -1,12 +1,24 @@
 """Ingest of captured responses into the pages table and the link graph.
 
 responses -> received -> header rules -> parse (text, hrefs) -> non-empty
-text -> last record per URL -> upsert pages -> outlinks (filter, resolve)
--> stub pages for new targets -> edges (add-only).
-
-State is a pair of DataFrames ``(pages, edges)``; a run returns the next
-state plus per-batch counters.  Writing the state (Parquet snapshot per
-batch) is the caller's or the streaming driver's job.
+text -> last record per URL -> outlinks (filter, resolve; none once the crawl
+budget is spent) -> ids of all URLs -> contents and edges appended.
+
+The graph is four append-only tables (``sources.log_table``), so a batch writes
+what it brings:
+
+``urls``      ``page_id, page_url``: the dictionary.  New URLs get the next dense
+              ids in URL order, after those of all batches before; no two URLs
+              can meet in an id.
+``contents``  ``page_id, page_content, batch``: of a page the newest counts.  A
+              URL without content is a stub (a link target never fetched).
+``edges``     ``source_page_id, outgoing_page_id, batch``: added once, never
+              removed, unless a batch is told to ``replace_links``: a row without
+              a target then ends the links that a re-crawled page had before.
+``batches``   what each batch brought, and the positions to carry on from.
+
+Stored tables are scanned and probed by the batch (``operators.joins``), never
+rewritten; ``compact`` merges their runs by size.
 """
 
 from __future__ import annotations
@@ -18,19 +30,85 @@ from pyspark.sql import functions as F
 
 from spindex.operators import links as lk
 from spindex.operators.joins import missing_from
-from spindex.session import materialize as write_once
+from spindex.operators.ordering import with_global_position
 from spindex.operators.responses import decode_body, good_responses
+from spindex.session import materialize as write_once
+from spindex.sources.log_table import LogTable
 
-
-@dataclass
-class LinkGraph:
-    pages: DataFrame   # page_id, page_url, page_content (null = stub)
-    edges: DataFrame   # source_page_id, outgoing_page_id
+BATCHES_SCHEMA = ("pages_stored BIGINT, stubs_added BIGINT, edges_added BIGINT, next_id BIGINT, fetched BIGINT, "
+                  "replaced BOOLEAN, batch BIGINT")
 
 
-def empty_graph(spark: SparkSession) -> LinkGraph:
-    return LinkGraph(spark.createDataFrame([], lk.PAGES_TABLE_SCHEMA),
-                     spark.createDataFrame([], lk.EDGES_SCHEMA))
+@dataclass(frozen=True)
+class LinkGraph:
+    """The graph as it is before batch ``batch`` (what later batches add does not show)."""
+
+    spark: SparkSession
+    folder: str
+    batch: int = 0
+
+    @property
+    def urls(self) -> LogTable:
+        return LogTable(self.spark, f"{self.folder}/urls", "page_id BIGINT, page_url STRING", "page_url")
+
+    @property
+    def contents(self) -> LogTable:
+        return LogTable(self.spark, f"{self.folder}/contents", "page_id BIGINT, page_content STRING, batch BIGINT", "page_id", newest="batch")
+
+    @property
+    def links(self) -> LogTable:
+        return LogTable(self.spark, f"{self.folder}/edges", f"{lk.EDGES_SCHEMA}, batch BIGINT", "source_page_id")
+
+    @property
+    def batches(self) -> LogTable:
+        return LogTable(self.spark, f"{self.folder}/batches", BATCHES_SCHEMA, "batch", buckets=1)
+
+    @property
+    def pages(self) -> DataFrame:
+        """``page_id, page_url, page_content`` (null content: a stub)."""
+        texts = self.contents.current(self.batch).select("page_id", "page_content")
+        return self.urls.rows(self.batch).join(texts, "page_id", "left").select("page_id", "page_url", "page_content")
+
+    @property
+    def edges(self) -> DataFrame:
+        """``source_page_id, outgoing_page_id``; of sources whose links a batch replaced, those of the last such batch on."""
+        rows = self.links.rows(self.batch)
+        if not self.batches.rows(self.batch).where("replaced").take(1):
+            return rows.drop("batch")
+        since = rows.where("outgoing_page_id IS NULL").groupBy("source_page_id").agg(F.max("batch").alias("since"))
+        return rows.where("outgoing_page_id IS NOT NULL").join(since, "source_page_id", "left") \
+            .where(F.col("since").isNull() | (F.col("batch") >= F.col("since"))) \
+            .select("source_page_id", "outgoing_page_id").distinct()
+
+    def carried(self) -> tuple[int, int]:
+        """The next id and the number of pages fetched, from the last batch."""
+        runs = self.batches.runs(self.batch)
+        if not runs:
+            return 0, 0
+        r = self.batches.rows(self.batch).agg(F.max("next_id").alias("next_id"), F.max("fetched").alias("fetched")).first()
+        return r["next_id"], r["fetched"]
+
+
+def empty_graph(spark: SparkSession, folder: str | None = None) -> LinkGraph:
+    """A graph without pages, kept in ``folder`` (a new one under the checkpoint folder by default)."""
+    from spindex.streaming.state import scratch_dir
+    return LinkGraph(spark, folder or scratch_dir(spark, "graph"))
+
+
+def graph_of(pages: DataFrame, edges: DataFrame, folder: str | None = None) -> LinkGraph:
+    """Existing tables (``page_id, page_url, page_content`` with their ids, and edges) as batch 0 of a graph."""
+    g = empty_graph(pages.sparkSession, folder)
+    g.urls.append(pages, 0)
+    g.contents.append(pages.where("page_content IS NOT NULL").withColumn("batch", F.lit(0)), 0)
+    g.links.append(edges.withColumn("batch", F.lit(0)), 0)
+    top = pages.agg(F.coalesce(F.max("page_id") + 1, F.lit(0)).alias("n"), F.count("page_content").alias("with_text")).first()
+    _note(g, top["with_text"], 0, edges.count(), top["n"], top["with_text"], False)
+    return LinkGraph(g.spark, g.folder, 1)
+
+
+def _note(g: LinkGraph, pages: int, stubs: int, edges: int, next_id: int, fetched: int, replaced: bool) -> None:
+    row = g.spark.createDataFrame([(pages, stubs, edges, next_id, fetched, replaced, g.batch)], BATCHES_SCHEMA)
+    g.batches.append(row, g.batch)
 
 
 def parse_responses(responses: DataFrame, seq_col: str = "seq") -> DataFrame:
@@ -45,36 +123,61 @@ def parse_responses(responses: DataFrame, seq_col: str = "seq") -> DataFrame:
     return lk.last_per_url(parsed.select("url", "seq", "text", "hrefs"))
 
 
-def ingest(graph: LinkGraph, responses: DataFrame, seq_col: str = "seq",
-           emit_links=None) -> tuple[LinkGraph, DataFrame]:
-    """One ingest batch.  Returns the new graph and a one-row counter frame
-    ``(pages_stored, stubs_added, edges_added)``."""
+def _followed(batch: DataFrame, fetched: int, budget: int | None) -> DataFrame:
+    """Pages whose links are followed: all, or those up to the crawl budget, counted over all batches."""
+    if budget is None or fetched >= budget:
+        return batch if budget is None else batch.where("false")
+    order = with_global_position(batch.select("url", "seq"), ["seq", "url"], "n")
+    return batch.join(order.where(F.col("n") < budget - fetched).select("url"), "url", "left_semi")
+
+
+def ingest(graph: LinkGraph, responses: DataFrame, seq_col: str = "seq", budget: int | None = None,
+           replace_links: bool = False) -> tuple[LinkGraph, DataFrame]:
+    """One ingest batch.  Returns the graph after it and a one-row counter frame
+    ``(pages_stored, stubs_added, edges_added)``.
+
+    With ``budget`` only the first so many pages fetched, over all batches, have their links followed;
+    with ``replace_links`` the links of re-crawled pages take the place of their earlier ones.
+    """
+    g = graph
+    next_id, fetched = g.carried()
     # The parsed batch and its outlinks feed several branches; they are
     # batch-sized, so they are written once (HTML parsed once) and read back.
     batch = write_once(parse_responses(responses, seq_col), "ingest-batch")
-    pages = lk.upsert_pages(graph.pages, batch, dedupe=False)
-    links = write_once(
-        lk.resolved_outlinks(batch.withColumn("page_id", F.lit(None).cast("bigint")), emit_links)
-        .select("url", "outlink"), "ingest-links")
-    # New stubs and new edges are batch-sized and each needs one probe of a
-    # stored table; written once, they serve both the tables and the counters.
-    targets = links.select(F.col("outlink").alias("page_url")).distinct()
-    stubs = write_once(missing_from(targets, pages, ["page_url"])
-                       .select(lk.url_id("page_url").alias("page_id"), "page_url",
-                               F.lit(None).cast("string").alias("page_content")), "ingest-stubs")
-    pages = pages.unionByName(stubs)
-    keys = ["source_page_id", "outgoing_page_id"]
-    fresh_edges = write_once(missing_from(lk.link_edges(pages, links), graph.edges, keys), "ingest-edges")
-    edges = graph.edges.unionByName(fresh_edges)
-    # three one-row aggregates side by side (scalar cross joins)
-    counts = (batch.agg(F.count(F.lit(1)).alias("pages_stored"))
-              .crossJoin(stubs.agg(F.count(F.lit(1)).alias("stubs_added")))
-              .crossJoin(fresh_edges.agg(F.count(F.lit(1)).alias("edges_added"))))
-    return LinkGraph(pages, edges), counts
-
-
-def materialize(graph: LinkGraph) -> LinkGraph:
-    """Cut lineage after a batch: both tables are written to the cluster's
-    checkpoint folder (shared storage, survives lost executors)."""
-    from spindex.session import materialize as write_once
-    return LinkGraph(write_once(graph.pages, "pages"), write_once(graph.edges, "edges"))
+    followed = _followed(batch, fetched, budget)
+    links = write_once(lk.resolved_outlinks(followed.withColumn("page_id", F.lit(None).cast("bigint")))
+                       .select("url", "outlink").distinct(), "ingest-links")
+    touched = batch.select(F.col("url").alias("page_url"), F.lit(1).alias("page")) \
+        .unionByName(links.select(F.col("outlink").alias("page_url"), F.lit(0).alias("page"))) \
+        .groupBy("page_url").agg(F.max("page").alias("page"))
+    stored = g.urls.rows(g.batch)
+    known = stored.join(touched.select("page_url"), "page_url", "left_semi")
+    named = write_once(touched.join(known, "page_url", "left"), "ingest-urls")
+    new = with_global_position(named.where("page_id IS NULL").select("page_url", "page"), ["page_url"], "n")
+    g.urls.append(new.select((F.col("n") + next_id).alias("page_id"), "page_url"), g.batch)
+    ids = named.where("page_id IS NOT NULL").select("page_id", "page_url").unionByName(g.urls.of_batch(g.batch))
+    texts = batch.join(ids, F.col("url") == F.col("page_url")) \
+        .select("page_id", F.col("text").alias("page_content"), F.lit(g.batch).alias("batch"))
+    g.contents.append(texts, g.batch)
+    pairs = links.join(ids.select(F.col("page_id").alias("source_page_id"), F.col("page_url").alias("url")), "url") \
+        .join(ids.select(F.col("page_id").alias("outgoing_page_id"), F.col("page_url").alias("outlink")), "outlink") \
+        .select("source_page_id", "outgoing_page_id")
+    if replace_links:  # a row without a target ends what the source had before
+        ended = texts.select(F.col("page_id").alias("source_page_id"), F.lit(None).cast("bigint").alias("outgoing_page_id"))
+        pairs = pairs.unionByName(ended)
+    else:
+        pairs = missing_from(pairs, g.edges, ["source_page_id", "outgoing_page_id"])
+    g.links.append(pairs.withColumn("batch", F.lit(g.batch)), g.batch)
+    tally = named.agg(F.sum("page").alias("pages"), F.count_if(F.col("page_id").isNull()).alias("new"),
+                      F.count_if(F.col("page_id").isNull() & (F.col("page") == 0)).alias("stubs")).first()
+    added = g.links.of_batch(g.batch).where("outgoing_page_id IS NOT NULL").count()
+    counts = (tally["pages"] or 0, tally["stubs"], added)
+    _note(g, *counts, next_id + tally["new"], fetched + counts[0], replace_links)
+    names = ["pages_stored", "stubs_added", "edges_added"]
+    return LinkGraph(g.spark, g.folder, g.batch + 1), g.batches.of_batch(g.batch).select(*names)
+
+
+def compact(graph: LinkGraph) -> None:
+    """Merge the runs of the stored tables by size."""
+    for table in (graph.urls, graph.contents, graph.links, graph.batches):
+        table.compact(graph.batch)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spindex.functions.constants import TOP_K
 from spindex.operators import search as se
+from spindex.operators.pruned import top_k
 from spindex.plans.index_build import SearchIndex, term_bucket
 
 
@@ -28,6 +29,5 @@ def search_index(queries: DataFrame, index: SearchIndex, k: int = TOP_K) -> Data
     postings = index.postings.where(pick).drop("term_bucket")
     tf_all = index.tf.where(pick).drop("term_bucket")
     weights = se.materialize(se.query_term_weights(queries, terms, index.n_pages))
-    cand = se.candidate_pages(weights, postings)
     tf = tf_all.join(weights.select("term").distinct(), "term", "left_semi")
-    return se.top_k_per_query(se.score_candidates(cand, weights, tf, index.urls), k)
+    return top_k(weights, postings, tf, index.urls, k)

@@ -1,70 +1,45 @@
 """Micro-batch page ingest on Structured Streaming.
 
 Captured responses arrive as Parquet files; each micro-batch (bounded by
-``maxFilesPerTrigger``) is merged into the pages table and the link graph
-with the batch ``ingest`` operator inside ``foreachBatch``.  The
-available-now trigger drains what is there and stops (the idle flush of a
-long-running crawler); a processing-time trigger keeps it running.
+``maxFilesPerTrigger``) is appended to the link graph's tables with the batch
+``ingest`` operator inside ``foreachBatch``: a micro-batch writes what it
+brings, and its tables are merged by size now and then.  The available-now
+trigger drains what is there and stops (the idle flush of a long-running
+crawler); a processing-time trigger keeps it running.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindex.operators import links as lk
-from spindex.operators import politeness as po
-from spindex.operators.responses import good_responses
-from spindex.plans.ingest import LinkGraph, ingest
+from spindex.plans.ingest import LinkGraph, compact, ingest
 from spindex.sources.responses import RESPONSES_SCHEMA
-from spindex.streaming.state import latest_epoch, read_version, scratch_dir, write_version
+from spindex.streaming.state import scratch_dir
 
-
-def _empty(spark):
-    return (spark.createDataFrame([], lk.PAGES_TABLE_SCHEMA),
-            spark.createDataFrame([], lk.EDGES_SCHEMA))
+COMPACT_EVERY = 8  # micro-batches
 
 
 def load_graph(spark: SparkSession, state_dir: str, epoch: int | None = None) -> LinkGraph:
-    e = latest_epoch(spark, state_dir, "pages") if epoch is None else epoch
-    ep, ee = _empty(spark)
-    return LinkGraph(read_version(spark, state_dir, "pages", e, ep),
-                     read_version(spark, state_dir, "edges", e, ee))
-
-
-WAITS_SCHEMA = "host_key STRING, next_allowed_at TIMESTAMP, fetched_at TIMESTAMP"
-
-
-def load_waits(spark: SparkSession, state_dir: str, epoch: int | None = None) -> DataFrame:
-    e = latest_epoch(spark, state_dir, "waits") if epoch is None else epoch
-    return read_version(spark, state_dir, "waits", e, spark.createDataFrame([], WAITS_SCHEMA))
+    """The graph after ``epoch`` (by default after the last committed micro-batch)."""
+    g = LinkGraph(spark, state_dir)
+    return LinkGraph(spark, state_dir, (g.batches.latest() if epoch is None else epoch) + 1)
 
 
 def run_ingest_stream(spark: SparkSession, source_dir: str, state_dir: str | None = None,
-                      files_per_trigger: int = 1, available_now: bool = True,
-                      rules: DataFrame | None = None):
-    """Drain ``source_dir`` into versioned ``pages``/``edges`` snapshots.
+                      files_per_trigger: int = 1, available_now: bool = True, budget: int | None = None):
+    """Drain ``source_dir`` into the graph kept in ``state_dir``.
 
-    With robots ``rules`` the per-host wait state (last write wins) is kept
-    as a third table.  Returns ``(state_dir, query)``; with
-    ``available_now`` the query has finished when this returns.
+    Returns ``(state_dir, query)``; with ``available_now`` the query has finished when this returns.
+    A later call with the same ``state_dir`` goes on with the files that came meanwhile.
     """
     state_dir = state_dir or scratch_dir(spark, "ingest-state")
     stream = (spark.readStream.schema(RESPONSES_SCHEMA)
               .option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir))
 
     def merge(batch: DataFrame, epoch_id: int) -> None:
-        s = batch.sparkSession
-        batch = batch.persist()  # one micro-batch (bounded by files_per_trigger), read twice
-        graph = load_graph(s, state_dir, epoch_id - 1)
-        nxt, counts = ingest(graph, batch)
-        write_version(nxt.pages, state_dir, "pages", epoch_id)
-        write_version(nxt.edges, state_dir, "edges", epoch_id)
-        write_version(counts, state_dir, "counts", epoch_id)
-        if rules is not None:
-            events = po.wait_events(good_responses(batch), rules)
-            waits = po.merge_waits(load_waits(s, state_dir, epoch_id - 1), events)
-            write_version(waits, state_dir, "waits", epoch_id)
-        batch.unpersist()
+        graph, _ = ingest(LinkGraph(batch.sparkSession, state_dir, epoch_id), batch, budget=budget)
+        if graph.batch % COMPACT_EVERY == 0:
+            compact(graph)
 
     w = (stream.writeStream.foreachBatch(merge)
          .option("checkpointLocation", f"{state_dir}/_stream"))
