@@ -32,6 +32,7 @@ from spindex.operators import links as lk
 from spindex.operators.joins import missing_from
 from spindex.operators.ordering import with_global_position
 from spindex.operators.responses import decode_body, good_responses
+from spindex.session import at_once
 from spindex.session import materialize as write_once
 from spindex.sources.log_table import LogTable
 
@@ -46,6 +47,7 @@ class LinkGraph:
     spark: SparkSession
     folder: str
     batch: int = 0
+    last: tuple[int, int, bool] | None = None  # carried from the batch before; read from ``batches`` if not given
 
     @property
     def urls(self) -> LogTable:
@@ -73,20 +75,21 @@ class LinkGraph:
     def edges(self) -> DataFrame:
         """``source_page_id, outgoing_page_id``; of sources whose links a batch replaced, those of the last such batch on."""
         rows = self.links.rows(self.batch)
-        if not self.batches.rows(self.batch).where("replaced").take(1):
+        if not self.carried()[2]:
             return rows.drop("batch")
         since = rows.where("outgoing_page_id IS NULL").groupBy("source_page_id").agg(F.max("batch").alias("since"))
         return rows.where("outgoing_page_id IS NOT NULL").join(since, "source_page_id", "left") \
             .where(F.col("since").isNull() | (F.col("batch") >= F.col("since"))) \
             .select("source_page_id", "outgoing_page_id").distinct()
 
-    def carried(self) -> tuple[int, int]:
-        """The next id and the number of pages fetched, from the last batch."""
-        runs = self.batches.runs(self.batch)
-        if not runs:
-            return 0, 0
-        r = self.batches.rows(self.batch).agg(F.max("next_id").alias("next_id"), F.max("fetched").alias("fetched")).first()
-        return r["next_id"], r["fetched"]
+    def carried(self) -> tuple[int, int, bool]:
+        """After the batches so far: the next id, the number of pages fetched, and whether links were ever replaced."""
+        if self.last is not None:
+            return self.last
+        if not self.batches.runs(self.batch):
+            return 0, 0, False
+        r = self.batches.rows(self.batch).agg(F.max("next_id"), F.max("fetched"), F.max("replaced")).first()
+        return r[0], r[1], r[2]
 
 
 def empty_graph(spark: SparkSession, folder: str | None = None) -> LinkGraph:
@@ -102,13 +105,16 @@ def graph_of(pages: DataFrame, edges: DataFrame, folder: str | None = None) -> L
     g.contents.append(pages.where("page_content IS NOT NULL").withColumn("batch", F.lit(0)), 0)
     g.links.append(edges.withColumn("batch", F.lit(0)), 0)
     top = pages.agg(F.coalesce(F.max("page_id") + 1, F.lit(0)).alias("n"), F.count("page_content").alias("with_text")).first()
-    _note(g, top["with_text"], 0, edges.count(), top["n"], top["with_text"], False)
-    return LinkGraph(g.spark, g.folder, 1)
+    return _closed(g, (top["with_text"], 0, edges.count()), (top["n"], top["with_text"], False))
 
 
-def _note(g: LinkGraph, pages: int, stubs: int, edges: int, next_id: int, fetched: int, replaced: bool) -> None:
-    row = g.spark.createDataFrame([(pages, stubs, edges, next_id, fetched, replaced, g.batch)], BATCHES_SCHEMA)
-    g.batches.append(row, g.batch)
+def _closed(g: LinkGraph, counts: tuple[int, int, int], carried: tuple[int, int, bool]) -> LinkGraph:
+    """Note the batch, which commits it, and go on to the next one."""
+    names = [c.split()[0] for c in BATCHES_SCHEMA.split(", ")]
+    values = [F.lit(x) for x in (*counts, *carried, g.batch)]
+    row = g.spark.range(1).select(*[v.cast(c.split()[1]).alias(n) for v, n, c in zip(values, names, BATCHES_SCHEMA.split(", "))])
+    g.batches.append(row.coalesce(1), g.batch)
+    return LinkGraph(g.spark, g.folder, g.batch + 1, carried)
 
 
 def parse_responses(responses: DataFrame, seq_col: str = "seq") -> DataFrame:
@@ -140,7 +146,7 @@ def ingest(graph: LinkGraph, responses: DataFrame, seq_col: str = "seq", budget:
     with ``replace_links`` the links of re-crawled pages take the place of their earlier ones.
     """
     g = graph
-    next_id, fetched = g.carried()
+    next_id, fetched, replaced = g.carried()
     # The parsed batch and its outlinks feed several branches; they are
     # batch-sized, so they are written once (HTML parsed once) and read back.
     batch = write_once(parse_responses(responses, seq_col), "ingest-batch")
@@ -150,31 +156,32 @@ def ingest(graph: LinkGraph, responses: DataFrame, seq_col: str = "seq", budget:
     touched = batch.select(F.col("url").alias("page_url"), F.lit(1).alias("page")) \
         .unionByName(links.select(F.col("outlink").alias("page_url"), F.lit(0).alias("page"))) \
         .groupBy("page_url").agg(F.max("page").alias("page"))
-    stored = g.urls.rows(g.batch)
-    known = stored.join(touched.select("page_url"), "page_url", "left_semi")
-    named = write_once(touched.join(known, "page_url", "left"), "ingest-urls")
-    new = with_global_position(named.where("page_id IS NULL").select("page_url", "page"), ["page_url"], "n")
-    g.urls.append(new.select((F.col("n") + next_id).alias("page_id"), "page_url"), g.batch)
-    ids = named.where("page_id IS NOT NULL").select("page_id", "page_url").unionByName(g.urls.of_batch(g.batch))
+    known = g.urls.rows(g.batch)
+    if g.batch:
+        known = write_once(known.join(touched.select("page_url"), "page_url", "left_semi"), "ingest-known")
+    new = touched.join(known.select("page_url"), "page_url", "left_anti")
+    placed = with_global_position(new, ["page_url"], "n")
+    new = placed.select((F.col("n") + next_id).alias("page_id"), "page_url")
+    ids = known.select("page_id", "page_url").unionByName(new)
     texts = batch.join(ids, F.col("url") == F.col("page_url")) \
         .select("page_id", F.col("text").alias("page_content"), F.lit(g.batch).alias("batch"))
-    g.contents.append(texts, g.batch)
     pairs = links.join(ids.select(F.col("page_id").alias("source_page_id"), F.col("page_url").alias("url")), "url") \
         .join(ids.select(F.col("page_id").alias("outgoing_page_id"), F.col("page_url").alias("outlink")), "outlink") \
         .select("source_page_id", "outgoing_page_id")
     if replace_links:  # a row without a target ends what the source had before
         ended = texts.select(F.col("page_id").alias("source_page_id"), F.lit(None).cast("bigint").alias("outgoing_page_id"))
         pairs = pairs.unionByName(ended)
-    else:
+    elif g.batch:
         pairs = missing_from(pairs, g.edges, ["source_page_id", "outgoing_page_id"])
-    g.links.append(pairs.withColumn("batch", F.lit(g.batch)), g.batch)
-    tally = named.agg(F.sum("page").alias("pages"), F.count_if(F.col("page_id").isNull()).alias("new"),
-                      F.count_if(F.col("page_id").isNull() & (F.col("page") == 0)).alias("stubs")).first()
-    added = g.links.of_batch(g.batch).where("outgoing_page_id IS NOT NULL").count()
-    counts = (tally["pages"] or 0, tally["stubs"], added)
-    _note(g, *counts, next_id + tally["new"], fetched + counts[0], replace_links)
+    pairs = pairs.withColumn("batch", F.lit(g.batch))
+    at_once(lambda: g.urls.append(new, g.batch), lambda: g.contents.append(texts, g.batch), lambda: g.links.append(pairs, g.batch))
+    # counted in what was written: right also where a lost task ran twice
+    n_new, stubs, stored, added = at_once(
+        lambda: placed.count(), lambda: placed.where("page = 0").count(), lambda: g.contents.of_batch(g.batch).count(),
+        lambda: g.links.of_batch(g.batch).where("outgoing_page_id IS NOT NULL").count())
+    after = _closed(g, (stored, stubs, added), (next_id + n_new, fetched + stored, replaced or replace_links))
     names = ["pages_stored", "stubs_added", "edges_added"]
-    return LinkGraph(g.spark, g.folder, g.batch + 1), g.batches.of_batch(g.batch).select(*names)
+    return after, g.batches.of_batch(g.batch).select(*names)
 
 
 def compact(graph: LinkGraph) -> None:

@@ -101,6 +101,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def at_once(*jobs):
+    """Run independent actions (functions without arguments) from threads of their own, so that Spark can
+    work on all of them; returns their results in order.  The first error is raised when all have ended."""
+    from concurrent.futures import ThreadPoolExecutor
+    from pyspark import inheritable_thread_target
+    spark = SparkSession.getActiveSession()
+    wrap = inheritable_thread_target(spark) if spark is not None else inheritable_thread_target
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        running = [pool.submit(wrap(job)) for job in jobs]
+    return [r.result() for r in running]
+
+
 def materialize(df, name: str = "table", partition_by: list[str] | None = None, sort_by: list[str] | None = None):
     """Write ``df`` once as Parquet under the cluster's checkpoint folder and
     return a DataFrame reading it back.
