@@ -204,23 +204,22 @@ def term_frequency(spark, sf_dir):
     return se.term_frequencies(c, vocab)
 
 
-def _doc_weights(spark, sf_dir):
+def _doc_inputs(spark, sf_dir):
     c = documents_corpus(spark, sf_dir)
-    w, postings, tf = se.batch_inputs(benchmark_queries(spark, sf_dir), c)
-    return c, tf, postings, w
+    return c, se.batch_inputs(benchmark_queries(spark, sf_dir), c)
 
 
 @register("idf_weights")
 def idf_weights(spark, sf_dir):
     """Df (0 when unknown) and idf per distinct query term."""
-    _, _, _, w = _doc_weights(spark, sf_dir)
+    w = _doc_inputs(spark, sf_dir)[1].weights
     return w.select("query_id", "term", "df", F.round("idf", 9).alias("idf"))
 
 
 @register("tfidf_vectors")
 def tfidf_vectors(spark, sf_dir):
     """Query tf-idf weights and query norms."""
-    _, _, _, w = _doc_weights(spark, sf_dir)
+    w = _doc_inputs(spark, sf_dir)[1].weights
     return w.select("query_id", "term", "q_count", "q_len",
                     F.round("q_weight", 9).alias("q_weight"), F.round("q_norm", 9).alias("q_norm"))
 
@@ -228,8 +227,8 @@ def tfidf_vectors(spark, sf_dir):
 @register("cosine_scores")
 def cosine_scores(spark, sf_dir):
     """Cosine similarity of every candidate of every benchmark query."""
-    c, tf, postings, w = _doc_weights(spark, sf_dir)
-    s = se.score_candidates(se.candidate_pages(w, postings), w, tf, c)
+    c, i = _doc_inputs(spark, sf_dir)
+    s = se.score_candidates(i.weights, i.evidence, c)
     return s.select("query_id", "page_id", F.round("similarity", 9).alias("similarity"),
                     F.round("score", 9).alias("score"))
 
@@ -238,8 +237,8 @@ def cosine_scores(spark, sf_dir):
 def link_boost(spark, sf_dir):
     """URL boost of every candidate of every title query on pages."""
     c = pages_corpus(spark, sf_dir)
-    w, postings, tf = se.batch_inputs(title_queries(spark, sf_dir), c)
-    s = se.score_candidates(se.candidate_pages(w, postings), w, tf, c)
+    i = se.batch_inputs(title_queries(spark, sf_dir), c)
+    s = se.score_candidates(i.weights, i.evidence, c)
     return s.select("query_id", "page_id", "page_url", F.round("link_boost", 9).alias("link_boost"))
 
 
@@ -267,6 +266,13 @@ def search_documents(spark, sf_dir):
     return se.search(benchmark_queries(spark, sf_dir), c, k=20)
 
 
+@register("search_pruned")
+def search_pruned(spark, sf_dir):
+    """As ``search_documents``, without scoring pages that cannot be among the best."""
+    c = documents_corpus(spark, sf_dir)
+    return se.search(benchmark_queries(spark, sf_dir), c, k=20, prune=True)
+
+
 @register("search_indexed")
 def search_indexed(spark, sf_dir):
     """P2 + P3: index, term frequencies and page count written once, then

@@ -667,6 +667,7 @@ terms AS (SELECT term, count(*) AS total_pages FROM postings GROUP BY term), {BE
 {_top_k(20)}"""
 
 SQL["search_indexed"] = SQL["search_documents"]
+SQL["search_pruned"] = SQL["search_documents"]
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,7 +18,7 @@ def query_buckets(queries: DataFrame, buckets: int) -> list[int]:
     return sorted(r["b"] for r in vocab.collect())
 
 
-def search_index(queries: DataFrame, index: SearchIndex, k: int = TOP_K) -> DataFrame:
+def search_index(queries: DataFrame, index: SearchIndex, k: int = TOP_K, prune: bool = False) -> DataFrame:
     """Top ``k`` per query reading only stored tables: the dictionary rows
     and postings of the query terms, their term frequencies, the URLs.
     Term-keyed tables are read only in the buckets of the batch's terms
@@ -29,5 +29,9 @@ def search_index(queries: DataFrame, index: SearchIndex, k: int = TOP_K) -> Data
     postings = index.postings.where(pick).drop("term_bucket")
     tf_all = index.tf.where(pick).drop("term_bucket")
     weights = se.materialize(se.query_term_weights(queries, terms, index.n_pages))
-    tf = tf_all.join(weights.select("term").distinct(), "term", "left_semi")
-    return top_k(weights, postings, tf, index.urls, k)
+    asked = weights.select("term").distinct()
+    tf = tf_all.join(asked, "term", "left_semi")
+    if prune:
+        return top_k(weights, postings, tf, index.urls, k)
+    evidence = se.evidence_of(postings.join(asked, "term", "left_semi"), tf)
+    return se.top_k_per_query(se.score_candidates(weights, evidence, index.urls), k)

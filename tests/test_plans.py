@@ -47,16 +47,18 @@ def test_global_position_sort_stays_distributed(spark):
         spark.conf.set(key, before)
 
 
-def test_search_scans_text_once_per_tokenizer(spark):
-    """Term frequencies and N come from one scan and one generator; the
-    index build tokenizes once for statistics and postings."""
+def test_search_scans_text_once(spark):
+    """Term frequencies, occurrences and N come from one scan and one generator;
+    the index build tokenizes once for statistics and postings."""
     from spindex.operators import index as ix
     from spindex.operators import search as se
     from spindex.sources.tables import documents_corpus, read_benchmark
     c = documents_corpus(spark, SF)
     q = read_benchmark(spark, SF).selectExpr("item_id AS query_id", "text AS query_text")
-    freq = se.page_frequencies(c, se.query_term_counts(q).select("term"))
-    assert _plan(freq).count("FileScan parquet [doc_id") == 1
+    found = se.page_terms(c, se.query_term_counts(q).select("term"))
+    assert _plan(found).count("FileScan parquet [doc_id") == 1
+    i = se.batch_inputs(q, c)
+    assert "FileScan parquet [doc_id" not in _plan(i.evidence) + _plan(i.postings) + _plan(i.tf) + _plan(i.weights)
     terms, postings = ix.build_index(c)
     assert "FileScan parquet [doc_id" not in _plan(postings) + _plan(terms)
 
