@@ -620,7 +620,7 @@ def politeness_metrics(spark, sf_dir):
 
 def _candidates(spark, sf_dir):
     """Outlinks of every page, and as 'seen' the outlinks of English pages."""
-    links = lk.resolved_outlinks(pages_parsed(spark, sf_dir))
+    links = write_once(lk.resolved_outlinks(pages_parsed(spark, sf_dir)).select("url", "outlink"), "outlinks")
     urls = links.select(F.col("outlink").alias("url"))
     seen = links.where(F.col("url").contains("/en/")).select(F.col("outlink").alias("url"))
     return urls, seen
@@ -651,17 +651,44 @@ def frontier_batches(spark, sf_dir):
     return f.batches
 
 
+def _outcomes(f) -> DataFrame:
+    named = [(f.batches, "fetch"), (f.deferred, "deferred"), (f.disallowed, "disallowed")]
+    out = [df.select("url", "batch_id", F.lit(name).alias("outcome")) for df, name in named]
+    out.append(f.leftover.select("url", F.lit(None).cast("bigint").alias("batch_id"), F.lit("leftover").alias("outcome")))
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
 @register("frontier_outcomes")
 def frontier_outcomes(spark, sf_dir):
     """What becomes of every valid candidate in its batch."""
     from spindex.plans.frontier import prepare_frontier
     urls, seen = _candidates(spark, sf_dir)
-    f = prepare_frontier(urls, seen, waits_table(spark, sf_dir), robots_table(spark, sf_dir),
-                         _last_fetch(spark, sf_dir))
-    named = [(f.batches, "fetch"), (f.deferred, "deferred"), (f.disallowed, "disallowed")]
-    out = [df.select("url", "batch_id", F.lit(name).alias("outcome")) for df, name in named]
-    out.append(f.leftover.select("url", F.lit(None).cast("bigint").alias("batch_id"), F.lit("leftover").alias("outcome")))
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+    return _outcomes(prepare_frontier(urls, seen, waits_table(spark, sf_dir), robots_table(spark, sf_dir), _last_fetch(spark, sf_dir)))
+
+
+SUFFIX_RULES = ("com", "net", "org", "example.com", "*.example.net", "*.example.org", "!thther.example.org", "co.th", "*.ck", "!www.ck")
+
+
+def suffix_rules(spark) -> DataFrame:
+    """A table of public-suffix rules that cut the hosts of the pages below ``example``."""
+    return spark.createDataFrame([(r,) for r in SUFFIX_RULES], "rule STRING")
+
+
+@register("frontier_by_rules")
+def frontier_by_rules(spark, sf_dir):
+    """As ``frontier_outcomes``, hosts resolved against a supplied table of suffix rules."""
+    from spindex.plans.frontier import prepare_frontier
+    urls, seen = _candidates(spark, sf_dir)
+    return _outcomes(prepare_frontier(urls, seen, waits_table(spark, sf_dir), robots_table(spark, sf_dir), _last_fetch(spark, sf_dir),
+                                      suffix_rules=suffix_rules(spark)))
+
+
+@register("host_domains")
+def host_domains(spark, sf_dir):
+    """Host, domain and host key of every page and outlink URL under a supplied table of rules."""
+    from spindex.operators.hosts import with_hosts
+    urls = tb.read_pages(spark, sf_dir).select("url").unionByName(_candidates(spark, sf_dir)[0]).distinct()
+    return with_hosts(urls, suffix_rules(spark))
 
 
 @register("crawl_budget")

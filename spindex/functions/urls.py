@@ -168,27 +168,35 @@ def suffix_alternation(suffixes=DEFAULT_PUBLIC_SUFFIXES) -> str:
     return "|".join(parts)
 
 
-def registrable_domain(col, suffixes=DEFAULT_PUBLIC_SUFFIXES) -> Column:
-    """Domain one label below the longest public suffix of the URL's host;
-    empty when the host has no label above a public suffix (localhost, IPs,
-    a bare suffix)."""
+def domain_of_host(host, suffixes=DEFAULT_PUBLIC_SUFFIXES) -> Column:
+    """Domain one label below the longest public suffix of a host; empty when
+    the host has no label above a public suffix (localhost, IPs, a bare suffix)."""
     alts = suffix_alternation(suffixes)
-    host = url_host(col)
+    host = _c(host)
     top = F.regexp_extract(host, f"([^.]+\\.(?:{alts}))$", 1)
     return F.when(host.rlike(f"^(?:{alts})$"), F.lit("")).otherwise(top)
 
 
+def registrable_domain(col, suffixes=DEFAULT_PUBLIC_SUFFIXES) -> Column:
+    """:func:`domain_of_host` of the URL's host."""
+    return domain_of_host(url_host(col), suffixes)
+
+
 def url_fqdn(col, suffixes=DEFAULT_PUBLIC_SUFFIXES) -> Column:
     host = url_host(col)
     return F.when(registrable_domain(col, suffixes) != "", host).otherwise(F.lit(""))
 
 
-def host_key(col, suffixes=DEFAULT_PUBLIC_SUFFIXES) -> Column:
+def host_key_of(url, host, domain) -> Column:
     """``https://`` when ``https`` occurs anywhere in the URL, else ``http://``,
-    followed by the fully qualified host (empty when it has no public suffix)."""
-    u = _c(col)
-    scheme = F.when(u.contains("https"), F.lit("https://")).otherwise(F.lit("http://"))
-    return F.concat(scheme, url_fqdn(u, suffixes))
+    followed by the host (empty when it has no registrable domain)."""
+    scheme = F.when(_c(url).contains("https"), F.lit("https://")).otherwise(F.lit("http://"))
+    return F.concat(scheme, F.when(_c(domain) != "", _c(host)).otherwise(F.lit("")))
+
+
+def host_key(col, suffixes=DEFAULT_PUBLIC_SUFFIXES) -> Column:
+    """:func:`host_key_of` of a URL alone."""
+    return host_key_of(col, url_host(col), registrable_domain(col, suffixes))
 
 
 def robots_url(host_key_col) -> Column:

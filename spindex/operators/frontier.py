@@ -52,8 +52,10 @@ def interleave(urls: DataFrame, batch_size: int = 50, exit_domains: int = 0,
     sorts (no single-task window), so a domain holding a third of all URLs
     still spreads over many tasks.
     """
-    u = (urls.select("url", registrable_domain("url", suffixes).alias("domain"))
-         .dropDuplicates(["url"]))
+    # what the URLs carry already (host dimension) is kept
+    domain = F.col("domain") if "domain" in urls.columns else registrable_domain("url", suffixes)
+    more = [c for c in urls.columns if c not in ("url", "domain")]
+    u = urls.select("url", domain.alias("domain"), *more).dropDuplicates(["url"])
     # round = rank of the URL inside its domain: global position in
     # (domain, url) order minus the domain's first position.
     g = with_global_position(u, ["domain", "url"], "_g")
@@ -71,11 +73,12 @@ def interleave(urls: DataFrame, batch_size: int = 50, exit_domains: int = 0,
             .withColumn("round", F.col("_g") - F.col("_first") + 1))
     emit = F.col("_max_round").isNull() | (F.col("round") <= F.col("_max_round"))
     kept = rows.where(emit)
-    leftover = (rows.where(~emit).select("url", "domain", "round")
-                .unionByName(g.join(dom.select("domain"), "domain", "left_anti")
-                             .select("url", "domain", F.lit(None).cast("bigint").alias("round"))))
+    leftover = rows.where(~emit).select("url", "domain", "round")
+    if max_domains is not None:
+        leftover = leftover.unionByName(g.join(dom.select("domain"), "domain", "left_anti")
+                                        .select("url", "domain", F.lit(None).cast("bigint").alias("round")))
     pos = with_global_position(kept, ["round", "_drank"], "_p")
     batches = pos.select(F.floor(F.col("_p") / F.lit(batch_size)).cast("bigint").alias("batch_id"),
                          F.pmod(F.col("_p"), F.lit(batch_size)).cast("bigint").alias("pos"),
-                         "url", "domain", F.col("round").cast("bigint").alias("round"))
+                         "url", "domain", F.col("round").cast("bigint").alias("round"), *more)
     return batches, leftover

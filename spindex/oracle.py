@@ -570,8 +570,9 @@ SQL["unseen_urls"] = f"""WITH {CANDS}
 SELECT url FROM cands"""
 
 # batches of 50 are planned over all valid candidates; politeness and robots act inside each batch
-FRONTIER = f"""{HOSTS}, {WAITS}, {CANDS},
-ch AS (SELECT url, host, {domain_sql('host')} AS domain FROM (SELECT url, {host_sql('url')} AS host FROM cands)),
+def frontier_ctes(domain: str) -> str:
+    return f"""{HOSTS}, {WAITS}, {CANDS},
+ch AS (SELECT url, host, {domain} AS domain FROM (SELECT url, {host_sql('url')} AS host FROM cands)),
 ck AS (SELECT url, host, domain, {host_key_sql('url', 'host', 'domain')} AS host_key FROM ch),
 valid AS (SELECT * FROM ck WHERE host_key NOT IN ('http://', 'https://')),
 doms AS (SELECT domain, row_number() OVER (ORDER BY count(*) DESC, domain) - 1 AS drank FROM valid GROUP BY domain),
@@ -588,12 +589,31 @@ fate AS (SELECT w.*, CASE WHEN NOT ready THEN 'deferred' WHEN {allowed_sql('rob.
                      ELSE 'disallowed' END AS outcome
          FROM waited w LEFT JOIN rob USING (host_key))"""
 
+
+FRONTIER = frontier_ctes(domain_sql("host"))
+
 SQL["frontier_batches"] = f"""WITH {FRONTIER}
 SELECT batch_id, pos, url, domain, CAST(round AS BIGINT) AS round FROM fate WHERE outcome = 'fetch'"""
 
 SQL["frontier_outcomes"] = f"""WITH {FRONTIER}
 SELECT url, batch_id, outcome FROM fate"""
 
+# domains under the supplied rules: labels below example.com, two below example.net and example.org (one for thther)
+RULED_DOMAIN = r"""CASE WHEN regexp_matches(host, '(^|\.)thther\.example\.org$') THEN 'thther.example.org'
+  WHEN regexp_matches(host, '\.example\.(net|org)$') THEN regexp_extract(host, '([^.]+\.[^.]+\.example\.(net|org))$', 1)
+  WHEN regexp_matches(host, '(^|\.)example\.com$') THEN regexp_extract(host, '([^.]+\.example\.com)$', 1)
+  WHEN regexp_matches(host, '\.(com|net|org|co\.th)$') THEN regexp_extract(host, '([^.]+\.(com|net|org|co\.th))$', 1)
+  ELSE '' END"""
+
+SQL["frontier_by_rules"] = f"""WITH {frontier_ctes(RULED_DOMAIN)}
+SELECT url, batch_id, outcome FROM fate"""
+
+SQL["host_domains"] = f"""WITH {PTEXT}, nonempty AS (SELECT * FROM ptext WHERE length(text) > 0),
+u AS (SELECT url FROM pages UNION SELECT outlink FROM ({outlinks('nonempty')})),
+h AS (SELECT url, {host_sql('url')} AS host FROM u),
+d AS (SELECT url, host, {RULED_DOMAIN} AS domain FROM h)
+SELECT url, host, domain, {host_key_sql('url', 'host', 'domain')} AS host_key FROM d"""
+
 SQL["crawl_budget"] = f"""WITH {PTEXT},
 ord AS (SELECT page_id, url, text, html, row_number() OVER (ORDER BY page_id, url) AS fetch_rank FROM ptext),
 em AS (SELECT * FROM ord WHERE fetch_rank <= 10000 AND length(text) > 0),

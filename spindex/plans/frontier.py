@@ -15,9 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindex.functions.constants import DEFAULT_PUBLIC_SUFFIXES, FRONTIER_BATCH_SIZE, FRONTIER_EXIT_DOMAINS
+from spindex.functions.constants import FRONTIER_BATCH_SIZE, FRONTIER_EXIT_DOMAINS
 from spindex.operators import frontier as fr
 from spindex.operators import politeness as po
+from spindex.operators.hosts import with_hosts
 
 
 @dataclass
@@ -32,12 +33,15 @@ def prepare_frontier(urls: DataFrame, seen: DataFrame, waits: DataFrame, rules:
                      as_of, batch_size: int = FRONTIER_BATCH_SIZE,
                      exit_domains: int = FRONTIER_EXIT_DOMAINS,
                      max_domains: int | None = None,
-                     suffixes=DEFAULT_PUBLIC_SUFFIXES) -> Frontier:
-    cand = fr.valid_domain(fr.unseen_urls(urls, seen), suffixes)
-    planned, leftover = fr.interleave(cand, batch_size, exit_domains, max_domains, suffixes)
-    d = po.defer_by_politeness(planned, waits, as_of, ["batch_id"], suffixes)
-    ready = d.where(~F.col("deferred")).drop("host_key", "n_urls", "sleep_seconds", "deferred")
-    checked = po.robots_allowed(ready, rules, suffixes)
+                     suffix_rules: DataFrame | None = None) -> Frontier:
+    """``suffix_rules(rule)``: a table of public-suffix rules (the built-in rule without it).  Hosts are
+    resolved once and what they give is carried along."""
+    named = with_hosts(fr.unseen_urls(urls, seen), suffix_rules)
+    cand = named.where("domain <> ''").select("url", "domain", "host_key")
+    planned, leftover = fr.interleave(cand, batch_size, exit_domains, max_domains)
+    d = po.defer_by_politeness(planned, waits, as_of, ["batch_id"])
+    ready = d.where(~F.col("deferred")).drop("n_urls", "sleep_seconds", "deferred")
+    checked = po.robots_allowed(ready, rules)
     return Frontier(checked.where(F.col("allowed")).select("batch_id", "pos", "url", "domain", "round"),
                     d.where(F.col("deferred")).select("batch_id", "url", "host_key", "n_urls", "sleep_seconds"),
                     checked.where(~F.col("allowed")).select("batch_id", "url", "host_key"), leftover)
