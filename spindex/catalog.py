@@ -641,14 +641,15 @@ def _last_fetch(spark, sf_dir):
     return F.timestamp_micros(F.lit(last).cast("bigint"))
 
 
-@register("frontier_batches")
-def frontier_batches(spark, sf_dir):
-    """The next fetch batches."""
+def _frontier(spark, sf_dir, rules=None):
+    """The frontier's plan; robots rules are fetched once and serve waits and verdicts."""
+    from spindex.operators.politeness import next_allowed as na
+    from spindex.operators.responses import good_responses
     from spindex.plans.frontier import prepare_frontier
     urls, seen = _candidates(spark, sf_dir)
-    f = prepare_frontier(urls, seen, waits_table(spark, sf_dir), robots_table(spark, sf_dir),
-                         _last_fetch(spark, sf_dir))
-    return f.batches
+    robots = write_once(robots_table(spark, sf_dir), "robots-rules")
+    waits = na(good_responses(responses(spark, sf_dir)), robots)
+    return prepare_frontier(urls, seen, waits, robots, _last_fetch(spark, sf_dir), suffix_rules=rules)
 
 
 def _outcomes(f) -> DataFrame:
@@ -658,12 +659,16 @@ def _outcomes(f) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
+@register("frontier_batches")
+def frontier_batches(spark, sf_dir):
+    """The next fetch batches."""
+    return _frontier(spark, sf_dir).batches
+
+
 @register("frontier_outcomes")
 def frontier_outcomes(spark, sf_dir):
     """What becomes of every valid candidate in its batch."""
-    from spindex.plans.frontier import prepare_frontier
-    urls, seen = _candidates(spark, sf_dir)
-    return _outcomes(prepare_frontier(urls, seen, waits_table(spark, sf_dir), robots_table(spark, sf_dir), _last_fetch(spark, sf_dir)))
+    return _outcomes(_frontier(spark, sf_dir))
 
 
 SUFFIX_RULES = ("com", "net", "org", "example.com", "*.example.net", "*.example.org", "!thther.example.org", "co.th", "*.ck", "!www.ck")
@@ -677,10 +682,7 @@ def suffix_rules(spark) -> DataFrame:
 @register("frontier_by_rules")
 def frontier_by_rules(spark, sf_dir):
     """As ``frontier_outcomes``, hosts resolved against a supplied table of suffix rules."""
-    from spindex.plans.frontier import prepare_frontier
-    urls, seen = _candidates(spark, sf_dir)
-    return _outcomes(prepare_frontier(urls, seen, waits_table(spark, sf_dir), robots_table(spark, sf_dir), _last_fetch(spark, sf_dir),
-                                      suffix_rules=suffix_rules(spark)))
+    return _outcomes(_frontier(spark, sf_dir, suffix_rules(spark)))
 
 
 @register("host_domains")
@@ -714,6 +716,7 @@ def integrity_report(spark, sf_dir):
     g, _ = ingested(spark, sf_dir)
     docs = documents_corpus(spark, sf_dir)
     terms, postings = ix.build_index(docs)
+    terms = write_once(ix.number_terms(terms, spark=spark), "numbered-terms")
     df_check = (terms.join(postings.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "term", "left")
                 .agg(F.count_if(F.coalesce("n", F.lit(0)) != F.col("total_pages")).alias("violations"),
                      F.count(F.lit(1)).alias("checked")))

@@ -74,12 +74,3 @@ def keep_rare_term(term, occurrences) -> Column:
     """Rare-term rule: keep 3 < length < 15, or more than 20 occurrences."""
     n = F.length(_c(term))
     return ((n > RARE_MIN_LEN) & (n < RARE_MAX_LEN)) | (_c(occurrences) > RARE_MIN_OCCURRENCES)
-
-
-def normalize_whitespace(col) -> Column:
-    """Collapse runs of (Unicode) whitespace to one space and trim."""
-    return F.trim(F.regexp_replace(_c(col), r"(?U)\s+", " "))
-
-
-def remove_nul(col) -> Column:
-    return F.translate(_c(col), "\u0000", "")

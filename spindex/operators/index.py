@@ -14,7 +14,8 @@ Plan shape (one index build):
     The (term, page) counts are written once and read by both branches, so
     the text is scanned and tokenized a single time.
 
-Term ids are ``xxhash64(term)``: deterministic, no global numbering pass.
+A term is identified by itself; what needs numbers takes dense ids from a persistent
+dictionary (``operators.dictionary``), in which no two terms can meet.
 """
 
 from __future__ import annotations
@@ -29,8 +30,12 @@ from spindex.session import materialize
 POSTING_BLOCK = 1024  # page ids per posting block, on average
 
 
-def term_id(col="term") -> Column:
-    return F.xxhash64(F.col(col) if isinstance(col, str) else col)
+def number_terms(terms: DataFrame, dictionary=None, batch: int = 0, spark=None) -> DataFrame:
+    """``terms`` with a dense ``term_id``: those of ``dictionary`` (a new one by default), which new terms extend."""
+    from spindex.operators.dictionary import new_dictionary
+    d = dictionary or new_dictionary(spark or terms.sparkSession, "terms")
+    ids = d.extend(terms.select("term"), batch)
+    return terms.join(ids.select(F.col("id").alias("term_id"), F.col("key").alias("term")), "term").select("term_id", *terms.columns)
 
 
 def scan_indexable(corpus: DataFrame) -> DataFrame:
@@ -68,8 +73,8 @@ def term_statistics(page_terms: DataFrame, scope_col: str | None = None) -> Data
 def build_index(corpus: DataFrame, stopwords=None, scope_col: str | None = None):
     """Return ``(terms, postings)``.
 
-    terms:    ``(term_id, term, total_pages)``
-    postings: ``(term_id, term, page_id)`` distinct
+    terms:    ``(term, total_pages)``
+    postings: ``(term, page_id)`` distinct
 
     The rare-term rule counts occurrences over the whole corpus by default;
     with ``scope_col`` it counts inside each scope value (e.g. caller-defined
@@ -88,13 +93,13 @@ def index_from_counts(pt: DataFrame, scope_col: str | None = None):
     keys = ([scope_col] if scope_col else []) + ["term"]
     kept = stats.where(keep_rare_term("term", "occurrences")).select(*keys)
     postings = (pt.join(kept, keys, "left_semi")
-                .select(term_id().alias("term_id"), "term", "page_id"))
+                .select("term", "page_id"))
     if scope_col:
-        terms = (postings.groupBy("term_id", "term")
+        terms = (postings.groupBy("term")
                  .agg(F.count(F.lit(1)).alias("total_pages")))
     else:
         terms = (stats.where(keep_rare_term("term", "occurrences"))
-                 .select(term_id().alias("term_id"), "term", F.col("pages").alias("total_pages")))
+                 .select("term", F.col("pages").alias("total_pages")))
     return terms, postings
 
 
@@ -113,31 +118,30 @@ def query_scoped_index(corpus: DataFrame, vocabulary: DataFrame, stopwords=None)
     pt = materialize(page_term_counts(occ), "page-terms")
     stats = term_statistics(pt)
     kept = stats.where(keep_rare_term("term", "occurrences"))
-    terms = kept.select(term_id().alias("term_id"), "term", F.col("pages").alias("total_pages"))
+    terms = kept.select("term", F.col("pages").alias("total_pages"))
     postings = (pt.join(kept.select("term"), "term", "left_semi")
-                .select(term_id().alias("term_id"), "term", "page_id"))
+                .select("term", "page_id"))
     return terms, postings
 
 
 def refresh_document_frequency(terms: DataFrame, postings: DataFrame) -> DataFrame:
     """``total_pages`` = number of postings of the term, 0 when it has none
     (the correlated count, written as grouped count + left join)."""
-    counts = postings.groupBy("term_id").agg(F.count(F.lit(1)).alias("n"))
-    return (terms.drop("total_pages").join(counts, "term_id", "left")
-            .select("term_id", "term", F.coalesce("n", F.lit(0)).cast("bigint").alias("total_pages")))
+    counts = postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return (terms.select("term").join(counts, "term", "left")
+            .select("term", F.coalesce("n", F.lit(0)).cast("bigint").alias("total_pages")))
 
 
 def insert_terms(terms: DataFrame, new_terms: DataFrame) -> DataFrame:
     """Add unseen terms with ``total_pages = 0``; existing terms are kept."""
     fresh = (missing_from(new_terms.select("term").distinct(), terms, ["term"])
-             .select(term_id().alias("term_id"), "term", F.lit(0).cast("bigint").alias("total_pages")))
+             .select("term", F.lit(0).cast("bigint").alias("total_pages")))
     return terms.unionByName(fresh)
 
 
 def insert_postings(postings: DataFrame, new_postings: DataFrame) -> DataFrame:
-    """Add-only postings: conflicts on (term_id, page_id) are ignored."""
-    fresh = missing_from(new_postings.select("term_id", "term", "page_id")
-                         .dropDuplicates(["term_id", "page_id"]), postings, ["term_id", "page_id"])
+    """Add-only postings: conflicts on (term, page_id) are ignored."""
+    fresh = missing_from(new_postings.select("term", "page_id").distinct(), postings, ["term", "page_id"])
     return postings.unionByName(fresh)
 
 
@@ -175,7 +179,7 @@ def term_lookup(terms: DataFrame, words: DataFrame) -> DataFrame:
 def term_pages(terms: DataFrame, postings: DataFrame, corpus: DataFrame, words: DataFrame) -> DataFrame:
     """Pages of each requested term: terms ⋈ postings ⋈ pages; unknown terms
     give no rows."""
-    t = term_lookup(terms, words).select("term_id", "term")
-    return (t.join(postings.select("term_id", "page_id"), "term_id")
+    t = term_lookup(terms, words).select("term")
+    return (t.join(postings.select("term", "page_id"), "term")
             .join(corpus.select("page_id", "page_url"), "page_id")
             .select("term", "page_id", "page_url"))

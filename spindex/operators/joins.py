@@ -23,9 +23,3 @@ def existing(table: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
 def missing_from(batch: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``batch`` whose keys do not occur in ``table``."""
     return batch.join(existing(table, batch, keys), keys, "left_anti")
-
-
-def untouched(table: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``table`` whose keys do not occur in ``batch`` (the batch is
-    the build side)."""
-    return table.join(batch.select(*keys).distinct(), keys, "left_anti")

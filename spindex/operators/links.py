@@ -1,8 +1,8 @@
 """Pages, outlinks and the link graph.
 
 parse -> text/hrefs (pandas UDF, narrow) -> empty-text filter -> outlinks
-(posexplode, native filter, native/UDF resolution) -> upsert pages, insert
-stub pages, insert edges.  Page ids of new URLs are ``xxhash64(url)``.
+(posexplode, native filter, native/UDF resolution).  Storing pages, stubs and
+edges is the ingest plan's work (``plans.ingest``).
 """
 
 from __future__ import annotations
@@ -12,11 +12,6 @@ from pyspark.sql import functions as F
 
 from spindex.functions.html import parse_html
 from spindex.functions.urls import keep_outlink, resolve_outlink
-from spindex.operators.joins import missing_from, untouched
-
-
-def url_id(col="page_url"):
-    return F.xxhash64(F.col(col) if isinstance(col, str) else col)
 
 
 def parse_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -72,9 +67,8 @@ def outlink_lists(parsed: DataFrame, emit_links=None) -> DataFrame:
                     F.coalesce("outlinks", F.array().cast("array<string>")).alias("outlinks")))
 
 
-# --- upsert: pages, stubs, edges ------------------------------------------------
+# --- batches and edges ------------------------------------------------------------
 
-PAGES_TABLE_SCHEMA = "page_id BIGINT, page_url STRING, page_content STRING"
 EDGES_SCHEMA = "source_page_id BIGINT, outgoing_page_id BIGINT"
 
 
@@ -85,56 +79,6 @@ def last_per_url(records: DataFrame, seq_col: str = "seq") -> DataFrame:
     return best.select("url", *[F.col(f"r.{c}").alias(c) for c in cols])
 
 
-def upsert_pages(pages: DataFrame, batch: DataFrame, dedupe: bool = True) -> DataFrame:
-    """Insert or overwrite content by URL.
-
-    ``batch(url, text, seq)``: last record per URL wins (``dedupe=False`` when
-    the batch is already one row per URL); a URL already stored keeps its id
-    and gets the new content; a new URL gets ``xxhash64(url)``.  The stored
-    table is only scanned: untouched rows pass an anti join against the
-    batch, and ids of touched URLs come from a semi join with the batch.
-    """
-    b = batch.select(F.col("url").alias("page_url"), "text", "seq")
-    b = last_per_url(b.withColumnRenamed("page_url", "url")).withColumnRenamed("url", "page_url") \
-        if dedupe else b
-    keep = untouched(pages, b, ["page_url"])
-    ids = pages.select("page_id", "page_url").join(b.select("page_url"), "page_url", "left_semi")
-    fresh = (b.join(ids, "page_url", "left")
-             .select(F.coalesce(F.col("page_id"), url_id("page_url")).alias("page_id"), "page_url",
-                     F.col("text").alias("page_content")))
-    return keep.select("page_id", "page_url", "page_content").unionByName(fresh)
-
-
-def insert_stub_pages(pages: DataFrame, outlink_urls: DataFrame) -> DataFrame:
-    """Distinct outlink URLs not yet stored are inserted with null content;
-    existing rows (with or without content) are left as they are."""
-    targets = outlink_urls.select(F.col("outlink").alias("page_url")).distinct()
-    new = missing_from(targets, pages, ["page_url"])
-    stubs = new.select(url_id("page_url").alias("page_id"), "page_url",
-                       F.lit(None).cast("string").alias("page_content"))
-    return pages.unionByName(stubs)
-
-
-def link_edges(pages: DataFrame, links: DataFrame) -> DataFrame:
-    """Distinct ``(source_page_id, outgoing_page_id)`` for ``links(url,
-    outlink)``: pairs are de-duplicated first, then both ends are looked up
-    by URL among the ids of the batch's URLs only."""
-    pairs = links.select("url", "outlink").distinct()
-    wanted = (pairs.select(F.col("url").alias("page_url"))
-              .unionByName(pairs.select(F.col("outlink").alias("page_url"))).distinct())
-    ids = pages.select("page_id", "page_url").join(wanted, "page_url", "left_semi")
-    src = ids.select(F.col("page_id").alias("source_page_id"), F.col("page_url").alias("url"))
-    dst = ids.select(F.col("page_id").alias("outgoing_page_id"), F.col("page_url").alias("outlink"))
-    return (pairs.join(src, "url").join(dst, "outlink")
-            .select("source_page_id", "outgoing_page_id").distinct())
-
-
-def insert_edges(edges: DataFrame, new_edges: DataFrame) -> DataFrame:
-    """Add-only edges: conflicts ignored, earlier edges never removed."""
-    keys = ["source_page_id", "outgoing_page_id"]
-    return edges.unionByName(missing_from(new_edges.select(*keys).distinct(), edges, keys))
-
-
 def _neighbours(edges: DataFrame, pages: DataFrame, me: str, other: str) -> DataFrame:
     e = edges.select(F.col(me).alias("page_id"), F.col(other).alias("neighbour_id"))
     p = pages.select("page_id", "page_url")

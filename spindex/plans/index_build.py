@@ -29,7 +29,7 @@ def term_bucket(col="term", buckets: int = TERM_BUCKETS):
 @dataclass
 class SearchIndex:
     terms: DataFrame      # term_id, term, total_pages, term_bucket
-    postings: DataFrame   # term_id, term, page_id, term_bucket
+    postings: DataFrame   # term, page_id, term_bucket
     tf: DataFrame         # page_id, term, tf_count, doc_len, term_bucket (query tokenizer)
     n_pages: DataFrame    # one row: n_pages
     urls: DataFrame       # page_id, page_url
@@ -46,10 +46,12 @@ def all_term_frequencies(corpus: DataFrame) -> DataFrame:
     return x.groupBy("page_id", "term", "doc_len").agg(F.count(F.lit(1)).alias("tf_count"))
 
 
-def build_search_index(corpus: DataFrame, stopwords=None, buckets: int = TERM_BUCKETS) -> SearchIndex:
+def build_search_index(corpus: DataFrame, stopwords=None, buckets: int = TERM_BUCKETS, dictionary=None, batch: int = 0) -> SearchIndex:
     """Write the index tables; term-keyed tables are partitioned by a term
-    hash bucket so a query batch reads only the buckets of its terms."""
+    hash bucket so a query batch reads only the buckets of its terms.  Term ids
+    are those of ``dictionary`` (kept over rebuilds; a new one by default)."""
     terms, postings = ix.build_index(corpus, stopwords)
+    terms = ix.number_terms(terms, dictionary, batch)
     by, sort = ["term_bucket"], ["term"]  # row-group statistics on the term skip what a lookup does not need
     return SearchIndex(
         terms=materialize(terms.withColumn("term_bucket", term_bucket("term", buckets)), "terms", by, sort),

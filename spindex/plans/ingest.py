@@ -7,7 +7,7 @@ budget is spent) -> ids of all URLs -> contents and edges appended.
 The graph is four append-only tables (``sources.log_table``), so a batch writes
 what it brings:
 
-``urls``      ``page_id, page_url``: the dictionary.  New URLs get the next dense
+``urls``      ``id, key``: the dictionary (``operators.dictionary``).  New URLs get the next dense
               ids in URL order, after those of all batches before; no two URLs
               can meet in an id.
 ``contents``  ``page_id, page_content, batch``: of a page the newest counts.  A
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindex.operators import links as lk
+from spindex.operators.dictionary import Dictionary, new_dictionary
 from spindex.operators.joins import missing_from
 from spindex.operators.ordering import with_global_position
 from spindex.operators.responses import decode_body, good_responses
@@ -49,9 +50,13 @@ class LinkGraph:
     batch: int = 0
     last: tuple[int, int, bool] | None = None  # carried from the batch before; read from ``batches`` if not given
 
+    @property
+    def dictionary(self) -> Dictionary:
+        return new_dictionary(self.spark, "urls", f"{self.folder}/urls")
+
     @property
     def urls(self) -> LogTable:
-        return LogTable(self.spark, f"{self.folder}/urls", "page_id BIGINT, page_url STRING", "page_url")
+        return self.dictionary.log
 
     @property
     def contents(self) -> LogTable:
@@ -69,7 +74,8 @@ class LinkGraph:
     def pages(self) -> DataFrame:
         """``page_id, page_url, page_content`` (null content: a stub)."""
         texts = self.contents.current(self.batch).select("page_id", "page_content")
-        return self.urls.rows(self.batch).join(texts, "page_id", "left").select("page_id", "page_url", "page_content")
+        urls = self.urls.rows(self.batch).select(F.col("id").alias("page_id"), F.col("key").alias("page_url"))
+        return urls.join(texts, "page_id", "left").select("page_id", "page_url", "page_content")
 
     @property
     def edges(self) -> DataFrame:
@@ -101,7 +107,7 @@ def empty_graph(spark: SparkSession, folder: str | None = None) -> LinkGraph:
 def graph_of(pages: DataFrame, edges: DataFrame, folder: str | None = None) -> LinkGraph:
     """Existing tables (``page_id, page_url, page_content`` with their ids, and edges) as batch 0 of a graph."""
     g = empty_graph(pages.sparkSession, folder)
-    g.urls.append(pages, 0)
+    g.urls.append(pages.select(F.col("page_id").alias("id"), F.col("page_url").alias("key")), 0)
     g.contents.append(pages.where("page_content IS NOT NULL").withColumn("batch", F.lit(0)), 0)
     g.links.append(edges.withColumn("batch", F.lit(0)), 0)
     top = pages.agg(F.coalesce(F.max("page_id") + 1, F.lit(0)).alias("n"), F.count("page_content").alias("with_text")).first()
@@ -156,13 +162,9 @@ def ingest(graph: LinkGraph, responses: DataFrame, seq_col: str = "seq", budget:
     touched = batch.select(F.col("url").alias("page_url"), F.lit(1).alias("page")) \
         .unionByName(links.select(F.col("outlink").alias("page_url"), F.lit(0).alias("page"))) \
         .groupBy("page_url").agg(F.max("page").alias("page"))
-    known = g.urls.rows(g.batch)
-    if g.batch:
-        known = write_once(known.join(touched.select("page_url"), "page_url", "left_semi"), "ingest-known")
-    new = touched.join(known.select("page_url"), "page_url", "left_anti")
-    placed = with_global_position(new, ["page_url"], "n")
-    new = placed.select((F.col("n") + next_id).alias("page_id"), "page_url")
-    ids = known.select("page_id", "page_url").unionByName(new)
+    known, placed = g.dictionary.placed(touched.withColumnRenamed("page_url", "key"), g.batch, next_id)
+    new = placed.select(F.col("id").alias("page_id"), F.col("key").alias("page_url"))
+    ids = known.select(F.col("id").alias("page_id"), F.col("key").alias("page_url")).unionByName(new)
     texts = batch.join(ids, F.col("url") == F.col("page_url")) \
         .select("page_id", F.col("text").alias("page_content"), F.lit(g.batch).alias("batch"))
     pairs = links.join(ids.select(F.col("page_id").alias("source_page_id"), F.col("page_url").alias("url")), "url") \
@@ -174,7 +176,7 @@ def ingest(graph: LinkGraph, responses: DataFrame, seq_col: str = "seq", budget:
     elif g.batch:
         pairs = missing_from(pairs, g.edges, ["source_page_id", "outgoing_page_id"])
     pairs = pairs.withColumn("batch", F.lit(g.batch))
-    at_once(lambda: g.urls.append(new, g.batch), lambda: g.contents.append(texts, g.batch), lambda: g.links.append(pairs, g.batch))
+    at_once(lambda: g.dictionary.log.append(placed, g.batch), lambda: g.contents.append(texts, g.batch), lambda: g.links.append(pairs, g.batch))
     # counted in what was written: right also where a lost task ran twice
     n_new, stubs, stored, added = at_once(
         lambda: placed.count(), lambda: placed.where("page = 0").count(), lambda: g.contents.of_batch(g.batch).count(),
