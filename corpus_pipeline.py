@@ -51,11 +51,14 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode the texts: ``doc_id, lang, source, n_chars, n_tokens, ids`` (array of int)."""
+    """Encode the texts and decode the ids: ``doc_id, lang, source, n_chars, n_tokens, ids`` (little-endian
+    unsigned 32-bit integers), and the SHA-256 digests of the library's decoding and of the text that the
+    incremental byte-to-text machine restores."""
     prepare(spark)
-    coded = docs.withColumn("__bpe", bpe.encode_column(F.col("text"), tokenizer_path()))
+    coded = docs.withColumn("__bpe", bpe.round_trip_column(F.col("text"), tokenizer_path()))
+    digest = [F.sha2(F.col(f"__bpe.{c}").cast("binary"), 256).alias(f"{c}_sha256") for c in ("decoded", "restored")]
     return coded.select("doc_id", "lang", "source", "n_chars", F.col("__bpe.n_tokens").alias("n_tokens"),
-                        F.col("__bpe.ids").alias("ids"))
+                        F.col("__bpe.ids").alias("ids"), *digest)
 
 
 STAGES = [
