@@ -15,13 +15,19 @@ from pyspark.sql import functions as F
 
 from spindex.functions.text import query_terms
 from spindex.operators import index as ix
-from spindex.session import materialize
+from spindex.session import at_once, materialize
 
 
-TERM_BUCKETS = 64
+ROWS_PER_BUCKET = 2_000_000  # postings of a term bucket, about
+MOST_BUCKETS = 4096
 
 
-def term_bucket(col="term", buckets: int = TERM_BUCKETS):
+def bucket_count(postings: int) -> int:
+    """Term buckets of an index with so many postings: a query reads those of its terms alone."""
+    return max(16, min(MOST_BUCKETS, -(-postings // ROWS_PER_BUCKET)))
+
+
+def term_bucket(col, buckets: int):
     """Partition key of the stored index: a hash bucket of the term."""
     return F.pmod(F.xxhash64(F.col(col) if isinstance(col, str) else col), F.lit(buckets)).cast("int")
 
@@ -33,7 +39,7 @@ class SearchIndex:
     tf: DataFrame         # page_id, term, tf_count, doc_len, term_bucket (query tokenizer)
     n_pages: DataFrame    # one row: n_pages
     urls: DataFrame       # page_id, page_url
-    buckets: int = TERM_BUCKETS
+    buckets: int
 
 
 def all_term_frequencies(corpus: DataFrame) -> DataFrame:
@@ -46,19 +52,18 @@ def all_term_frequencies(corpus: DataFrame) -> DataFrame:
     return x.groupBy("page_id", "term", "doc_len").agg(F.count(F.lit(1)).alias("tf_count"))
 
 
-def build_search_index(corpus: DataFrame, stopwords=None, buckets: int = TERM_BUCKETS, dictionary=None, batch: int = 0) -> SearchIndex:
+def build_search_index(corpus: DataFrame, stopwords=None, buckets: int | None = None, dictionary=None, batch: int = 0) -> SearchIndex:
     """Write the index tables; term-keyed tables are partitioned by a term
-    hash bucket so a query batch reads only the buckets of its terms.  Term ids
-    are those of ``dictionary`` (kept over rebuilds; a new one by default)."""
+    hash bucket (their number follows the postings') so a query batch reads only
+    the buckets of its terms.  Term ids are those of ``dictionary`` (kept over
+    rebuilds; a new one by default)."""
     terms, postings = ix.build_index(corpus, stopwords)
     terms = ix.number_terms(terms, dictionary, batch)
-    by, sort = ["term_bucket"], ["term"]  # row-group statistics on the term skip what a lookup does not need
-    return SearchIndex(
-        terms=materialize(terms.withColumn("term_bucket", term_bucket("term", buckets)), "terms", by, sort),
-        postings=materialize(postings.withColumn("term_bucket", term_bucket("term", buckets)), "postings", by, sort),
-        tf=materialize(all_term_frequencies(corpus).withColumn("term_bucket", term_bucket("term", buckets)),
-                       "tf", by, sort),
-        n_pages=materialize(ix.page_count(corpus), "n-pages"),
-        urls=materialize(corpus.select("page_id", "page_url"), "urls"),
-        buckets=buckets,
-    )
+    buckets = buckets or bucket_count(postings.count())
+
+    def by_term(df: DataFrame, name: str):  # row-group statistics on the term skip what a lookup does not need
+        return lambda: materialize(df.withColumn("term_bucket", term_bucket("term", buckets)), name, ["term_bucket"], ["term"])
+
+    tables = at_once(by_term(terms, "terms"), by_term(postings, "postings"), by_term(all_term_frequencies(corpus), "tf"),
+                     lambda: materialize(ix.page_count(corpus), "n-pages"), lambda: materialize(corpus.select("page_id", "page_url"), "urls"))
+    return SearchIndex(*tables, buckets)

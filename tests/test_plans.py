@@ -85,3 +85,8 @@ def test_stored_index_prunes_term_buckets(spark):
     # postings and term frequencies are read only in the batch's buckets
     assert plan.count("PartitionFilters: [term_bucket") >= 2
     assert out.count() <= 5
+
+
+def test_buckets_follow_the_postings():
+    from spindex.plans.index_build import MOST_BUCKETS, bucket_count
+    assert [bucket_count(n) for n in (0, 10 ** 6, 10 ** 8, 10 ** 13)] == [16, 16, 50, MOST_BUCKETS]
