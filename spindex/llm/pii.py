@@ -5,16 +5,18 @@ entities.  What stands in front of an entity - its last one and two words with
 the punctuation that leads to it - is a lexical pattern.  Other
 identifier-like strings (with ``MIN_DIGITS`` digits at least) are open
 instances.  Over the graph of patterns and instances, gathered from all texts,
-Spark scores in ``ROUNDS`` rounds
+Spark scores in rounds, until nothing changes or ``ROUNDS`` have passed,
 
     pattern, kind:         sum of the kind's instance scores / (distinct instances + 1)
     open instance, kind:   the best score of its patterns in the round before
 
 where seeds keep score 1, and an open instance starts with ``PRIOR`` for each kind
 whose shape it has (``SHAPES``) and keeps 0 for the others.  So what looks like the
-kind is no evidence against a pattern, unless seeds are few beside it.  A pattern is
-accepted with a score of ``MIN_SCORE`` and ``MIN_SUPPORT`` seeds.  Open instances behind an
-accepted pattern become entities of its kind, beside the base ones.
+kind is no evidence against a pattern, unless entities are few beside it.  A pattern is
+accepted with a score of ``MIN_SCORE`` and a support of ``MIN_SUPPORT``, the summed scores
+of the entities behind it.  Open instances behind an accepted pattern become entities of
+its kind, beside the base ones, and support further patterns with their scores: the
+bootstrap goes on from identifier to pattern to identifier.
 
 Texts are read once; what leaves that pass is a few identifiers per text, and
 a frequent pattern is summed up before the shuffle.
@@ -38,7 +40,7 @@ KINDS = ("email", "ip", "card", "phone")
 MIN_DIGITS = 4
 MIN_LENGTH = 6
 MAX_LENGTH = 64
-ROUNDS = 3
+ROUNDS = 10
 MIN_SCORE = 0.8
 MIN_SUPPORT = 5.0
 PRIOR = 0.5
@@ -158,26 +160,38 @@ def accepted_patterns(seen: DataFrame, rounds: int = ROUNDS, min_score: float =
     seeds = edges.where("kind IS NOT NULL").groupBy("instance").agg(F.max("kind").alias("kind")) \
         .withColumn("score", F.lit(1.0))
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-    support = edges.select("pattern", "instance").join(seeds, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("support"))
-    support = materialize(support.join(sizes, "pattern"), "pii-support")
     digits = F.length(F.regexp_replace("instance", "[^0-9]", ""))
     kinds = F.array(*[F.when(F.col("instance").rlike(e) & digits.between(low, high), F.lit(k)) for k, (e, low, high) in enumerate(SHAPES)])
-    # only patterns with seeds of a kind can be scored for it
-    shaped = edges.join(seeds.select("instance"), "instance", "left_anti").select("pattern", "instance", F.explode(kinds).alias("kind"))
-    shaped = materialize(shaped.join(support.select("pattern", "kind"), ["pattern", "kind"]), "pii-open")
-    scored = None
+    shaped = edges.join(seeds.select("instance"), "instance", "left_anti").select("pattern", "instance", F.explode(kinds).alias("kind")) \
+        .where("kind IS NOT NULL")
+    shaped = materialize(shaped, "pii-open")
+    entities, scored, last = seeds, None, None
     for _ in range(rounds):
-        if scored is None:
-            likely = shaped.withColumn("score", F.lit(PRIOR))
-        else:
+        # entities (seeds, and what accepted patterns have found) support the patterns they stand behind;
+        # only patterns with an entity of a kind can be scored for it
+        support = edges.select("pattern", "instance").join(entities, "instance").groupBy("pattern", "kind") \
+            .agg(F.sum("score").alias("support")).join(sizes, "pattern")
+        # open instances that are no entities yet count by their best pattern of the round before, else by their shape
+        likely = shaped.join(entities.select("instance", "kind"), ["instance", "kind"], "left_anti")
+        if scored is not None:
             found = shaped.join(scored.select("pattern", "kind", "score"), ["pattern", "kind"]).groupBy("instance", "kind").agg(F.max("score").alias("score"))
-            likely = shaped.join(found, ["instance", "kind"])
-        likely = likely.groupBy("pattern", "kind").agg(F.sum("score").alias("more"))
-        scored = support.join(likely, ["pattern", "kind"], "left") \
+            likely = likely.join(found, ["instance", "kind"], "left")
+        else:
+            likely = likely.withColumn("score", F.lit(PRIOR))
+        more = likely.groupBy("pattern", "kind").agg(F.sum(F.coalesce("score", F.lit(PRIOR))).alias("more"))
+        scored = support.join(more, ["pattern", "kind"], "left") \
             .withColumn("score", (F.col("support") + F.coalesce("more", F.lit(0.0))) / (F.col("n") + 1)).drop("more")
         scored = materialize(scored, "pii-patterns")
-    best = scored.where((F.col("score") >= min_score) & (F.col("support") >= min_support)) \
-        .groupBy("pattern").agg(F.expr("max(struct(score, -kind)) AS top")) \
+        good = scored.where((F.col("score") >= min_score) & (F.col("support") >= min_support))
+        now = tuple(scored.agg(F.count("*"), F.round(F.sum("score"), 3), F.count_if((F.col("score") >= min_score) & (F.col("support") >= min_support))).first())
+        if now == last:
+            break
+        last = now
+        discovered = shaped.join(good.select("pattern", "kind", "score"), ["pattern", "kind"]) \
+            .groupBy("instance").agg(F.expr("max(struct(score, -kind)) AS top")) \
+            .select("instance", (-F.col("top.col2")).cast("int").alias("kind"), "top.score")
+        entities = materialize(seeds.unionByName(discovered), "pii-entities")
+    best = good.groupBy("pattern").agg(F.expr("max(struct(score, -kind)) AS top")) \
         .select("pattern", (-F.col("top.col2")).cast("int").alias("kind"), "top.score")
     best = materialize(best, "pii-patterns")
     return best
