@@ -8,8 +8,9 @@ pre-token is therefore read through a window of ``window`` bytes plus that
 lookahead; tokens that end before the lookahead zone are stable and emitted,
 and reading goes on at the last emitted boundary (no merge crosses it, so the
 rest encodes alike on its own).  Memory per pre-token is constant however long
-it is.  The windows of one Arrow batch advance together in numpy arrays, one
-merge step for all of them at a time.
+it is.  Pre-tokens that fit a lookahead are merged together in numpy arrays, one
+merge step for all of an Arrow batch at a time; the windows of longer ones are
+merged by a heap of pairs, in time about linear in their bytes.
 
 Decoding maps ids back to byte-level tokens; ``RestoreText`` is the incremental
 byte-to-text machine (a UTF-8 state machine fed token by token, holding back an
@@ -23,6 +24,7 @@ columns are kept, the result columns are appended under the names asked for.
 from __future__ import annotations
 
 import codecs
+import heapq
 import json
 import re
 import unicodedata
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW = 64            # bytes of a pre-token settled per step, beside the lookahead
+WINDOW = 16_384        # bytes of a long pre-token settled per step, beside the lookahead
 CACHE_CHUNKS = 150_000  # chunks remembered per worker before the memory is emptied
 _NONE = np.uint32(0xFFFFFFFF)
 
@@ -129,6 +131,8 @@ class WordBpe:
             raise ValueError("a vocabulary of more than 65,536 ids is not supported")
         self.pairs = PairTable(keys, np.arange(len(merges), dtype=np.uint32))
         self.product = np.array([self.vocab[a + b] for a, b in merges], np.uint32)
+        self.ranks = {key: rank for rank, key in enumerate(keys.tolist())}
+        self.products = self.product.tolist()
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max([*self.vocab.values(), *self.added.values()]) + 1
         self.width = np.zeros(size, np.int64)
@@ -214,41 +218,75 @@ class WordBpe:
         return sym[order], np.r_[0, np.cumsum(np.bincount(piece, minlength=n))]
 
     def encode_words(self, words: list[str], window: int = WINDOW) -> list[bytes]:
-        """Ids (little-endian unsigned 32-bit) of each pre-token, windows settled in rounds."""
+        """Ids (little-endian unsigned 32-bit) of each pre-token; long ones window by window."""
         raw = [w.encode() for w in words]
-        reach = window + self.lookahead
-        size = np.fromiter(map(len, raw), np.int64, len(raw))
-        whole = size <= reach
-        if whole.all():
-            return self._settle(raw, size, whole)[0]
-        out, pos = [b""] * len(raw), [0] * len(raw)
-        todo = list(range(len(raw)))
-        while todo:
-            bufs = [raw[i][pos[i]:pos[i] + reach] for i in todo]
-            whole = np.fromiter((pos[i] + reach >= len(raw[i]) for i in todo), bool, len(todo))
-            data, used = self._settle(bufs, np.fromiter(map(len, bufs), np.int64, len(bufs)), whole, window)
-            for i, ids, n in zip(todo, data, used):
-                out[i] += ids
-                pos[i] += n
-            todo = [i for i, w in zip(todo, whole) if not w]
+        short = [i for i, x in enumerate(raw) if len(x) <= 64 + self.lookahead]
+        out = [b""] * len(raw)
+        if short:
+            for i, ids in zip(short, self._settle([raw[i] for i in short])):
+                out[i] = ids
+        if len(short) < len(raw):
+            chosen = set(short)
+            for i, x in enumerate(raw):
+                if i not in chosen:
+                    out[i] = self._stream(x, window)
         return out
 
-    def _settle(self, bufs, size, whole, window: int = WINDOW) -> tuple[list[bytes], list[int]]:
-        """Ids of the stable tokens of each buffer, and the bytes they cover."""
+    def _settle(self, bufs: list[bytes]) -> list[bytes]:
+        """Ids of whole pre-tokens."""
         flat = np.frombuffer(b"".join(bufs), np.uint8)
-        start = np.r_[0, np.cumsum(size)]
+        start = np.r_[0, np.cumsum(np.fromiter(map(len, bufs), np.int64, len(bufs)))]
         sym = self.inner[flat]
-        ends = start[1:][whole] - 1
-        sym[ends] = self.final[flat[ends]]
+        sym[start[1:] - 1] = self.final[flat[start[1:] - 1]]
         sym, at = self._merge(sym, start)
-        at, used = at.tolist(), size.tolist()
-        stop = at[1:]
-        for j in np.flatnonzero(~whole).tolist():  # emit what ends before the lookahead zone
-            end = np.cumsum(self.width[sym[at[j]:at[j + 1]]])
+        data, at = sym.tobytes(), at.tolist()
+        return [data[4 * a:4 * b] for a, b in zip(at, at[1:])]
+
+    def _stream(self, raw: bytes, window: int) -> bytes:
+        """Ids of one long pre-token: what ends before the lookahead zone of a window is stable."""
+        parts, pos = [], 0
+        while True:
+            buf = np.frombuffer(raw, np.uint8, min(len(raw) - pos, window + self.lookahead), pos)
+            sym = self.inner[buf]
+            last = pos + len(buf) == len(raw)
+            if last:
+                sym[-1] = self.final[buf[-1]]
+            ids = self._merge_heap(sym.tolist())
+            if last:
+                return b"".join([*parts, ids.tobytes()])
+            end = np.cumsum(self.width[ids])
             n = int(np.searchsorted(end, max(window, int(end[0])), "right"))
-            stop[j], used[j] = at[j] + n, int(end[n - 1])
-        data = sym.tobytes()
-        return [data[4 * a:4 * b] for a, b in zip(at, stop)], used
+            parts.append(ids[:n].tobytes())
+            pos += int(end[n - 1])
+
+    def _merge_heap(self, sym: list[int]) -> np.ndarray:
+        """Merge one piece to the end: the pair of least rank first, of equal ones the leftmost."""
+        ranks, product = self.ranks, self.products
+        after, before = list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
+        heap = []
+        for i in range(len(sym) - 1):
+            rank = ranks.get((sym[i] << 16) | sym[i + 1])
+            if rank is not None:
+                heap.append((rank, i))
+        heapq.heapify(heap)
+        n = len(sym)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i] if sym[i] >= 0 else n
+            if j >= n or ranks.get((sym[i] << 16) | sym[j]) != rank:
+                continue  # one of the pair was merged meanwhile
+            sym[i], sym[j] = product[rank], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                found = ranks.get((sym[i] << 16) | sym[k])
+                if found is not None:
+                    heapq.heappush(heap, (found, i))
+            if before[i] >= 0:
+                found = ranks.get((sym[before[i]] << 16) | sym[i])
+                if found is not None:
+                    heapq.heappush(heap, (found, before[i]))
+        return np.array([x for x in sym if x >= 0], np.uint32)
 
     def _encode_plain(self, texts: list[str]) -> list[bytes]:
         lists = [self.chunks(t) for t in texts]
