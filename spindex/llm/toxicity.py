@@ -285,12 +285,20 @@ def fit_regression(rows: list[np.ndarray], labels: np.ndarray, share: float, ste
 
 def fit(docs: DataFrame, labels: DataFrame, model: CharModel, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic", max_per_class: int = MAX_PER_CLASS) -> Classifier:
-    """Fit on a bounded, hash-ordered sample of the labelled documents."""
+    """Fit on a bounded sample of the labelled documents: of each class those with the smallest hashes.
+
+    A bound on the hash, from the class's size, leaves about half as many rows again as are wanted
+    before any is ranked, so no task gets a class.
+    """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()) \
         .groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("y"))
     shares = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    few = F.lit(False)
+    for y, n in shares.items():
+        most = min(int((1.5 * (max_per_class + 100) / n * 2 - 1) * (1 << 63)), (1 << 63) - 1)
+        few = few | ((F.col("y") == y) & (F.xxhash64("__id") <= F.lit(most)))
     rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("__id"), "__id"))
-    chosen = known.withColumn("r", rank).where(F.col("r") <= max_per_class)
+    chosen = known.where(few).withColumn("r", rank).where(F.col("r") <= max_per_class)
     chosen = materialize(chosen.select("__id", "y"), "toxicity-sample")  # its known size lets the join leave the texts where they are
     text = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(chosen, "__id")
     numbers = _features_column(restored_column(model, docs.sparkSession, F.col("__text")))
