@@ -95,12 +95,18 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
                     break
         if found:
             at, c = np.concatenate(found), np.concatenate(cosines)
-            # keep ties with the k-th (rounding apart): the merge orders them by id
+            # keep ties with the k-th (rounding apart), of copies of one vector the k smallest ids: the rest is
+            # ordered by its exact cosines
             bar = np.partition(c, len(c) - k)[len(c) - k] - 1e-9 if len(c) > k else -2.0
-            keep = np.flatnonzero(c >= bar)
-            keep = keep[np.lexsort((ids[at[keep]], -np.round(c[keep], 12)))][:k + 16] if len(keep) > k + 16 else keep
-            for j in keep:
-                out.append((q, int(at[j]), _cosine(vectors[at[j]], queries[q])))
+            keep = at[c >= bar]
+            if len(keep) > 2 * k:
+                same = np.unique(vectors[keep], axis=0, return_inverse=True)[1].ravel()
+                order = np.lexsort((ids[keep], same))
+                run = np.r_[True, np.diff(same[order]) != 0]
+                nth = np.arange(len(order)) - np.maximum.accumulate(np.where(run, np.arange(len(order)), 0))
+                keep = keep[order[nth < k]]
+            exact = sorted((-_cosine(vectors[j], queries[q]), ids[j], j) for j in keep.tolist())
+            out += [(q, j, -c) for c, _, j in exact[:k]]
     return out
 
 

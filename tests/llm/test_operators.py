@@ -297,6 +297,17 @@ def test_nearest_edge_cases(sp):
     assert ann.search(df.where("false"), df).count() == 0
 
 
+def test_near_ties_are_ordered_by_exact_cosines():
+    rng = np.random.default_rng(3)
+    q = rng.normal(size=8)
+    near = [q + 1e-13 * rng.normal(size=8) for _ in range(60)]  # apart by less than the rounding of the search
+    vectors = np.array(near + [q * 3] * 200 + list(rng.normal(size=(100, 8))))
+    ids = rng.permutation(len(vectors)) + 10
+    got = ann.search_block(np.array([0]), q[None, :], ids, vectors, 5)
+    want = sorted((-ann._cosine(v, q), i) for v, i in zip(vectors, ids.tolist()))[:5]
+    assert [(-c, ids[j]) for _, j, c in got] == want
+
+
 # --- 5 BPE ------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
