@@ -507,7 +507,7 @@ AS_OF = "2024-01-01 00:03:20"
 
 
 def robots_table(spark, sf_dir):
-    from spindex.operators.politeness import robots_rules as rr
+    from spindex.operators.robots import robots_rules as rr
     from spindex.sources.robots import robots_responses
     return rr(robots_responses(tb.read_pages(spark, sf_dir).select("url")))
 

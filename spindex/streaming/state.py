@@ -1,64 +1,15 @@
-"""Versioned table snapshots for ``foreachBatch`` merges.
-
-Plain Parquet cannot update in place, so each micro-batch writes the next
-version of its state to ``<state>/<table>/v=<epoch>`` and reads version
-``epoch - 1``.  A micro-batch that is replayed after a failure (same epoch
-id) reads the same input version and overwrites the same output version,
-so the merge is idempotent.  Paths live under the cluster's checkpoint
-folder and are resolved with the Hadoop FileSystem API, so they work on any
-shared store.
-"""
+"""Folders for stream state, under the cluster's checkpoint folder."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from spindex.session import ensure_checkpoint_dir
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder on shared storage."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(p))
-
-
-def version_path(state_dir: str, table: str, epoch: int) -> str:
-    return f"{state_dir}/{table}/v={epoch}"
-
-
-def read_version(spark: SparkSession, state_dir: str, table: str, epoch: int,
-                 empty: DataFrame) -> DataFrame:
-    """Version ``epoch`` of a table; only before the first one (``epoch < 0``) is it empty."""
-    if epoch < 0:
-        return empty
-    path = version_path(state_dir, table, epoch)
-    if not path_exists(spark, f"{path}/_SUCCESS"):
-        raise FileNotFoundError(f"state version {path} is missing or was never committed")
-    return spark.read.schema(empty.schema).parquet(path)
-
-
-def write_version(df: DataFrame, state_dir: str, table: str, epoch: int) -> None:
-    df.write.mode("overwrite").parquet(version_path(state_dir, table, epoch))
-
-
-def latest_epoch(spark: SparkSession, state_dir: str, table: str) -> int:
-    """Highest committed version (``-1`` when none)."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(f"{state_dir}/{table}")
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return -1
-    best = -1
-    for st in fs.listStatus(root):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            best = max(best, int(name[2:]))
-    return best

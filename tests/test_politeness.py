@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindex.operators import politeness as po
+from spindex.operators import robots as ro
 from spindex.operators.responses import response_is_good
 
 LIMIT = 3 * 1024 * 1024
@@ -43,7 +44,7 @@ def test_robots_parse_and_verdicts(spark):
     import urllib.robotparser
     rows = [(k, ok, t, dt.datetime(2024, 1, 1)) for k, (ok, t) in ROBOTS.items()]
     robots = spark.createDataFrame(rows, "host_key STRING, ok BOOLEAN, text STRING, fetched_at TIMESTAMP")
-    rules = {r["host_key"]: r for r in po.robots_rules(robots).collect()}
+    rules = {r["host_key"]: r for r in ro.robots_rules(robots).collect()}
     assert rules["fail"]["robots"] is None
     assert rules["empty"]["robots"]["rate_limit"] == 0.0 and list(rules["empty"]["robots"]["rules"]) == []
     assert rules["first"]["robots"]["rate_limit"] == 5.0
