@@ -844,7 +844,7 @@ def seen_generations(spark, sf_dir):
     links = lk.resolved_outlinks(pages_parsed(spark, sf_dir))
     found = write_once(links.select(F.col("outlink").alias("url"), "page_id"), "discovered-urls")
     capacity = max(1, found.select("url").distinct().count() // 10)
-    rounds = [found.where(F.pmod(F.xxhash64("page_id"), F.lit(8)) == k).select("url") for k in range(8)]
+    rounds = [found.where(F.pmod("page_id", F.lit(8)) == k).select("url") for k in range(8)]
     src, out = scratch_dir(spark, "discovered"), scratch_dir(spark, "generations")
     for k, rows in enumerate(rounds):
         rows.write.parquet(f"{src}/{k}")

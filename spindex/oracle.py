@@ -693,6 +693,30 @@ terms AS (SELECT term, count(*) AS total_pages FROM postings GROUP BY term), {BE
 {score_ctes('docs', 'postings')}
 {_top_k(20)}"""
 
+def _generations(rounds: int = 8, keep: int = 3) -> str:
+    """A round at a time: s the open generation, e what is given out, n how much, seen and sizes all so far."""
+    steps = []
+    for k in range(rounds):
+        if k == 0:
+            steps.append("s0 AS (SELECT 0 AS g)")
+            known = "(SELECT NULL AS url WHERE false)"
+        else:
+            steps.append(f"s{k} AS (SELECT CASE WHEN sum(n) >= (SELECT c FROM cap) THEN g + 1 ELSE g END AS g FROM sizes{k - 1} "
+                         f"WHERE g = (SELECT max(g) FROM sizes{k - 1}) GROUP BY g)")
+            known = f"(SELECT url FROM seen{k - 1} WHERE g > (SELECT g FROM s{k}) - {keep})"
+        steps.append(f"e{k} AS MATERIALIZED (SELECT DISTINCT f.url, s.g FROM found f, s{k} s WHERE f.k = {k} AND f.url NOT IN {known})")
+        steps.append(f"n{k} AS (SELECT s.g, (SELECT count(*) FROM e{k}) AS n FROM s{k} s)")
+        for all_, one in (("seen", "e"), ("sizes", "n")):
+            steps.append(f"{all_}{k} AS MATERIALIZED (SELECT * FROM {one}{k}" + (f" UNION ALL SELECT * FROM {all_}{k - 1})" if k else ")"))
+    return f"""WITH {PTEXT}, nonempty AS (SELECT * FROM ptext WHERE length(text) > 0),
+found AS MATERIALIZED (SELECT outlink AS url, page_id % {rounds} AS k FROM ({outlinks('nonempty')})),
+cap AS (SELECT greatest(1, count(DISTINCT url) // 10) AS c FROM found),
+{", ".join(steps)}
+SELECT url, count(*) AS times FROM seen{rounds - 1} GROUP BY url"""
+
+
+SQL["seen_generations"] = _generations()
+
 SQL["search_indexed"] = SQL["search_documents"]
 SQL["search_pruned"] = SQL["search_documents"]
 
