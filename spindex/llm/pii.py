@@ -5,7 +5,7 @@ entities.  What stands in front of an entity - its last one and two words with
 the punctuation that leads to it - is a lexical pattern.  Other
 identifier-like strings (with ``MIN_DIGITS`` digits at least) are open
 instances.  Over the graph of patterns and instances, gathered from all texts,
-Spark scores in rounds, until nothing changes or ``ROUNDS`` have passed,
+Spark scores in rounds, until hardly anything changes or ``ROUNDS`` have passed,
 
     pattern, kind:         sum of the kind's instance scores / (distinct instances + 1)
     open instance, kind:   the best score of its patterns in the round before
@@ -40,7 +40,8 @@ KINDS = ("email", "ip", "card", "phone")
 MIN_DIGITS = 4
 MIN_LENGTH = 6
 MAX_LENGTH = 64
-ROUNDS = 10
+ROUNDS = 6
+SETTLED = 0.005  # the relative change of all scores below which no further round is made
 MIN_SCORE = 0.8
 MIN_SUPPORT = 5.0
 PRIOR = 0.5
@@ -183,8 +184,9 @@ def accepted_patterns(seen: DataFrame, rounds: int = ROUNDS, min_score: float =
             .withColumn("score", (F.col("support") + F.coalesce("more", F.lit(0.0))) / (F.col("n") + 1)).drop("more")
         scored = materialize(scored, "pii-patterns")
         good = scored.where((F.col("score") >= min_score) & (F.col("support") >= min_support))
-        now = tuple(scored.agg(F.count("*"), F.round(F.sum("score"), 3), F.count_if((F.col("score") >= min_score) & (F.col("support") >= min_support))).first())
-        if now == last:
+        now = scored.agg(F.count("*"), F.count_if((F.col("score") >= min_score) & (F.col("support") >= min_support)),
+                         F.coalesce(F.sum("score"), F.lit(0.0))).first()
+        if last is not None and now[:2] == last[:2] and abs(now[2] - last[2]) <= SETTLED * last[2]:
             break
         last = now
         discovered = shaped.join(good.select("pattern", "kind", "score"), ["pattern", "kind"]) \
