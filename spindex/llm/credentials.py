@@ -16,7 +16,8 @@ i are those of pieces 0..i and matches 0..i-1.
 
 Defined cases: null text is empty; repeated rows each get their spans (rows are
 numbered, ids are not trusted); weak candidates that overlap a strong part, or
-an earlier kind of weak candidate, are dropped.
+an earlier kind of weak candidate, are dropped; texts with very many parts are
+compared bin by bin, too.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from spindex.session import materialize
 STRONG = ("assign", "access", "hex")
 WEAK = ("user", "key", "endpoint")
 KINDS = STRONG + WEAK
+PART = ("__row", "start", "kind", "end")
 SCOPE = 200
 
 # Group 1 of assign is the name, group 2 the value.
@@ -69,8 +71,16 @@ def _find(df: DataFrame, out: str, pattern: str, kind: int, keep: str | None = N
     return df.withColumn(out, F.expr(f"IF(size(__hits) > 0, {spans}, {empty})")).drop("__hits", "__pieces")
 
 
-def _apart(spans: str, others: str) -> str:
-    return f"filter({spans}, w -> NOT exists({others}, o -> o.start < w.end AND w.start < o.end))"
+def _cells(parts: DataFrame, size: int, reach: int = 0) -> DataFrame:
+    """``parts`` once per bin of ``size`` code points that they cover, or come within ``reach`` of."""
+    return parts.withColumn("bin", F.expr(f"explode(sequence(CAST(floor((start - {reach}) / {size}) AS INT), CAST(floor((end - 1 + {reach}) / {size}) AS INT)))"))
+
+
+def _without_overlaps(weak: DataFrame, others: DataFrame, size: int) -> DataFrame:
+    """Parts of ``weak`` that overlap none of ``others``: only parts that share a bin of a text are compared."""
+    met = _cells(weak, size).alias("w").join(_cells(others, size).alias("o"), F.expr(
+        "w.`__row` = o.`__row` AND w.bin = o.bin AND o.start < w.end AND w.start < o.end"), "left_semi")
+    return weak.join(met.select("__row", "start", "kind").distinct(), ["__row", "start", "kind"], "left_anti").select(*PART)
 
 
 def find(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, scope: int = SCOPE) -> DataFrame:
@@ -88,21 +98,18 @@ def find(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None,
     # a key is reported beside an identifier or an endpoint only: elsewhere it need not be looked for
     df = _find(df, "__key", KEY, 4, gate="(size(__access) + size(__user) + size(__endpoint) > 0)")
     df = df.withColumn("__base", F.sort_array(F.concat("__assign", "__access", "__hex")))
-    df = df.withColumn("__user", F.expr(_apart("__user", "__base")))
-    df = df.withColumn("__key", F.expr(_apart("__key", "concat(__base, __user)")))
-    df = df.withColumn("__endpoint", F.expr(_apart("__endpoint", "concat(__base, __user, __key)")))
-    df = df.withColumn("__weak", F.concat("__user", "__key", "__endpoint"))
-    read = df.select(*keep, "__base", "__weak").withColumn("__row", F.monotonically_increasing_id())
+    read = df.select(*keep, "__base", "__user", "__key", "__endpoint").withColumn("__row", F.monotonically_increasing_id())
     read = materialize(read, "secret-parts")
 
-    parts = read.where("size(__weak) > 0").select("__row", F.explode(F.concat("__base", "__weak")).alias("p")).select("__row", "p.*")
-    def binned(reach: int) -> DataFrame:
-        bins = f"explode(sequence(CAST(floor((start - {reach}) / {scope}) AS INT), CAST(floor((end - 1 + {reach}) / {scope}) AS INT)))"
-        return parts.withColumn("bin", F.expr(bins))
-
+    some = read.where("size(__user) + size(__key) + size(__endpoint) > 0")
+    base, user, key, endpoint = (some.select("__row", F.explode(c).alias("p")).select("__row", "p.start", "p.kind", "p.end")
+                                 for c in ("__base", "__user", "__key", "__endpoint"))
+    taken = materialize(base.unionByName(_without_overlaps(user, base, scope)), "secret-taken")
+    taken = materialize(taken.unionByName(_without_overlaps(key, taken, scope)), "secret-taken")
+    parts = materialize(taken.unionByName(_without_overlaps(endpoint, taken, scope)), "secret-taken")
     # a weak part is in the bins it covers, the others also in those within reach
-    met = binned(0).where("kind >= 3").alias("w").join(
-        binned(scope).alias("o"),
+    met = _cells(parts.where("kind >= 3"), scope).alias("w").join(
+        _cells(parts, scope, scope).alias("o"),
         F.expr(f"w.`__row` = o.`__row` AND w.bin = o.bin AND NOT (w.start = o.start AND w.kind = o.kind) "
                f"AND greatest(w.start, o.start) - least(w.end, o.end) <= {scope}"))
     linked = met.groupBy("w.__row", "w.start", "w.kind", "w.end").agg(

@@ -516,6 +516,15 @@ def test_weak_candidates_need_complementary_parts(sp):
     assert credentials.find(docs.where("false"), keep=["doc_id"]).count() == 0
 
 
+def test_secrets_of_a_text_of_many(sp):
+    line = "user: bob12 at https://db.example.com/x password=hunter22 Qm7x2TnV0pLr8KsW4yBd6HgJ1cUe\n"
+    one = credentials.find(frame(sp, [line])).first()
+    for n in (2, 3000):
+        got = credentials.find(frame(sp, [line * n, None, line])).orderBy("doc_id").first()
+        want = sorted((k * len(line) + s["start"], s["kind"], k * len(line) + s["end"]) for k in range(n) for s in one["spans"])
+        assert [(s["start"], s["kind"], s["end"]) for s in got["spans"]] == want and len(got["base"]) == n * len(one["base"])
+
+
 # --- 9 token counts ---------------------------------------------------------------
 
 @pytest.mark.parametrize("block", [1, 3, 7, 1000])
