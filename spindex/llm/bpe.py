@@ -24,6 +24,7 @@ columns are kept, the result columns are appended under the names asked for.
 from __future__ import annotations
 
 import codecs
+import hashlib
 import heapq
 import json
 import re
@@ -392,6 +393,21 @@ def round_trip_column(text: Column, path: str) -> Column:
     return coded(text)
 
 
+def round_trip_digests(text: Column, path: str) -> Column:
+    """A struct column ``(ids, n_tokens, decoded_sha256, restored_sha256)``: the decoded texts stay in the worker."""
+
+    @F.arrow_udf("struct<ids:binary,n_tokens:bigint,decoded_sha256:string,restored_sha256:string>")
+    def coded(texts: pa.Array) -> pa.Array:
+        m = model(path)
+        ids = m.encode(texts.to_pylist())
+        nums = [np.frombuffer(x, "<u4") for x in ids]
+        digests = [pa.array([hashlib.sha256(f(x).encode()).hexdigest() for x in nums], pa.string()) for f in (m.decode, m.restore)]
+        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array([len(x) for x in nums], pa.int64()), *digests],
+                                          ["ids", "n_tokens", "decoded_sha256", "restored_sha256"])
+
+    return coded(text)
+
+
 def encode_decode(df: DataFrame, path: str, text_col: str = "text", out: str = "bpe") -> DataFrame:
     """``df`` with a struct column ``out`` of ids, count, library decode and restored text."""
     return df.withColumn(out, round_trip_column(F.col(text_col), path))
