@@ -55,10 +55,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     unsigned 32-bit integers), and the SHA-256 digests of the library's decoding and of the text that the
     incremental byte-to-text machine restores."""
     prepare(spark)
-    coded = docs.withColumn("__bpe", bpe.round_trip_column(F.col("text"), tokenizer_path()))
-    digest = [F.sha2(F.col(f"__bpe.{c}").cast("binary"), 256).alias(f"{c}_sha256") for c in ("decoded", "restored")]
-    return coded.select("doc_id", "lang", "source", "n_chars", F.col("__bpe.n_tokens").alias("n_tokens"),
-                        F.col("__bpe.ids").alias("ids"), *digest)
+    coded = docs.withColumn("__bpe", bpe.round_trip_digests(F.col("text"), tokenizer_path()))
+    return coded.select("doc_id", "lang", "source", "n_chars", "__bpe.n_tokens", "__bpe.ids", "__bpe.decoded_sha256", "__bpe.restored_sha256")
 
 
 STAGES = [
