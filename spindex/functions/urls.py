@@ -3,7 +3,7 @@
 Outlink filter and resolution, query-string canonicalisation, host keys,
 registrable domains and robots URLs.  All native except ``urljoin`` for
 links that are neither empty, absolute https, nor plain root-relative: those
-go through an Arrow-batched pandas UDF so the result equals the standard
+go through an Arrow-batched UDF so the result equals the standard
 library's ``urljoin`` exactly.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,15 +50,15 @@ def keep_outlink(href) -> Column:
     return ok
 
 
-@F.pandas_udf(T.StringType())
-def _urljoin_udf(base: pd.Series, link: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def _urljoin_udf(base: pa.Array, link: pa.Array) -> pa.Array:
     out = []
-    for b, u in zip(base, link):
+    for b, u in zip(base.to_pylist(), link.to_pylist()):
         try:
             out.append(None if b is None or u is None else urljoin(b, u))
         except ValueError:  # no URL at all, e.g. an open bracket in the host
             out.append(None)
-    return pd.Series(out, dtype=object)
+    return pa.array(out, pa.string())
 
 
 def resolve_outlink(base, href) -> Column:
@@ -67,7 +67,7 @@ def resolve_outlink(base, href) -> Column:
     Trailing slashes removed, cut at the first ``#``; a link that contains
     ``https://`` anywhere is used as is, every other link is joined with the
     base URL (``urljoin``).  Empty and plain root-relative links are resolved
-    natively; the rest takes the pandas UDF path, among it links with an empty
+    natively; the rest takes the UDF's path, among it links with an empty
     query or empty parameters, which the join drops.  Null: not a URL.
     """
     b = _c(base)

@@ -63,3 +63,19 @@ def test_random_markup_raises_nothing():
     for _ in range(20_000):
         text, hrefs = read_html("".join(rng.choices(parts, k=rng.randrange(30))))
         assert "\x00" not in text and isinstance(hrefs, list)
+
+
+def test_small_arrow_batches_in_sessions_made_by_others(spark, tmp_path):
+    """A Python worker holds few pages at a time, whatever the session's own setting."""
+    from spindex.catalog import registry
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.createDataFrame([(1, "https://a.com/", "<p>hi</p>")], "page_id BIGINT, url STRING, html STRING") \
+        .write.parquet(str(tmp_path / "pages.parquet"))
+    try:
+        for setting, held in (("10000", 256), ("0", 256), ("32", 32)):
+            spark.conf.set(key, setting)
+            rows = registry()["page_text"](spark, str(tmp_path)).collect()
+            assert [r["text"] for r in rows] == ["hi"] and int(spark.conf.get(key)) == held
+    finally:
+        spark.conf.set(key, before)
