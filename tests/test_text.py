@@ -45,3 +45,14 @@ def test_occurrence_filter(spark, term, keep):
 def test_rare_rule(spark, term, occ, keep):
     df = spark.createDataFrame([(term, occ)], "term STRING, n BIGINT")
     assert df.select(keep_rare_term("term", "n")).first()[0] == keep
+
+
+def test_index_with_stopwords_reads_the_text_once(spark):
+    from spindex.operators import index as ix
+    rows = [(1, "u/1", "The cats, the cats—and a dog! naïve"), (2, "u/2", "cats & the x"), (3, "u/3", None), (4, "u/4", "")]
+    c = spark.createDataFrame(rows, "page_id BIGINT, page_url STRING, page_content STRING")
+    terms, postings, stop = ix.build_index_with_stopwords(c)
+    t, p = ix.build_index(c)
+    assert sorted(map(tuple, terms.collect())) == sorted(map(tuple, t.collect()))
+    assert sorted(map(tuple, postings.collect())) == sorted(map(tuple, p.collect()))
+    assert sorted(r["term"] for r in stop.collect()) == ["a", "the", "x"]
