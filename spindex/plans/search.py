@@ -33,5 +33,8 @@ def search_index(queries: DataFrame, index: SearchIndex, k: int = TOP_K, prune:
     tf = tf_all.join(asked, "term", "left_semi")
     if prune:
         return top_k(weights, postings, tf, index.urls, k)
-    evidence = se.evidence_of(postings.join(asked, "term", "left_semi"), tf)
-    return se.top_k_per_query(se.score_candidates(weights, evidence, index.urls), k)
+    if index.rows is not None:  # the weights know which terms the dictionary holds
+        evidence = index.rows.where(pick).join(asked, "term", "left_semi")
+    else:
+        evidence = se.evidence_of(postings.join(asked, "term", "left_semi"), tf)
+    return se.top_k_per_query(se.score_candidates(weights, evidence, index.urls, k), k)
