@@ -33,8 +33,10 @@ def search_index(queries: DataFrame, index: SearchIndex, k: int = TOP_K, prune:
     tf = tf_all.join(asked, "term", "left_semi")
     if prune:
         return top_k(weights, postings, tf, index.urls, k)
-    if index.rows is not None:  # the weights know which terms the dictionary holds
-        evidence = index.rows.where(pick).join(asked, "term", "left_semi")
+    if index.rows is not None:  # of terms that the dictionary does not hold, the occurrences are no postings
+        kept = asked.join(terms.select("term", F.lit(1).cast("bigint").alias("_kept")), "term", "left")
+        evidence = index.rows.where(pick).join(kept, "term") \
+            .withColumn("occurrences", F.col("occurrences") * F.coalesce("_kept", F.lit(0))).drop("_kept", "term_bucket")
     else:
         evidence = se.evidence_of(postings.join(asked, "term", "left_semi"), tf)
     return se.top_k_per_query(se.score_candidates(weights, evidence, index.urls, k), k)
