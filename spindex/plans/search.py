@@ -35,6 +35,8 @@ def search_index(queries: DataFrame, index: SearchIndex, k: int = TOP_K, prune:
         return top_k(weights, postings, tf, index.urls, k)
     if index.rows is not None:  # of terms that the dictionary does not hold, the occurrences are no postings
         kept = asked.join(terms.select("term", F.lit(1).cast("bigint").alias("_kept")), "term", "left")
+        if asked.count() <= se.BROADCAST_TERMS:
+            kept = F.broadcast(kept)
         evidence = index.rows.where(pick).join(kept, "term") \
             .withColumn("occurrences", F.col("occurrences") * F.coalesce("_kept", F.lit(0))).drop("_kept", "term_bucket")
     else:
